@@ -24,14 +24,17 @@ def block_of(pos: Column | str, block: int) -> Column:
     return F.floor(c / F.lit(block)).cast("bigint")
 
 
-def _carry(df: DataFrame, keys: Sequence[str], pos: str, block: int, summary: Column, carried: Column,
-           ) -> DataFrame:
-    """Attach ``__carry``, computed over the summaries of all earlier blocks of the key."""
-    per_block = (df.groupBy(*keys, block_of(pos, block).alias(_BLK)).agg(summary.alias("__s")))
-    earlier = (Window.partitionBy(*keys).orderBy(_BLK)
-               .rowsBetween(Window.unboundedPreceding, -1))
+def _carry(df: DataFrame, keys: Sequence[str], pos: str, block: int, summaries: dict[str, Column],
+           carried: dict[str, Column]) -> DataFrame:
+    """Attach columns computed over the per-block ``summaries`` of the key.
+
+    A ``carried`` column that is not a window already ranges over all earlier
+    blocks.  The block id stays in the result as ``__blk``.
+    """
+    per_block = df.groupBy(*keys, block_of(pos, block).alias(_BLK)).agg(
+        *[c.alias(name) for name, c in summaries.items()])
     prefix = per_block.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
-                              F.col(_BLK).alias("__b"), carried.over(earlier).alias("__carry"))
+                              F.col(_BLK).alias("__b"), *[c.alias(name) for name, c in carried.items()])
     main = df.withColumn(_BLK, block_of(pos, block))
     on = main[_BLK].eqNullSafe(prefix["__b"])
     for i, k in enumerate(keys):
@@ -39,20 +42,35 @@ def _carry(df: DataFrame, keys: Sequence[str], pos: str, block: int, summary: Co
     return main.join(prefix, on, "left").drop("__b", *[f"__k{i}" for i in range(len(keys))])
 
 
-def running_count(df: DataFrame, keys: Sequence[str], pos: str, flag: Column, out: str,
-                  block: int = DEFAULT_BLOCK) -> DataFrame:
-    """Number of rows of the key, up to and including this one, where ``flag`` holds."""
-    marked = df.withColumn("__f", F.when(flag, 1).otherwise(0).cast("bigint"))
-    joined = _carry(marked, keys, pos, block, F.sum("__f"), F.sum("__s"))
+def _earlier(keys: Sequence[str]):
+    return Window.partitionBy(*keys).orderBy(_BLK).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def running_counts(df: DataFrame, keys: Sequence[str], pos: str, flags: dict[str, Column],
+                   totals: dict[str, str] | None = None, block: int = DEFAULT_BLOCK) -> DataFrame:
+    """For each ``out: flag``, the number of rows of the key up to and including this one where it holds.
+
+    ``totals`` maps a further output column to the name of the count it totals over the whole key.
+    """
+    marked, summaries, carried = df, {}, {}
+    for i, (out, flag) in enumerate(flags.items()):
+        marked = marked.withColumn(f"__f{i}", F.when(flag, 1).otherwise(0).cast("bigint"))
+        summaries[f"__s{i}"] = F.sum(f"__f{i}")
+        carried[f"__c{i}"] = F.sum(f"__s{i}").over(_earlier(keys))
+        for name, of in (totals or {}).items():
+            if of == out:
+                carried[name] = F.sum(f"__s{i}").over(Window.partitionBy(*keys))
+    joined = _carry(marked, keys, pos, block, summaries, carried)
     local = Window.partitionBy(*keys, _BLK).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    return (joined.withColumn(out, F.coalesce(F.col("__carry"), F.lit(0)) + F.sum("__f").over(local))
-            .drop("__f", "__carry", _BLK))
+    for i, out in enumerate(flags):
+        joined = joined.withColumn(out, F.coalesce(F.col(f"__c{i}"), F.lit(0)) + F.sum(f"__f{i}").over(local))
+    return joined.drop(_BLK, *[f"__{x}{i}" for i in range(len(flags)) for x in "fc"])
 
 
 def serial_number(df: DataFrame, keys: Sequence[str], pos: str, out: str,
                   block: int = DEFAULT_BLOCK) -> DataFrame:
     """1-based row number of the key in order of ``pos``."""
-    return running_count(df, keys, pos, F.lit(True), out, block)
+    return running_counts(df, keys, pos, {out: F.lit(True)}, block=block)
 
 
 def fill_forward(df: DataFrame, keys: Sequence[str], pos: str, value: Column, out: str,
@@ -60,7 +78,8 @@ def fill_forward(df: DataFrame, keys: Sequence[str], pos: str, value: Column, ou
     """Last non-NULL ``value`` at or before this row (strictly before without ``include_current``)."""
     marked = df.withColumn("__v", value)
     newest = F.max_by("__v", F.when(F.col("__v").isNotNull(), F.col(pos)))
-    joined = _carry(marked, keys, pos, block, newest, F.last("__s", ignorenulls=True))
+    joined = _carry(marked, keys, pos, block, {"__s": newest},
+                    {"__carry": F.last("__s", ignorenulls=True).over(_earlier(keys))})
     local = (Window.partitionBy(*keys, _BLK).orderBy(pos)
              .rowsBetween(Window.unboundedPreceding, 0 if include_current else -1))
     return (joined.withColumn(out, F.coalesce(F.last("__v", ignorenulls=True).over(local), F.col("__carry")))
