@@ -171,10 +171,13 @@ def extract_answer() -> Column:
 def normalize_traces(runs: DataFrame, dedupe: bool = False) -> DataFrame:
     """Ingested runs to traces; bodies are dropped here."""
     keep = [c for c in ("session_id", "start_time", "project") if c in runs.columns]
+    # The generator keeps filters on these two columns from being pushed below
+    # it, where each mention of a column would evaluate its extraction again.
+    found = F.inline(F.array(F.struct(extract_query().alias("user_query"),
+                                      extract_tool_calls(dedupe).alias("tool_calls"))))
     base = runs.select(
         "run_id", *keep, F.coalesce("run_type", F.lit("unknown")).alias("run_type"),
-        F.coalesce("name", F.lit("")).alias("run_name"), trace_metadata().alias("metadata"),
-        extract_query().alias("user_query"), extract_tool_calls(dedupe).alias("tool_calls"),
+        F.coalesce("name", F.lit("")).alias("run_name"), trace_metadata().alias("metadata"), found,
         extract_answer().alias("final_answer"))
     return (base.withColumn("tool_names", tool_names()).withColumn("selected_tool", primary_tool())
             .withColumn("tool_arguments", primary_arguments()))
