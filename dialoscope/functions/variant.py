@@ -19,6 +19,11 @@ def kind(v: str) -> str:
     return f"schema_of_variant({v})"
 
 
+def as_text(v: str, path: str) -> str:
+    """Scalar at ``path`` as text, whatever its type: enough to compare with a constant."""
+    return f"try_variant_get({v}, '{path}', 'string')"
+
+
 def text_at(v: str, path: str) -> str:
     """String at ``path``; NULL when absent or of another type."""
     return f"if({kind(node(v, path))} = 'STRING', try_variant_get({v}, '{path}', 'string'), NULL)"
@@ -31,11 +36,16 @@ def some_text_at(v: str, path: str) -> str:
 
 def list_at(v: str, path: str) -> str:
     """JSON array at ``path`` as array<variant>; NULL when it is anything else."""
-    return f"if({kind(node(v, path))} LIKE 'ARRAY%', try_variant_get({v}, '{path}', 'array<variant>'), NULL)"
+    return f"try_variant_get({v}, '{path}', 'array<variant>')"
+
+
+def items_at(v: str, path: str) -> str:
+    """JSON array at ``path``, empty when absent or of another type."""
+    return f"coalesce({list_at(v, path)}, CAST(array() AS array<variant>))"
 
 
 def is_object(v: str) -> str:
-    return f"coalesce({kind(v)} LIKE 'OBJECT%', false)"
+    return f"(try_variant_get({v}, '$', 'map<string,variant>') IS NOT NULL)"
 
 
 def truthy(v: str) -> str:

@@ -37,18 +37,18 @@ def extract_bot_response(raw: str = "raw") -> Column:
     body = "try_variant_get(m, '$.text.body', 'string')"
     menu_text = "try_variant_get(m, '$.template.body.text', 'string')"
     kinds = ", ".join(f"'{k}'" for k in _BODY_TYPES)
-    step = (f"CASE WHEN {v.text_at('m', '$.type')} IN ({kinds}) THEN "
-            f"named_struct('kind', {v.text_at('m', '$.type')}, 'text', coalesce({body}, '')) "
-            f"WHEN {v.text_at('m', '$.type')} = 'interactive' THEN "
+    step = (f"CASE WHEN {v.as_text('m', '$.type')} IN ({kinds}) THEN "
+            f"named_struct('kind', {v.as_text('m', '$.type')}, 'text', coalesce({body}, '')) "
+            f"WHEN {v.as_text('m', '$.type')} = 'interactive' THEN "
             f"named_struct('kind', 'interactive', 'text', coalesce({menu_text}, '')) "
             f"ELSE named_struct('kind', acc.kind, 'text', coalesce({body}, acc.text)) END")
     last = f"aggregate({messages}, named_struct('kind', 'empty', 'text', ''), (acc, m) -> {step})"
     sections = v.objects(v.list_at("m", "$.template.action.sections"))
-    menu = (f"flatten(flatten(transform(filter({messages}, m -> coalesce({v.text_at('m', '$.type')} = 'interactive', false)), "
+    menu = (f"flatten(flatten(transform(filter({messages}, m -> coalesce({v.as_text('m', '$.type')} = 'interactive', false)), "
             f"m -> transform({sections}, s -> transform({v.objects(v.list_at('s', '$.rows'))}, r -> named_struct("
-            f"'title', coalesce({v.text_at('r', '$.title')}, ''), 'description', coalesce({v.text_at('r', '$.description')}, '')))))))")
+            f"'title', coalesce({v.as_text('r', '$.title')}, ''), 'description', coalesce({v.as_text('r', '$.description')}, '')))))))")
     tools = (f"transform({v.objects(v.list_at(raw, '$.agentMetadata.tools_used'))}, t -> named_struct("
-             f"'name', coalesce({v.text_at('t', '$.name')}, ''), 'args', {v.node('t', '$.args')}))")
+             f"'name', coalesce({v.as_text('t', '$.name')}, ''), 'args', {v.node('t', '$.args')}))")
     files = (f"coalesce(try_variant_get({raw}, '$.agentMetadata.knowledge_files_referenced', 'array<string>'), "
              "CAST(array() AS array<string>))")
     return F.expr(f"transform(array({last}), x -> named_struct('response_type', x.kind, 'response_text', x.text, "

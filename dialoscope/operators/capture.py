@@ -80,7 +80,7 @@ def read_frames(frames: DataFrame, phases: str = "code") -> DataFrame:
         F.expr(f"coalesce(to_json({_first_truthy('__o', '$.input', '$.arguments')}), '{{}}')").alias("input")))
     offer = F.when(event == "suggestions", F.expr(
         f"CASE WHEN {offered} IS NULL THEN {_EMPTY_TEXTS} "
-        f"WHEN schema_of_variant({offered}) LIKE 'ARRAY%' THEN try_variant_get({offered}, '$', 'array<string>') END"))
+        f"ELSE try_variant_get({offered}, '$', 'array<string>') END"))
     return (rows.withColumn("piece", F.nullif(piece, F.lit(""))).withColumn("call", call)
             .withColumn("offer", offer).drop("__o", "data"))
 

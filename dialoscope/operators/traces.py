@@ -28,9 +28,6 @@ QUERY_KEYS = ("question", "query", "input", "user_query", "prompt")
 ANSWER_KEYS = ("answer", "response", "result", "text", "content")
 CALL_KEYS = ("tool_calls", "tools", "function_calls")
 
-_CALL_TYPE = "struct<name: string, arguments: string, arguments_dict: variant, from_definitions: boolean>"
-_NO_CALLS = f"CAST(array() AS array<{_CALL_TYPE}>)"
-
 
 def ingest_runs(raw: DataFrame, bodies: Sequence[str] = ("inputs", "outputs", "extra", "metadata", "child_runs"),
                 ) -> DataFrame:
@@ -58,57 +55,64 @@ def trace_metadata() -> Column:
 
 def extract_query() -> Column:
     """User query: the first place that holds one."""
-    group = v.list_at("get(" + v.list_at("inputs", "$.messages") + ", 0)", "$")
-    first = f"get({group}, 0)"
-    last_id = f"try_element_at({v.list_at(first, '$.id')}, -1)"
-    serialized = (f"if({v.text_at(first, '$.type')} = 'constructor' AND "
-                  f"lower({v.text_at(last_id, '$')}) LIKE '%human%', {v.some_text_at(first, '$.kwargs.content')}, NULL)")
-
-    def first_content(messages: str, who: str, roles: str) -> str:
-        hits = f"filter({v.objects(messages)}, m -> coalesce({v.text_at('m', who)} IN ({roles}) AND {v.some_text_at('m', '$.content')} IS NOT NULL, false))"
-        return v.some_text_at(f"get({hits}, 0)", "$.content")
-
-    simple = first_content(v.list_at("inputs", "$.messages"), "$.type", "'human', 'user'")
-    by_role = first_content(v.list_at("inputs", "$.input.messages"), "$.role", "'user'")
+    lead = "$.messages[0][0]"
+    ids = f"try_variant_get(inputs, '{lead}.id', 'array<string>')"
+    serialized = (f"if({v.as_text('inputs', lead + '.type')} = 'constructor' AND "
+                  f"contains(lower(try_element_at({ids}, -1)), 'human'), "
+                  f"{v.some_text_at('inputs', lead + '.kwargs.content')}, NULL)")
+
+    def first_content(path: str, who: str, roles: str) -> str:
+        texts = (f"transform(filter({v.items_at('inputs', path)}, m -> coalesce({v.as_text('m', who)} IN ({roles}), "
+                 f"false)), m -> {v.some_text_at('m', '$.content')})")
+        return f"get(filter({texts}, x -> x IS NOT NULL), 0)"
+
+    simple = first_content("$.messages", "$.type", "'human', 'user'")
+    by_role = first_content("$.input.messages", "$.role", "'user'")
     title_node = v.node("extra", "$.metadata.title")
     title = f"CASE WHEN {v.truthy(title_node)} THEN {v.stringify(title_node, 2147483647)} END"
-    direct = [f"CASE WHEN length({v.text_at('inputs', '$.' + k)}) > 2 THEN {v.text_at('inputs', '$.' + k)} END"
+    direct = [f"CASE WHEN length({v.text_at('inputs', '$.' + k)}) > 2 THEN {v.as_text('inputs', '$.' + k)} END"
               for k in QUERY_KEYS]
     return F.expr("coalesce(" + ", ".join([serialized, simple, by_role, title, *direct, "first_long_input", "''"]) + ")")
 
 
 def _call(name: str, arguments: str, as_object: str, defined: bool = False) -> str:
-    return (f"CAST(struct({name}, {arguments}, {as_object}, {str(defined).lower()}) AS {_CALL_TYPE})")
+    return (f"named_struct('name', {name}, 'arguments', {arguments}, 'arguments_dict', {as_object}, "
+            f"'from_definitions', {str(defined).lower()})")
 
 
 def _object_or_empty(x: str) -> str:
     return f"if({v.is_object(x)}, {x}, parse_json('{{}}'))"
 
 
-def _run_call(run: str, name: str, inputs: str) -> str:
-    """A tool run or tool child as a call: its name and its inputs."""
-    body = f"if({v.truthy(inputs)}, {inputs}, parse_json('{{}}'))"
-    return _call(name, v.stringify(body), _object_or_empty(body))
+def _run_call(name: str, inputs: str) -> str:
+    """A tool run or tool child as a call: its name and its inputs, an empty object for falsy ones."""
+    text = f"if({v.truthy(inputs)}, {v.stringify(inputs)}, '{{}}')"
+    return _call(name, text, _object_or_empty(inputs))
 
 
 def message_calls(m: str) -> str:
     """Calls carried by one message: serialized, parsed and raw forms, in that order, not deduplicated."""
     def function_call(t: str) -> str:
         raw = v.node(t, "$.function.arguments")
-        text = f"if({raw} IS NULL, '{{}}', {v.stringify(raw, 2147483647)})"
-        return _call(f"coalesce({v.text_at(t, '$.function.name')}, '')", text,
-                     f"if({v.kind(raw)} = 'STRING', {v.try_object(v.text_at(t, '$.function.arguments'))}, parse_json('{{}}'))")
+        as_object = (f"if({v.is_object(v.node(t, '$.function'))}, "
+                     f"{v.try_object(v.text_at(t, '$.function.arguments'))}, parse_json('{{}}'))")
+        return _call(f"coalesce({v.as_text(t, '$.function.name')}, '')", v.stringify(raw, 2147483647), as_object)
 
     serialized = f"transform({v.objects(v.list_at(m, '$.kwargs.tool_calls'))}, t -> {function_call('t')})"
     args = v.node("t", "$.args")
-    parsed = (f"transform(filter({v.objects(v.list_at(m, '$.tool_calls'))}, "
-              f"t -> coalesce({v.text_at('t', '$.type')} = 'tool_call', false)), t -> "
-              + _call(f"coalesce({v.text_at('t', '$.name')}, '')", v.stringify(args), _object_or_empty(args)) + ")")
-    raw = (f"transform(filter({v.objects(v.list_at(m, '$.additional_kwargs.tool_calls'))}, "
+    parsed = (f"transform(filter({v.items_at(m, '$.tool_calls')}, "
+              f"t -> coalesce({v.as_text('t', '$.type')} = 'tool_call', false)), t -> "
+              + _call(f"coalesce({v.as_text('t', '$.name')}, '')", v.stringify(args), _object_or_empty(args)) + ")")
+    raw = (f"transform(filter({v.items_at(m, '$.additional_kwargs.tool_calls')}, "
            f"t -> {v.is_object(v.node('t', '$.function'))}), t -> {function_call('t')})")
     return f"concat({serialized}, {parsed}, {raw})"
 
 
+def _generations() -> str:
+    """All generation elements of the outputs."""
+    return f"flatten(transform({v.items_at('outputs', '$.generations')}, g -> {v.items_at('g', '$')}))"
+
+
 def extract_tool_calls(dedupe: bool = False) -> Column:
     """All tool calls of a run.
 
@@ -116,24 +120,22 @@ def extract_tool_calls(dedupe: bool = False) -> Column:
     evaluated messages and outputs add up in that order; tool definitions serve
     only when there is no call at all.
     """
-    own = f"array({_run_call('', 'coalesce(name, \'unknown\')', 'inputs')})"
-    children = (f"transform(filter({v.objects(v.list_at('child_runs', '$'))}, "
-                f"c -> coalesce({v.text_at('c', '$.run_type')} = 'tool', false)), c -> "
-                + _run_call("c", f"coalesce({v.text_at('c', '$.name')}, 'unknown')", v.node("c", "$.inputs")) + ")")
-    generations = (f"flatten(transform(flatten(transform(coalesce({v.list_at('outputs', '$.generations')}, "
-                   f"CAST(array() AS array<variant>)), g -> {v.objects(v.list_at('g', '$'))})), "
-                   f"g -> {message_calls(v.node('g', '$.message'))}))")
-    judged = "concat(" + ", ".join(
-        f"flatten(transform({v.objects(v.list_at('inputs', f'$.{side}.messages'))}, m -> {message_calls('m')}))"
-        for side in ("input", "output")) + ")"
+    own = f"array({_run_call('coalesce(name, \'unknown\')', 'inputs')})"
+    children = (f"transform(filter({v.items_at('child_runs', '$')}, "
+                f"c -> coalesce({v.as_text('c', '$.run_type')} = 'tool', false)), c -> "
+                + _run_call(f"coalesce({v.as_text('c', '$.name')}, 'unknown')", v.node("c", "$.inputs")) + ")")
+    generations = f"flatten(transform({_generations()}, g -> {message_calls(v.node('g', '$.message'))}))"
+    judged = ", ".join(
+        f"flatten(transform({v.items_at('inputs', f'$.{side}.messages')}, m -> {message_calls('m')}))"
+        for side in ("input", "output"))
     args = f"coalesce({v.node('t', '$.arguments')}, {v.node('t', '$.args')})"
-    outputs = "concat(" + ", ".join(
+    outputs = ", ".join(
         f"transform({v.objects(v.list_at('outputs', f'$.{k}'))}, t -> "
-        + _call(f"coalesce({v.text_at('t', '$.name')}, {v.text_at('t', '$.tool')}, 'unknown')",
-                v.stringify(args), _object_or_empty(args)) + ")" for k in CALL_KEYS) + ")"
-    definitions = (f"transform(filter({v.objects(v.list_at('extra', '$.invocation_params.tools'))}, "
-                   f"t -> {v.some_text_at('t', '$.function.name')} IS NOT NULL), t -> "
-                   + _call(v.text_at("t", "$.function.name"), "'{}'", "parse_json('{}')", True) + ")")
+        + _call(f"coalesce({v.as_text('t', '$.name')}, {v.as_text('t', '$.tool')}, 'unknown')",
+                v.stringify(args), _object_or_empty(args)) + ")" for k in CALL_KEYS)
+    named = f"coalesce({v.as_text('t', '$.function.name')} <> '', false)"
+    defined = _call(v.as_text("t", "$.function.name"), "'{}'", "parse_json('{}')", True)
+    definitions = f"transform(filter({v.items_at('extra', '$.invocation_params.tools')}, t -> {named}), t -> {defined})"
     called = f"concat({children}, {generations}, {judged}, {outputs})"
     if dedupe:
         called = (f"transform(array_distinct(transform({called}, c -> struct(c.name AS n, c.arguments AS a))), "
@@ -158,12 +160,11 @@ def tool_names(calls: str = "tool_calls") -> Column:
 def extract_answer() -> Column:
     """Final answer: the first place that holds a non-empty text, clipped."""
     output = v.some_text_at("outputs", "$.output.content")
-    generated = (f"get(filter(transform(flatten(transform(coalesce({v.list_at('outputs', '$.generations')}, "
-                 f"CAST(array() AS array<variant>)), g -> {v.objects(v.list_at('g', '$'))})), "
-                 f"g -> {v.some_text_at('g', '$.message.kwargs.content')}), x -> x IS NOT NULL), 0)")
+    generated = (f"get(filter(transform({_generations()}, g -> {v.some_text_at('g', '$.message.kwargs.content')}), "
+                 "x -> x IS NOT NULL), 0)")
     direct = [v.some_text_at("outputs", f"$.{k}") for k in ANSWER_KEYS]
-    said = [(f"try_element_at(filter(transform(filter({v.objects(v.list_at('inputs', f'$.{side}.messages'))}, "
-             f"m -> coalesce({v.text_at('m', '$.type')} = 'ai', false)), m -> {v.some_text_at('m', '$.content')}), "
+    said = [(f"try_element_at(filter(transform(filter({v.items_at('inputs', f'$.{side}.messages')}, "
+             f"m -> coalesce({v.as_text('m', '$.type')} = 'ai', false)), m -> {v.some_text_at('m', '$.content')}), "
              "x -> x IS NOT NULL), -1)") for side in ("output", "input")]
     return F.expr(f"substring(coalesce({', '.join([output, generated, *direct, *said])}, ''), 1, {CLIP_ANSWER})")
 

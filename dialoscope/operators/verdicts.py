@@ -21,9 +21,6 @@ REGISTRY_HEADER = "| # | Tool | Family | Enabled | Description |\n|---|------|--
 EMPTY_REGISTRY = "(No tools registered.)"
 TOOL_PROMPT_SLOTS = ("{{TOOL_REGISTRY}}", "{{USER_QUERY}}", "{{SELECTED_TOOL}}", "{{SELECTED_TOOL_ARGS}}")
 
-VERDICT_TYPE = ("struct<expected_tool: string, selected_tool: string, score: double, reason: string, "
-                "candidate_tools: array<string>>")
-
 REGISTRY_BOUND = 10_000  # a prompt holds the whole registry; more entries than this is an input error
 
 
@@ -73,37 +70,39 @@ def validate_verdict(reply: Column | str, required: Sequence[str] = TOOL_FIELDS)
     A surrounding code fence is removed first.  A boolean is no score.
     """
     parsed = F.try_parse_json(strip_fences(reply))
-    return F.transform(F.array(parsed), lambda x: F.when(_valid(x, required), x))[0]
+    return _let(parsed, lambda x: F.when(_valid(x, required), x))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value that is computed once however often the body mentions it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _valid(x: Column, required: Sequence[str]) -> Column:
-    score = F.try_variant_get(x, "$.score", "variant")
-    numeric = F.schema_of_variant(score).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
-    ok = F.coalesce(F.schema_of_variant(x).startswith("OBJECT"), F.lit(False)) & F.coalesce(numeric, F.lit(False))
+    ok = F.try_variant_get(x, "$", "map<string,variant>").isNotNull()
     for name in required:
         ok = ok & F.try_variant_get(x, f"$.{name}", "variant").isNotNull()
-    value = F.try_variant_get(x, "$.score", "double")
-    return ok & F.coalesce(value.between(0.0, 1.0), F.lit(False))
+    numeric = F.schema_of_variant(F.try_variant_get(x, "$.score", "variant")).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
+    in_range = F.try_variant_get(x, "$.score", "double").between(0.0, 1.0)
+    return ok & F.coalesce(numeric & in_range, F.lit(False))
+
+
+def _typed(verdict: Column | str, fields: dict[str, str]) -> Column:
+    c = F.col(verdict) if isinstance(verdict, str) else verdict
+    return _let(c, lambda x: F.when(x.isNotNull(), F.struct(
+        *[F.try_variant_get(x, f"$.{k}", t).alias(k) for k, t in fields.items()])))
 
 
 def read_verdict(verdict: Column | str) -> Column:
     """Tool-selection verdict VARIANT to a typed struct."""
-    c = F.col(verdict) if isinstance(verdict, str) else verdict
-    return F.when(c.isNotNull(), F.struct(
-        F.try_variant_get(c, "$.expected_tool", "string").alias("expected_tool"),
-        F.try_variant_get(c, "$.selected_tool", "string").alias("selected_tool"),
-        F.try_variant_get(c, "$.score", "double").alias("score"),
-        F.try_variant_get(c, "$.reason", "string").alias("reason"),
-        F.try_variant_get(c, "$.candidate_tools", "array<string>").alias("candidate_tools")))
+    return _typed(verdict, {"expected_tool": "string", "selected_tool": "string", "score": "double",
+                            "reason": "string", "candidate_tools": "array<string>"})
 
 
 def read_turn_verdict(verdict: Column | str) -> Column:
     """Turn verdict VARIANT to a typed struct."""
-    c = F.col(verdict) if isinstance(verdict, str) else verdict
-    fields = {"quality": "string", "score": "double", "data_present": "boolean", "context_used": "boolean",
-              "new_flow": "boolean", "reason": "string"}
-    return F.when(c.isNotNull(), F.struct(
-        *[F.try_variant_get(c, f"$.{k}", t).alias(k) for k, t in fields.items()]))
+    return _typed(verdict, {"quality": "string", "score": "double", "data_present": "boolean",
+                            "context_used": "boolean", "new_flow": "boolean", "reason": "string"})
 
 
 def pick_attempt(replies: DataFrame, keys: Sequence[str] = ("run_id",), attempts: int = MAX_ATTEMPTS) -> DataFrame:

@@ -13,7 +13,7 @@ add = CATALOG.add
 
 
 def frames(spark, sf):
-    return fixture(spark, sf, "sse_frames")
+    return fixture(spark, sf, "sse_frames", costly=True)
 
 
 # Threads as raw stream bodies: frames of a thread in order, one keep-alive comment each, the last frame unfinished.

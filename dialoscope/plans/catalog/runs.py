@@ -49,7 +49,7 @@ def record_quality(spark, sf):
      + " ".join(f"WHEN {rx('lower(response)', p)} THEN {i}" for i, p in enumerate(NO_DATA_PATTERNS))
      + " ELSE -1 END AS first_pattern FROM records"))
 def no_data_match(spark, sf):
-    return records(spark, sf).select("run_version", "query_index",
+    return records(spark, sf, costly=True).select("run_version", "query_index",
                                      F.coalesce(ql.no_data_match("response"), F.lit(-1)).alias("first_pattern"))
 
 
@@ -67,7 +67,7 @@ def leak_records(spark, sf):
  WHEN {rx('lower(response)', HEDGE_WORDS)} THEN 'marginal'
  WHEN length(response) > 60 THEN 'success' ELSE 'marginal' END AS response_quality FROM records"""))
 def record_quality_v1(spark, sf):
-    return records(spark, sf).select("run_version", "query_index",
+    return records(spark, sf, costly=True).select("run_version", "query_index",
                                      ql.classify_quality("response", "error", "v1").alias("response_quality"))
 
 
@@ -78,7 +78,7 @@ _EXTRA = r"\b(lorem|pipeline|database)\b"
  FROM records GROUP BY 1"""))
 def custom_patterns(spark, sf):
     labels = ql.leak_labels("response", {**ql.LEAK_PATTERNS, "jargon": _EXTRA})
-    return (records(spark, sf).withColumn("labels", labels).groupBy("run_version")
+    return (records(spark, sf, costly=True).withColumn("labels", labels).groupBy("run_version")
             .agg(F.count_if(F.array_contains("labels", "jargon")).alias("jargon")))
 
 

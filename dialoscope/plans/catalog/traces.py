@@ -82,7 +82,7 @@ def tq(body: str) -> str:
 
 
 def runs(spark, sf):
-    return tr.ingest_runs(fixture(spark, sf, "trace_runs"))
+    return tr.ingest_runs(fixture(spark, sf, "trace_runs", costly=True))
 
 
 def traces(spark, sf):
@@ -90,7 +90,7 @@ def traces(spark, sf):
 
 
 def replies(spark, sf):
-    fixture(spark, sf, "tool_verdicts").createOrReplaceTempView("tool_verdicts")
+    fixture(spark, sf, "tool_verdicts", costly=True).createOrReplaceTempView("tool_verdicts")
     return spark.sql(REPLIES)
 
 

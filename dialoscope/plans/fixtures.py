@@ -11,6 +11,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from dialoscope.session import spread_scan
+
 FIXTURES: dict[str, str] = {
     "eval_records": """
 SELECT d.run_version, d.doc_id AS query_index, d.source AS category, d.text AS query,
@@ -121,13 +123,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One derived input as a DataFrame."""
+_KEYS = {"documents": "doc_id", "events": "event_id", "conversations": "conv_id"}
+
+
+def fixture(spark: SparkSession, sf_dir: str, name: str, costly: bool = False) -> DataFrame:
+    """One derived input as a DataFrame; ``costly`` announces heavy work per row."""
     text = spark_text(name)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     for t in TABLES:
         if re.search(rf"\b{t}\b", text):
-            table(spark, sf_dir, t).createOrReplaceTempView(t)
+            rows = table(spark, sf_dir, t)
+            rows = spread_scan(rows, _KEYS[t]) if costly and t in _KEYS else rows
+            rows.createOrReplaceTempView(t)
     return spark.sql(text)
 
 

@@ -20,9 +20,9 @@ from dialoscope.operators.rollups import enrich
 from dialoscope.plans.fixtures import fixture
 
 
-def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def records(spark: SparkSession, sf_dir: str, costly: bool = False) -> DataFrame:
     """Result records of three accounts and two versions."""
-    rows = fixture(spark, sf_dir, "eval_records")
+    rows = fixture(spark, sf_dir, "eval_records", costly)
     tools = split_list("tools_csv")
     call = lambda t: F.struct(t.alias("tool"), F.parse_json(F.lit("{}")).alias("input"))
     return rows.select(
@@ -37,7 +37,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return enrich(records(spark, sf_dir))
+    return enrich(records(spark, sf_dir, costly=True))
 
 
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,3 +61,16 @@ def broadcast_if_small(df: DataFrame, bound: int = BROADCAST_ROW_BOUND) -> DataF
     if df.limit(bound + 1).count() <= bound:
         return F.broadcast(df)
     return df
+
+
+def spread_scan(df: DataFrame, key: str) -> DataFrame:
+    """Spread the scan of a small file over all cores before costly per-row work.
+
+    A file with one row group is one task however many cores there are.  Large
+    inputs arrive in at least as many splits as cores and come back untouched,
+    without a shuffle.  For plain scans only.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key)
