@@ -11,8 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
@@ -33,13 +32,13 @@ class _BlockSplitter(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._tail = handle.getValueState("tail", "text string, n bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        text, n = self._tail.get() if self._tail.exists() else ("", 0)
-        chunks = pd.concat(list(rows)).sort_values("seq")["chunk"]
-        *blocks, text = (text + "".join(chunks)).split("\n\n")
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        text, n = self._tail.get() or ("", 0)
+        arrived = sorted((r.seq, r.chunk) for r in rows)
+        *blocks, text = (text + "".join(c for _, c in arrived)).split("\n\n")
         self._tail.update((text, n + len(blocks)))
-        yield pd.DataFrame({"thread_id": [key[0]] * len(blocks), "seq": range(n, n + len(blocks)), "block": blocks},
-                           columns=["thread_id", "seq", "block"])
+        for i, block in enumerate(blocks):
+            yield Row(thread_id=key[0], seq=n + i, block=block)
 
     def close(self) -> None:
         pass
@@ -52,7 +51,7 @@ def stream_frames(chunks: DataFrame) -> DataFrame:
     """
     use_rocksdb(chunks.sparkSession)
     key = chunks.schema["thread_id"].dataType.simpleString()
-    blocks = chunks.groupBy("thread_id").transformWithStateInPandas(
+    blocks = chunks.groupBy("thread_id").transformWithState(
         _BlockSplitter(), StructType.fromDDL(f"thread_id {key}, seq bigint, block string"), "Append", "None")
     lines = F.split("block", "\n")
     names = F.filter(lines, lambda x: x.startswith("event: "))
@@ -74,26 +73,27 @@ class _RecordCollector(StatefulProcessor):
         self._frames = handle.getListState("frames", "event string, piece string, call string, offer string")
         self._meta = handle.getValueState("meta", "closed boolean, idle_at bigint, total_at bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         now = timerValues.getCurrentProcessingTimeInMs() if self._timed else 0
-        closed, idle_at, total_at = self._meta.get() if self._meta.exists() else (False, 0, now + self._total_ms)
+        known = self._meta.get()
+        closed, idle_at, total_at = known or (False, 0, now + self._total_ms)
         if closed:
             return
-        batch = pd.concat(list(rows)).sort_values("seq")
-        done = (batch["event"] == "done").to_numpy()
-        if done.any():
-            batch = batch.iloc[: int(done.argmax()) + 1]
-        self._frames.appendList([tuple(None if pd.isna(x) else x for x in r) for r in
-                                 batch[["event", "piece", "call", "offer"]].itertuples(index=False)])
-        if done.any():
+        arrived = sorted(((r.seq, r.event, r.piece, r.call, r.offer) for r in rows), key=lambda f: f[0])
+        batch = [f[1:] for f in arrived]
+        done = next((i for i, f in enumerate(batch) if f[0] == "done"), None)
+        if done is not None:
+            earlier = [tuple(f) for f in self._frames.get()] if known else []
+            if known:
+                self._frames.clear()
             # stays closed, so late frames change nothing, until the total time is over
             if self._timed:
                 self._drop_timers(idle_at, total_at)
                 self._handle.registerTimer(total_at)
             self._meta.update((True, 0, total_at))
-            yield self._record(key, None)
-            self._frames.clear()
+            yield self._record(key, earlier + batch[: done + 1], None)
             return
+        self._frames.appendList(batch)
         if self._timed:
             if idle_at:
                 self._handle.deleteTimer(idle_at)
@@ -102,11 +102,12 @@ class _RecordCollector(StatefulProcessor):
             self._handle.registerTimer(now + self._idle_ms)
         self._meta.update((False, now + self._idle_ms, total_at))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self._meta.exists():
-            return
-        closed, idle_at, total_at = self._meta.get()
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        known = self._meta.get()
         at = expiredTimerInfo.getExpiryTimeInMs()
+        if not known:
+            return
+        closed, idle_at, total_at = known
         if closed:
             self._meta.clear()
             return
@@ -114,7 +115,7 @@ class _RecordCollector(StatefulProcessor):
             return
         hung = at == idle_at
         error = f"SSE hang: no data for {self._idle_ms / 1000:g}s" if hung else "timed out"
-        yield self._record(key, error)
+        yield self._record(key, [tuple(f) for f in self._frames.get()], error)
         self._frames.clear()
         if hung:
             self._meta.update((True, 0, total_at))
@@ -126,14 +127,13 @@ class _RecordCollector(StatefulProcessor):
             if t:
                 self._handle.deleteTimer(t)
 
-    def _record(self, key, error: str | None) -> pd.DataFrame:
-        kept = list(self._frames.get())
-        said = [f for f in kept if f[1] is not None]
-        offers = [f[3] for f in kept if f[3] is not None]
-        return pd.DataFrame({
-            "thread_id": [key[0]], "events": [[f[0] for f in kept]], "pieces": [[f[1] for f in said]],
-            "is_message": [[f[0] == "message" for f in said]], "calls": [[f[2] for f in kept if f[2] is not None]],
-            "offer": [offers[-1] if offers else None], "error": [error]})
+    @staticmethod
+    def _record(key, frames: list[tuple], error: str | None) -> Row:
+        said = [(event == "message", piece) for event, piece, _, _ in frames if piece is not None]
+        offers = [offer for *_, offer in frames if offer is not None]
+        return Row(thread_id=key[0], events=[f[0] for f in frames], pieces=[p for _, p in said],
+                   is_message=[m for m, _ in said], calls=[f[2] for f in frames if f[2] is not None],
+                   offer=offers[-1] if offers else None, error=error)
 
     def close(self) -> None:
         pass
@@ -155,7 +155,7 @@ def stream_fold(frames: DataFrame, phases: str = "code", idle_seconds: float = R
         "thread_id", "seq", "event", "piece", F.to_json("call").alias("call"), F.to_json("offer").alias("offer"))
     out = StructType.fromDDL(f"thread_id {key}, events array<string>, pieces array<string>, is_message array<boolean>, "
                              "calls array<string>, offer string, error string")
-    raw = read.groupBy("thread_id").transformWithStateInPandas(
+    raw = read.groupBy("thread_id").transformWithState(
         _RecordCollector(int(idle_seconds * 1000), int(total_seconds * 1000), timed), out, "Append",
         "ProcessingTime" if timed else "None")
     response = F.array_join(F.filter(F.transform("pieces", lambda p, i: F.when(
