@@ -5,10 +5,9 @@ Schemas are explicit, missing keys become NULL, blank lines are passed over.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
-from pyspark.sql.utils import AnalysisException
 
 from dialoscope import schemas
 
@@ -40,7 +39,7 @@ def read_bot_results(spark: SparkSession, root: str) -> DataFrame:
             .withColumn("timestamp", parse_iso("timestamp")))
 
 
-def _read_runs(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def _read_runs(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Entries of manifests; a missing file or a corrupt one gives none."""
     try:
         raw = spark.read.schema(schema).json(path, multiLine=True, mode="PERMISSIVE",
@@ -105,7 +104,7 @@ def parse_registry(text: DataFrame, column: str = "value") -> DataFrame:
     end = lines.where((F.col("pos") > start) & ~piped & (F.length("line") > 0)).agg(F.min("pos").alias("end")).scalar()
     body = lines.where((F.col("pos") > start) & piped & ~head & ~separator
                        & (end.isNull() | (F.col("pos") < end)))
-    cells = F.transform(F.split("line", r"\|"), F.trim)
+    cells = F.transform(F.split("line", r"\|"), lambda x: F.trim(x))
     rows = body.select("pos", cells.alias("c")).where(F.size("c") >= 5)
     plain = lambda x: F.replace(x, F.lit("\\_"), F.lit("_"))
     named = rows.select(
