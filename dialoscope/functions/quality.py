@@ -5,6 +5,7 @@ The pattern sets are data: pass your own to extend them.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
@@ -57,6 +58,15 @@ BOT_FALLBACK_PHRASES: list[str] = ["sorry", "couldn't", "something went wrong",
 
 # --- End of fixed values. ---
 
+# Words of which any match of a no-data pattern must hold one.  A plain substring
+# test on them spares most texts the regular expression; the result is the same.
+_CLUES: dict[str, tuple[str, ...]] = dict(zip(NO_DATA_PATTERNS, (
+    ("found", "returned", "available", "recorded", "matched", "populated"), ("matching",), ("right",), ("couldn't",),
+    ("there",), ("products", "₹0.00"), ("**0**",), ("populated",), ("reliably", "purchase", "declining"),
+    ("low-stock",), ("slow-moving",), ("aren't", "arent"), ("couldn't",), ("paracetamol",), ("product",),
+    ("breakdown",), ("couldn't",), ("please",))))
+_CLUES[LISTING_WORDS] = ("sorted by", "ranked", "showing ", "found ")
+
 QUALITIES = ("success", "marginal", "no_data", "fail")
 BOT_QUALITIES = ("success", "marginal", "fail")
 
@@ -68,8 +78,26 @@ def _matches(c: Column, pattern: str) -> Column:
     return c.rlike(_FLAGS + pattern)
 
 
-def _any_of(patterns: Sequence[str]) -> str:
-    return "|".join(f"(?:{p})" for p in patterns)
+# A bare list of words, with or without word borders around it.
+_WORD_LIST = re.compile(r"(\\b)?\(([^()\[\]{}\\.*+?^$]+)\)(\\b)?")
+
+
+def _holds_any(c: Column, words: Sequence[str]) -> Column:
+    found = c.contains(words[0])
+    for word in words[1:]:
+        found = found | c.contains(word)
+    return found
+
+
+def _found(c: Column, pattern: str) -> Column:
+    """Pattern search with a substring test in front wherever one is implied."""
+    listed = _WORD_LIST.fullmatch(pattern)
+    if listed:
+        words = listed[2].split("|")
+        return _holds_any(c, words) & _matches(c, pattern) if listed[1] or listed[3] else _holds_any(c, words)
+    if pattern in _CLUES:
+        return _holds_any(c, _CLUES[pattern]) & _matches(c, pattern)
+    return _matches(c, pattern)
 
 
 def _plain_quotes(c: Column, normalize: bool) -> Column:
@@ -81,30 +109,39 @@ def no_data_match(response: Column | str, patterns: Sequence[str] = NO_DATA_PATT
                   normalize_quotes: bool = False) -> Column:
     """0-based index of the first no-data pattern found in the text, else NULL."""
     low = F.lower(_plain_quotes(col(response), normalize_quotes))
-    return F.coalesce(*[F.when(_matches(low, p), F.lit(i)) for i, p in enumerate(patterns)])
+    return F.coalesce(*[F.when(_found(low, p), F.lit(i)) for i, p in enumerate(patterns)])
+
 
+def is_no_data(low: Column, patterns: Sequence[str] = NO_DATA_PATTERNS) -> Column:
+    """Any no-data pattern present in the lower-cased text."""
+    hit = F.lit(False)
+    for p in patterns:
+        hit = hit | _found(low, p)
+    return hit
 
-def is_no_data(response: Column | str, patterns: Sequence[str] = NO_DATA_PATTERNS,
-               normalize_quotes: bool = False) -> Column:
-    """Any no-data pattern present; one alternation, so the text is scanned once."""
-    return _matches(F.lower(_plain_quotes(col(response), normalize_quotes)), _any_of(patterns))
+
+def lowered(response: Column | str, normalize_quotes: bool = False) -> Column:
+    """Lower-cased text, empty for NULL, as the rules read it."""
+    return F.lower(_plain_quotes(F.coalesce(col(response), F.lit("")), normalize_quotes))
 
 
 def classify_quality(response: Column | str, error: Column | str, rubric: str = "v2",
                      no_data_patterns: Sequence[str] = NO_DATA_PATTERNS,
-                     normalize_quotes: bool = False) -> Column:
+                     normalize_quotes: bool = False, low: Column | None = None) -> Column:
     """Quality bucket of a response; the first rule that applies decides.
 
+    ``low`` may pass in a column that holds ``lowered(response)`` already.
+
     ``rubric='v2'`` has four buckets.  ``'v1'`` is the older written rubric
     without ``no_data``, kept so that runs judged under it stay comparable.
     """
     text = _plain_quotes(F.coalesce(col(response), F.lit("")), normalize_quotes)
-    low = F.lower(text)
-    failed = truthy_text(error) | is_blank(text)
-    has_figures = _matches(text, FIGURE_SIGNS) | _matches(low, LISTING_WORDS)
+    low = lowered(response, normalize_quotes) if low is None else low
+    failed = truthy_text(error) | is_blank(low)
+    has_figures = _matches(text, FIGURE_SIGNS) | _found(low, LISTING_WORDS)
     has_table = _matches(text, PIPE_TABLE) & _matches(text, NUMBERISH)
-    refuses = _matches(low, REFUSAL_WORDS)
-    hedges = _matches(low, HEDGE_WORDS)
+    refuses = _found(low, REFUSAL_WORDS)
+    hedges = _found(low, HEDGE_WORDS)
     if rubric == "v1":
         return (F.when(failed, "fail").when(refuses, "marginal").when(has_figures, "success")
                 .when(hedges, "marginal")
@@ -112,24 +149,24 @@ def classify_quality(response: Column | str, error: Column | str, rubric: str =
     if rubric != "v2":
         raise ValueError(f"unknown rubric {rubric!r}")
     return (F.when(failed, "fail")
-            .when(is_no_data(text, no_data_patterns), "no_data")
+            .when(is_no_data(low, no_data_patterns), "no_data")
             .when(has_figures | has_table, "success")
             .when(refuses | hedges, "marginal")
-            .when(F.length(text) > SUBSTANCE_LENGTH, "success")
-            .otherwise("marginal"))
+            .otherwise(F.when(F.length(text) > SUBSTANCE_LENGTH, "success").otherwise("marginal")))
 
 
 def leak_labels(response: Column | str, patterns: Mapping[str, str] = LEAK_PATTERNS,
-                normalize_quotes: bool = False) -> Column:
+                normalize_quotes: bool = False, low: Column | None = None) -> Column:
     """Labels of all leak patterns found, in the order of the pattern set."""
-    low = F.lower(_plain_quotes(F.coalesce(col(response), F.lit("")), normalize_quotes))
-    return F.array_compact(F.array(*[F.when(_matches(low, p), F.lit(name)) for name, p in patterns.items()]))
+    low = lowered(response, normalize_quotes) if low is None else low
+    none = F.array().cast("array<string>")
+    return F.concat(*[F.when(_found(low, p), F.array(F.lit(name))).otherwise(none) for name, p in patterns.items()])
 
 
 def detect_leaks(response: Column | str, patterns: Mapping[str, str] = LEAK_PATTERNS,
-                 normalize_quotes: bool = False) -> Column:
+                 normalize_quotes: bool = False, low: Column | None = None) -> Column:
     """Struct of ``info_leak`` and ``leak_indicators``."""
-    labels = leak_labels(response, patterns, normalize_quotes)
+    labels = leak_labels(response, patterns, normalize_quotes, low)
     return F.struct((F.size(labels) > 0).alias("info_leak"), labels.alias("leak_indicators"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # Unicode white space plus the four ASCII separators that Python's strip() removes.
 _EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+_INK = r"(?U)[^\s\x1c-\x1f]"
 
 # Truncation widths of the capture and judging formats (fixed values).
 CLIP_QUERY = 500
@@ -27,8 +28,8 @@ def utrim(c: Column | str) -> Column:
 
 
 def is_blank(c: Column | str) -> Column:
-    """True for NULL, empty and white-space-only text."""
-    return F.coalesce(F.length(utrim(c)) == 0, F.lit(True))
+    """True for NULL, empty and white-space-only text; stops at the first other character."""
+    return ~F.coalesce(col(c).rlike(_INK), F.lit(False))
 
 
 def truthy_text(c: Column | str) -> Column:

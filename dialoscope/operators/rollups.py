@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dialoscope.functions.quality import QUALITIES, backfill_steps, classify_quality, detect_leaks
+from dialoscope.functions.quality import QUALITIES, backfill_steps, classify_quality, leak_labels, lowered
 from dialoscope.functions.text import cents, ratio_round, truthy_text
 from dialoscope.operators.tools import tool_match
 
@@ -20,14 +20,14 @@ RUN = ("account", "run_version")
 
 def enrich(records: DataFrame, normalize_quotes: bool = False, rubric: str = "v2") -> DataFrame:
     """Add response_quality, info_leak, leak_indicators; fill in missing step counts."""
-    leaks = detect_leaks("response", normalize_quotes=normalize_quotes)
+    low = F.col("__low")
     return (records
+            .withColumn("__low", lowered("response", normalize_quotes))
             .withColumn("step_count", F.coalesce(backfill_steps("step_count", "status_sequence"), F.lit(0)))
             .withColumn("response_quality", classify_quality("response", "error", rubric,
-                                                             normalize_quotes=normalize_quotes))
-            .withColumn("__leaks", leaks)
-            .withColumn("info_leak", F.col("__leaks.info_leak"))
-            .withColumn("leak_indicators", F.col("__leaks.leak_indicators")).drop("__leaks"))
+                                                             normalize_quotes=normalize_quotes, low=low))
+            .withColumn("leak_indicators", leak_labels("response", normalize_quotes=normalize_quotes, low=low))
+            .withColumn("info_leak", F.size("leak_indicators") > 0).drop("__low"))
 
 
 def _quality_counts() -> list[Column]:
