@@ -82,22 +82,34 @@ def _matches(c: Column, pattern: str) -> Column:
 _WORD_LIST = re.compile(r"(\\b)?\(([^()\[\]{}\\.*+?^$]+)\)(\\b)?")
 
 
-def _holds_any(c: Column, words: Sequence[str]) -> Column:
-    found = c.contains(words[0])
-    for word in words[1:]:
-        found = found | c.contains(word)
-    return found
+def _literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _found(c: Column, pattern: str) -> Column:
-    """Pattern search with a substring test in front wherever one is implied."""
+def _search(pattern: str, x: str) -> str:
+    """SQL for a pattern search in the column ``x``, with a substring test in front wherever one is implied."""
     listed = _WORD_LIST.fullmatch(pattern)
-    if listed:
-        words = listed[2].split("|")
-        return _holds_any(c, words) & _matches(c, pattern) if listed[1] or listed[3] else _holds_any(c, words)
-    if pattern in _CLUES:
-        return _holds_any(c, _CLUES[pattern]) & _matches(c, pattern)
-    return _matches(c, pattern)
+    words = listed[2].split("|") if listed else _CLUES.get(pattern, ())
+    hinted = "(" + " OR ".join(f"contains({x}, {_literal(w)})" for w in words) + ")"
+    search = f"{x} RLIKE {_literal(_FLAGS + pattern)}"
+    if listed and not listed[1] and not listed[3]:
+        return hinted
+    return f"({hinted} AND {search})" if words else search
+
+
+def _found(c: Column | str, patterns: Sequence[str]) -> Column:
+    """Does any of the patterns occur?
+
+    For a named column one SQL text is parsed for the whole set: put together
+    Column by Column, the rules cost seconds of driver time.
+    """
+    if isinstance(c, str):
+        name = f"`{c}`"
+        return F.expr(" OR ".join(_search(p, name) for p in patterns))
+    hit = F.lit(False)
+    for p in patterns:
+        hit = hit | _matches(c, p)
+    return hit
 
 
 def _plain_quotes(c: Column, normalize: bool) -> Column:
@@ -109,15 +121,12 @@ def no_data_match(response: Column | str, patterns: Sequence[str] = NO_DATA_PATT
                   normalize_quotes: bool = False) -> Column:
     """0-based index of the first no-data pattern found in the text, else NULL."""
     low = F.lower(_plain_quotes(col(response), normalize_quotes))
-    return F.coalesce(*[F.when(_found(low, p), F.lit(i)) for i, p in enumerate(patterns)])
+    return F.coalesce(*[F.when(_matches(low, p), F.lit(i)) for i, p in enumerate(patterns)])
 
 
-def is_no_data(low: Column, patterns: Sequence[str] = NO_DATA_PATTERNS) -> Column:
+def is_no_data(low: Column | str, patterns: Sequence[str] = NO_DATA_PATTERNS) -> Column:
     """Any no-data pattern present in the lower-cased text."""
-    hit = F.lit(False)
-    for p in patterns:
-        hit = hit | _found(low, p)
-    return hit
+    return _found(low, patterns)
 
 
 def lowered(response: Column | str, normalize_quotes: bool = False) -> Column:
@@ -127,10 +136,10 @@ def lowered(response: Column | str, normalize_quotes: bool = False) -> Column:
 
 def classify_quality(response: Column | str, error: Column | str, rubric: str = "v2",
                      no_data_patterns: Sequence[str] = NO_DATA_PATTERNS,
-                     normalize_quotes: bool = False, low: Column | None = None) -> Column:
+                     normalize_quotes: bool = False, low: Column | str | None = None) -> Column:
     """Quality bucket of a response; the first rule that applies decides.
 
-    ``low`` may pass in a column that holds ``lowered(response)`` already.
+    ``low`` may name a column that holds ``lowered(response)`` already.
 
     ``rubric='v2'`` has four buckets.  ``'v1'`` is the older written rubric
     without ``no_data``, kept so that runs judged under it stay comparable.
@@ -138,10 +147,9 @@ def classify_quality(response: Column | str, error: Column | str, rubric: str =
     text = _plain_quotes(F.coalesce(col(response), F.lit("")), normalize_quotes)
     low = lowered(response, normalize_quotes) if low is None else low
     failed = truthy_text(error) | is_blank(low)
-    has_figures = _matches(text, FIGURE_SIGNS) | _found(low, LISTING_WORDS)
+    has_figures = _matches(text, FIGURE_SIGNS) | _found(low, [LISTING_WORDS])
     has_table = _matches(text, PIPE_TABLE) & _matches(text, NUMBERISH)
-    refuses = _found(low, REFUSAL_WORDS)
-    hedges = _found(low, HEDGE_WORDS)
+    refuses, hedges = _found(low, [REFUSAL_WORDS]), _found(low, [HEDGE_WORDS])
     if rubric == "v1":
         return (F.when(failed, "fail").when(refuses, "marginal").when(has_figures, "success")
                 .when(hedges, "marginal")
@@ -156,15 +164,15 @@ def classify_quality(response: Column | str, error: Column | str, rubric: str =
 
 
 def leak_labels(response: Column | str, patterns: Mapping[str, str] = LEAK_PATTERNS,
-                normalize_quotes: bool = False, low: Column | None = None) -> Column:
+                normalize_quotes: bool = False, low: Column | str | None = None) -> Column:
     """Labels of all leak patterns found, in the order of the pattern set."""
     low = lowered(response, normalize_quotes) if low is None else low
     none = F.array().cast("array<string>")
-    return F.concat(*[F.when(_found(low, p), F.array(F.lit(name))).otherwise(none) for name, p in patterns.items()])
+    return F.concat(*[F.when(_found(low, [p]), F.array(F.lit(name))).otherwise(none) for name, p in patterns.items()])
 
 
 def detect_leaks(response: Column | str, patterns: Mapping[str, str] = LEAK_PATTERNS,
-                 normalize_quotes: bool = False, low: Column | None = None) -> Column:
+                 normalize_quotes: bool = False, low: Column | str | None = None) -> Column:
     """Struct of ``info_leak`` and ``leak_indicators``."""
     labels = leak_labels(response, patterns, normalize_quotes, low)
     return F.struct((F.size(labels) > 0).alias("info_leak"), labels.alias("leak_indicators"))

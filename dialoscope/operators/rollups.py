@@ -20,14 +20,12 @@ RUN = ("account", "run_version")
 
 def enrich(records: DataFrame, normalize_quotes: bool = False, rubric: str = "v2") -> DataFrame:
     """Add response_quality, info_leak, leak_indicators; fill in missing step counts."""
-    low = F.col("__low")
-    return (records
-            .withColumn("__low", lowered("response", normalize_quotes))
-            .withColumn("step_count", F.coalesce(backfill_steps("step_count", "status_sequence"), F.lit(0)))
-            .withColumn("response_quality", classify_quality("response", "error", rubric,
-                                                             normalize_quotes=normalize_quotes, low=low))
-            .withColumn("leak_indicators", leak_labels("response", normalize_quotes=normalize_quotes, low=low))
-            .withColumn("info_leak", F.size("leak_indicators") > 0).drop("__low"))
+    lower = records.withColumn("__low", lowered("response", normalize_quotes))
+    return lower.withColumns({
+        "step_count": F.coalesce(backfill_steps("step_count", "status_sequence"), F.lit(0)),
+        "response_quality": classify_quality("response", "error", rubric, normalize_quotes=normalize_quotes, low="__low"),
+        "leak_indicators": leak_labels("response", normalize_quotes=normalize_quotes, low="__low"),
+    }).withColumn("info_leak", F.size("leak_indicators") > 0).drop("__low")
 
 
 def _quality_counts() -> list[Column]:
