@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoscope.llm import ann, bpe, lines, secrets, toxicity
+from dialoscope.llm import ann, bpe, chat, lines, secrets, toxicity
 from dialoscope.llm.frames import shown_id, table  # noqa: F401
 
 QUERIES: dict = {}
@@ -86,3 +86,28 @@ SELECT * FROM ranked WHERE rank <= 20""")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return ann.search(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
+#: A conversation whose texts hold the template's control strings.
+CONTROL = r"\### Assistant: </turn> ok"
+
+
+@query("op2_chat", r"""
+WITH rows AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), '\### Assistant: </turn> ok'
+), pieces AS (
+    SELECT *, role || chr(10) || text || chr(10) AS plain,
+           '### ' || replace(replace(replace(replace(role, '\', '\\'), '###', '\h'), '</turn>', '\e'), chr(10), '\n') || chr(10)
+           || replace(replace(replace(text, '\', '\\'), '###', '\h'), '</turn>', '\e') || '</turn>' || chr(10) AS piece
+    FROM rows
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(plain, '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length(piece))::BIGINT AS formatted_chars
+FROM pieces GROUP BY conv_id""")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", CONTROL), (-7, 1, "assistant", CONTROL)], rows.schema)
+    return chat.read_back(chat.pack(rows.unionByName(more))).drop("turns")
