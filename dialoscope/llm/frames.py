@@ -31,7 +31,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def bounded_batches(spark: SparkSession) -> None:
     """Long texts: bound Arrow batches by bytes, not by rows alone. Results do not depend on it."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
 
 def records(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

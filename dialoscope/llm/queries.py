@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoscope.llm import ann, bpe, chat, lines, secrets, toxicity
+from dialoscope.llm import ann, bpe, chat, decontaminate, jaccard, lines, secrets, toxicity
 from dialoscope.llm.frames import shown_id, table  # noqa: F401
 
 QUERIES: dict = {}
@@ -111,3 +111,42 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.createDataFrame([(-7, 0, "user", CONTROL), (-7, 1, "assistant", CONTROL)], rows.schema)
     return chat.read_back(chat.pack(rows.unionByName(more))).drop("turns")
+
+
+@query("op3_jaccard", r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+    SELECT DISTINCT doc_id, CASE WHEN len(w) < 4 THEN hash(w) ELSE hash(w[i:i + 3]) END AS s
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM words WHERE len(w) > 0)
+), sizes AS (
+    SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), ranked AS (
+    SELECT doc_id, s, n, row_number() OVER (PARTITION BY doc_id ORDER BY df, s) AS r
+    FROM (SELECT *, count(*) OVER (PARTITION BY s) AS df FROM shingles) JOIN sizes USING (doc_id)
+), candidates AS (
+    SELECT DISTINCT a.doc_id AS a, b.doc_id AS b
+    FROM ranked a JOIN ranked b ON a.s = b.s AND a.doc_id < b.doc_id
+    WHERE a.r <= a.n - ceil(a.n * 0.85) + 1 AND b.r <= b.n - ceil(b.n * 0.85) + 1 AND a.n >= 0.85 * b.n AND b.n >= 0.85 * a.n
+), shared AS (
+    SELECT c.a, c.b, count(*) AS hits FROM candidates c JOIN shingles x ON x.doc_id = c.a JOIN shingles y ON y.doc_id = c.b AND y.s = x.s
+    GROUP BY c.a, c.b
+), links AS (
+    SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * hits >= 85 * (x.n + y.n - hits)
+), edges AS (
+    SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach(doc_id, other) AS (
+    SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM reach r JOIN edges e ON e.a = r.other
+)
+SELECT d.doc_id, coalesce(z.n, 0)::BIGINT AS n_shingles, m.component_id
+FROM documents d LEFT JOIN sizes z USING (doc_id) JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) m USING (doc_id)""")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.groups(table(spark, sf_dir, "documents"), n=4, percent=85)
+    return found.select(shown_id("doc").alias("doc_id"), "n_shingles", shown_id("component_id").alias("component_id"))
+
+
+@query("op10_decontaminate")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(shown_id("doc").alias("doc_id"), "item_id", "kind", "coverage", "n_windows", "n_changed")
