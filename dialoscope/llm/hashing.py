@@ -80,31 +80,30 @@ def runs(mask: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(start), np.flatnonzero(end) + 1
 
 
-def winnow(h: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Local minima: of every window of ``size`` hashes inside a row, the position of its smallest (the last such).
+def winnow(h: np.ndarray, at: np.ndarray, gram: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Local minima: for every window of ``size`` units of a row, its gram with the smallest hash (the last such).
 
-    ``at``: bounds of the rows in ``h``.  Returns the chosen positions, each once,
-    with the first and the last window start that chose it.  Equal windows choose
-    the same position relative to their start, wherever they are.
+    ``h``: hash of every gram of ``gram`` units; ``at``: bounds of the rows in
+    units.  Returns the chosen grams, each once, with the first and the last window
+    start that chose it.  Equal windows choose the same place, wherever they are.
     """
-    n = len(h) - size + 1
+    width = size - gram + 1
+    n = len(h) - width + 1
     if n < 1:
         return (np.zeros(0, np.int64),) * 3
     low = U(2**31 - 1)
     least = (h & ~low) | (low - np.arange(len(h), dtype=U))
-    width = 1
-    while 2 * width <= size:
-        least = np.minimum(least[:-width], least[width:])
-        width *= 2
-    least = np.minimum(least[:n], least[size - width:size - width + n])
-    inside = np.ones(n, bool)
-    for back in (at[1:-1],):  # windows that would cross into the next row
-        if size > 1 and len(back):
-            cross = np.zeros(len(h) + 1, np.int32)
-            np.add.at(cross, np.maximum(back - size + 1, 0), 1)
-            np.add.at(cross, back, -1)
-            inside = np.cumsum(cross)[:n] == 0
-    start = np.flatnonzero(inside)
+    reach = 1
+    while 2 * reach <= width:
+        least = np.minimum(least[:-reach], least[reach:])
+        reach *= 2
+    least = np.minimum(least[:n], least[width - reach:width - reach + n])
+    # window starts of the rows that hold a window
+    long = np.diff(at) >= size
+    steps = np.zeros(n + 1, np.int32)
+    np.add.at(steps, at[:-1][long], 1)
+    np.add.at(steps, at[1:][long] - size + 1, -1)
+    start = np.flatnonzero(np.cumsum(steps)[:n] > 0)
     chosen = (low - (least[start] & low)).astype(np.int64)
     if not len(chosen):
         return (np.zeros(0, np.int64),) * 3

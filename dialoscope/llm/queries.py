@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoscope.llm import ann, bpe, chat, decontaminate, jaccard, lines, secrets, toxicity
+from dialoscope.llm import ann, bpe, chat, decontaminate, jaccard, lines, secrets, substrings, toxicity
 from dialoscope.llm.frames import shown_id, table  # noqa: F401
 
 QUERIES: dict = {}
@@ -150,3 +150,24 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(shown_id("doc").alias("doc_id"), "item_id", "kind", "coverage", "n_windows", "n_changed")
+
+
+@query("op7_substring_dedup", r"""
+WITH words AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+    SELECT doc_id, i, w[i:i + 19] AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM words)
+), later AS (
+    SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS r FROM windows) WHERE r > 1
+), gone AS (
+    SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM later
+), judged AS (
+    SELECT p.doc_id, p.i, p.word, g.i IS NOT NULL AS removed
+    FROM (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM words) p LEFT JOIN gone g ON g.doc_id = p.doc_id AND g.i = p.i
+)
+SELECT d.doc_id, count(j.i)::BIGINT AS n_words, (count(*) FILTER (j.removed))::BIGINT AS n_removed,
+       sha256(coalesce(string_agg(j.word, ' ' ORDER BY j.i) FILTER (NOT j.removed), '')) AS kept_sha256
+FROM documents d LEFT JOIN judged j USING (doc_id) GROUP BY d.doc_id""")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substrings.dedup(docs, outputs=("n_words", "n_removed", "kept_sha256"))
