@@ -57,6 +57,8 @@ def seeds(docs: DataFrame, units: Units, gram: int, size: int, keep_first: bool)
 
     keep_first: the first occurrence (smallest doc and place) stays; else all occurrences go.
     """
+    if not 0 <= size - gram < 256:
+        raise ValueError("a window must hold its gram and at most 255 units more")
     names = ["a", "g", "doc", "at"]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoscope.llm import ann, bpe, chat, decontaminate, jaccard, lines, secrets, substrings, toxicity
+from dialoscope.llm import ann, bpe, chat, decontaminate, jaccard, lines, secrets, substrings, suffixes, toxicity
 from dialoscope.llm.frames import shown_id, table  # noqa: F401
 
 QUERIES: dict = {}
@@ -171,3 +171,9 @@ FROM documents d LEFT JOIN judged j USING (doc_id) GROUP BY d.doc_id""")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substrings.dedup(docs, outputs=("n_words", "n_removed", "kept_sha256"))
+
+
+@query("op1_suffix_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffixes.dedup(docs, outputs=("n_bytes", "n_removed", "n_spans", "kept_sha256"))
