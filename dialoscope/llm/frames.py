@@ -53,7 +53,7 @@ def scratch(spark: SparkSession) -> str:
     """
     shared = spark.conf.get("spark.checkpoint.dir", "")
     if not shared:
-        if not spark.sparkContext.master.startswith("local["):
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         shared = spark.conf.get("spark.sql.warehouse.dir") + "/llm-scratch"
     return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"

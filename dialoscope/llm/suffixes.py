@@ -276,9 +276,12 @@ def shard_repeats(delegates: DataFrame, size: int, shard: int = SHARD) -> DataFr
         rows: list[tuple] = []  # whole anchors, waiting for company
         group: list[tuple] = []  # the open anchor
         held = grown = 0
-        cut = False
+        cut, last = False, None
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:3] == last:  # a repeated row of the table
+                    continue
+                last = row[:3]
                 if group and group[0][0] != row[0]:
                     if cut:
                         yield from solve(group, True)
