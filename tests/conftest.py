@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -13,7 +14,8 @@ from dialoscope.session import build_session  # noqa: E402
 def spark():
     session = build_session("tests", "local[8]", **{
         "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "6g",
-        "spark.ui.showConsoleProgress": "false"})
+        "spark.ui.showConsoleProgress": "false", "spark.checkpoint.dir": tempfile.mkdtemp(prefix="tests-"),
+        "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="warehouse-")})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
