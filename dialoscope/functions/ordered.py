@@ -104,14 +104,16 @@ def trailing_rows(df: DataFrame, keys: Sequence[str], index: str, width: int, va
             .where(F.col(_BLK) == F.col("__own")).drop("__v", "__own", _BLK))
 
 
-def global_rank(df: DataFrame, measure: str, out: str, buckets: int = 64) -> DataFrame:
+def global_rank(df: DataFrame, measure: str, out: str, buckets: int | None = None) -> DataFrame:
     """Competition rank (1 = largest ``measure``) over the whole frame.
 
     Equal values are folded first, so ties never pile up.  The distinct values
     are cut at their approximate quantiles into ``buckets`` ranges; the window
     runs inside a range and only ``buckets`` range totals are scanned in one
     place.  The cut points steer balance alone: any cut gives the exact rank.
+    By default there are as many ranges as shuffle partitions.
     """
+    buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     values = df.groupBy(F.col(measure).alias("__m")).agg(F.count("*").alias("__n"))
     points = values.agg(F.percentile_approx(
         "__m", [i / buckets for i in range(1, buckets)], F.lit(100 * buckets)).alias("p"))

@@ -12,7 +12,6 @@ from dialoscope.functions.ordered import DEFAULT_BLOCK, fill_forward
 from dialoscope.functions.quality import BOT_QUALITIES, classify_bot_quality
 from dialoscope.functions.text import cents, ratio_round, truthy_text
 from dialoscope.operators.tools import called_tools
-from dialoscope.session import broadcast_if_small
 
 # Pass-rate tiers of the dashboard.
 GREEN_RATE, AMBER_RATE = 80, 50
@@ -56,18 +55,28 @@ def extract_bot_response(raw: str = "raw") -> Column:
                   f"'knowledge_files', {files}))[0]")
 
 
+def literal(c: Column) -> Column:
+    """Text as a quoted literal: in double quotes if it holds an apostrophe and no double quote, else in single ones."""
+    plain = F.replace(c, F.lit("\\"), F.lit("\\\\"))
+    for sign, shown in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        plain = F.replace(plain, F.lit(sign), F.lit(shown))
+    double = c.contains("'") & ~c.contains('"')
+    single = F.concat(F.lit("'"), F.replace(plain, F.lit("'"), F.lit("\\'")), F.lit("'"))
+    return F.when(double, F.concat(F.lit('"'), plain, F.lit('"'))).otherwise(single)
+
+
 def _failures(text: Column, kind: Column, used: Column) -> list[Column]:
     """Reason texts of the failed checks, in checking order; NULL for a check that holds."""
     low = F.lower(F.coalesce(text, F.lit("")))
     want = F.col("exp_response_type")
-    shown = F.concat(F.lit("["), F.array_join(F.transform(used, lambda t: F.concat(F.lit("'"), t, F.lit("'"))), ", "),
+    shown = F.concat(F.lit("["), F.array_join(F.transform(used, literal), ", "),
                      F.lit("]"))
     missing = F.get(F.filter("exp_contains", lambda p: ~low.contains(F.lower(p))), 0)
     unwanted = F.get(F.filter("exp_not_contains", lambda p: low.contains(F.lower(p))), 0)
     forbidden = F.get(F.filter("exp_not_tool", lambda t: F.array_contains(used, t)), 0)
 
     def quoted(c: Column) -> Column:
-        return F.when(c.isNull(), "None").otherwise(F.concat(F.lit("'"), c, F.lit("'")))
+        return F.when(c.isNull(), "None").otherwise(literal(c))
 
     return [
         F.when(want.isNotNull() & ~kind.eqNullSafe(want),
@@ -89,7 +98,7 @@ def check_expectations(results: DataFrame, expectations: DataFrame, on: Sequence
     text as reason unless a check already gave one.  Only an error lowers the
     quality; a failed expectation does not.
     """
-    joined = results.join(broadcast_if_small(expectations), list(on), "left")
+    joined = results.join(expectations, list(on), "left")
     used = called_tools("tools_used", "name")
     failures = _failures(F.col("response_text"), F.col("response_type"), used)
     errored = truthy_text("error")

@@ -18,13 +18,15 @@ SORT_COLUMNS = ("query_id", "bot_name", "category", "query", "response_type", "p
 def select_version(records: DataFrame, manifest: DataFrame, version: int | None = None) -> DataFrame:
     """Records of the given version, or of each account's latest version in the manifest.
 
-    An unknown version raises, naming those that exist.
+    An unknown version fails the query when it runs, naming how many exist and in what range.
     """
     if version is not None:
-        if manifest.where(F.col("version") == version).isEmpty():
-            known = [r.version for r in manifest.select("version").distinct().orderBy("version").limit(100).collect()]
-            raise ValueError(f"version {version} not found; available: {known}")
-        return records.where(F.col("run_version") == version)
+        text = [F.lit(f"version {version} not found; available: "), F.count_distinct("version").cast("string"), F.lit(" from "),
+                F.coalesce(F.min("version").cast("string"), F.lit("-")), F.lit(" to "),
+                F.coalesce(F.max("version").cast("string"), F.lit("-"))]
+        found = manifest.agg(F.when(F.count_if(F.col("version") == version) > 0, F.lit(version)).otherwise(
+            F.raise_error(F.concat(*text)).cast("int")).alias("v"))
+        return records.where(F.col("run_version") == found.scalar())
     top = manifest.groupBy("account").agg(F.max("version").alias("run_version"))
     return records.join(top, ["account", "run_version"], "left_semi")
 

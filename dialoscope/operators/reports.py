@@ -17,7 +17,6 @@ from dialoscope.functions.ordered import global_rank
 
 AGEING_BUCKETS = ("0-30", "31-60", ">60", "other")  # fixed values
 CREDIT_DAYS = 30
-PAGE_BOUND = 10_000
 
 
 def money(c: str) -> Column:
@@ -50,15 +49,16 @@ def _amount(c: Column | str) -> Column:
     return F.coalesce(c, F.lit(0)).cast("double")
 
 
-def page_of(ranked: DataFrame, order: Sequence[Column], limit: int, offset: int = 0) -> DataFrame:
+def page_of(ranked: DataFrame, order: Sequence[Column], limit: int, offset: int = 0, total: Column | None = None) -> DataFrame:
     """One page with serial number, total count and the first and last record number.
 
     The page is cut by a distributed top-k first, so the numbering window sees
-    at most ``limit`` rows.
+    at most ``limit`` rows.  ``total`` gives the number of all rows where it is
+    cheaper to have than by counting ``ranked``.
     """
-    if not 0 < limit <= PAGE_BOUND or offset < 0:
-        raise ValueError(f"limit must lie in 1..{PAGE_BOUND} and offset must not be negative")
-    total = ranked.agg(F.count("*").alias("n")).scalar()
+    if limit <= 0 or offset < 0:
+        raise ValueError("limit must be positive and offset must not be negative")
+    total = ranked.agg(F.count("*").alias("n")).scalar() if total is None else total
     cut = ranked.orderBy(*order)
     cut = (cut.offset(offset) if offset else cut).limit(limit)
     return (cut.withColumn("sNo", F.row_number().over(Window.orderBy(*order)) + offset)
@@ -79,7 +79,9 @@ def top_customers(lineitem: DataFrame, orders: DataFrame, customer: DataFrame, s
                   limit: int = 10, offset: int = 0) -> DataFrame:
     """Customers ranked by sales; names are looked up for the page alone."""
     sales = sales_by_customer(lineitem, orders, start, end)
-    page = page_of(sales, [F.desc("total_sales"), F.asc("c_custkey")], limit, offset)
+    buyers = orders.join(in_range(lineitem, "l_shipdate", start, end), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi") \
+        .agg((F.count_distinct("o_custkey") + F.max(F.when(F.col("o_custkey").isNull(), 1).otherwise(0))).alias("n")).scalar()
+    page = page_of(sales, [F.desc("total_sales"), F.asc("c_custkey")], limit, offset, F.coalesce(buyers, F.lit(0).cast("bigint")))
     return (F.broadcast(page).join(customer.select("c_custkey", "c_name"), "c_custkey")
             .select("sNo", "c_custkey", "c_name", _amount("total_sales").alias("total_sales"), "total_count",
                     "startRecord", "endRecord"))

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dialoscope.functions.text import split_expected, truthy_text
-from dialoscope.session import broadcast_if_small
 
 
 def called_tools(calls: str = "tool_calls", name: str = "tool"):
@@ -49,13 +48,13 @@ def phantom_tools(calls: DataFrame, registry: DataFrame, keys: Sequence[str] = (
     """
     counted = calls.groupBy(*keys, "tool").agg(F.count("*").alias("calls"))
     known = registry.select(F.col("name").alias("tool"))
-    return counted.join(broadcast_if_small(known), "tool", "left_anti")
+    return counted.join(known, "tool", "left_anti")
 
 
 def split_phantoms(traces: DataFrame, registry: DataFrame) -> DataFrame:
     """Flag traces whose selected tool is unknown; they score 0 and need no judge."""
     known = registry.select(F.col("name").alias("selected_tool"), F.lit(True).alias("__known")).distinct()
-    joined = traces.join(broadcast_if_small(known), "selected_tool", "left")
+    joined = traces.join(known, "selected_tool", "left")
     unknown = F.col("__known").isNull() & (F.col("selected_tool") != "none")
     return (joined.withColumn("is_phantom", unknown)
             .withColumn("auto_score", F.when(unknown, F.lit(0.0))).drop("__known"))

@@ -21,17 +21,9 @@ REGISTRY_HEADER = "| # | Tool | Family | Enabled | Description |\n|---|------|--
 EMPTY_REGISTRY = "(No tools registered.)"
 TOOL_PROMPT_SLOTS = ("{{TOOL_REGISTRY}}", "{{USER_QUERY}}", "{{SELECTED_TOOL}}", "{{SELECTED_TOOL_ARGS}}")
 
-REGISTRY_BOUND = 10_000  # a prompt holds the whole registry; more entries than this is an input error
-
 
 def registry_block(registry: DataFrame) -> DataFrame:
-    """The registry as one markdown text (one row, column ``block``).
-
-    One text is what a prompt needs.  The row count is checked against
-    ``REGISTRY_BOUND`` and exceeding it raises.
-    """
-    if registry.limit(REGISTRY_BOUND + 1).count() > REGISTRY_BOUND:
-        raise ValueError(f"registry exceeds {REGISTRY_BOUND} tools; it cannot be put into a prompt")
+    """The registry as one markdown text (one row, column ``block``), which is what a prompt needs."""
     tick = F.when(F.col("enabled"), "✅").otherwise("❌")
     rows = F.array_sort(F.collect_list(F.struct("ord", "name", "family", tick.alias("tick"), "description")))
     lines = F.transform(rows, lambda r, i: F.concat(
@@ -180,16 +172,27 @@ def echo_target(examples: DataFrame) -> DataFrame:
 
 def multiturn_summary(conversations: DataFrame, turns: DataFrame, verdicts: DataFrame) -> DataFrame:
     """One row: conversations, turns, judged, failed, skipped, average score and quality counts."""
-    seen = conversations.agg(F.count_distinct("session_id").alias("x")).scalar()
-    with_turns = turns.agg(F.count_distinct("session_id").alias("x")).scalar()
-    n_turns = turns.agg(F.count("*").alias("x")).scalar()
-    milli = F.sum(F.floor(F.col("score") * 1000 + 0.5).cast("bigint"))
-    summed = verdicts.agg(F.count("*").alias("succeeded"), milli.alias("m"),
-                          *[F.count_if(F.col("quality") == q).alias(q) for q in QUALITIES])
-    return summed.select(
-        seen.alias("conversations"), n_turns.alias("turns"), "succeeded", (n_turns - F.col("succeeded")).alias("failed"),
-        (seen - with_turns).alias("skipped"),
-        F.coalesce(ratio_round(F.col("m"), F.col("succeeded"), 0) / 1000.0, F.lit(0.0)).alias("avg_score"), *QUALITIES)
+    # one count per session from each input; scores are summed exactly and the average is rounded once
+    zero = F.lit(0).cast("bigint")
+    none = [F.lit(None).cast("decimal(38,9)").alias("sum_score"), *[zero.alias(q) for q in QUALITIES]]
+    sessions = conversations.groupBy("session_id").agg(F.lit(1).cast("bigint").alias("seen")).select(
+        "session_id", "seen", zero.alias("n_turns"), zero.alias("succeeded"), *none)
+    cut = turns.groupBy("session_id").agg(F.count("*").alias("n_turns")).select(
+        "session_id", zero.alias("seen"), "n_turns", zero.alias("succeeded"), *none)
+    judged = verdicts.groupBy("session_id").agg(
+        F.count("*").alias("succeeded"), F.sum(F.col("score").cast("decimal(18,9)")).cast("decimal(38,9)").alias("sum_score"),
+        *[F.count_if(F.col("quality") == q).alias(q) for q in QUALITIES])
+    judged = judged.select("session_id", zero.alias("seen"), zero.alias("n_turns"), "succeeded", "sum_score", *QUALITIES)
+    sums = sessions.unionByName(cut).unionByName(judged).groupBy("session_id").agg(
+        *[F.sum(c).alias(c) for c in ("seen", "n_turns", "succeeded", "sum_score", *QUALITIES)])
+    total = lambda c: F.coalesce(F.sum(c), zero)
+    nano = (F.sum("sum_score") * 1_000_000_000).cast("decimal(38,0)")
+    average = ratio_round(nano, F.sum("succeeded") * 1_000_000, 0) / 1000.0
+    return sums.agg(
+        total("seen").alias("conversations"), total("n_turns").alias("turns"), total("succeeded").alias("succeeded"),
+        (total("n_turns") - total("succeeded")).alias("failed"),
+        F.count_if((F.col("seen") > 0) & (F.col("n_turns") == 0)).alias("skipped"),
+        F.coalesce(average, F.lit(0.0)).alias("avg_score"), *[total(q).alias(q) for q in QUALITIES])
 
 
 def conversation_scores(verdicts: DataFrame) -> DataFrame:

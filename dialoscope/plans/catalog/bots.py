@@ -46,15 +46,21 @@ QUALITY = """CASE WHEN coalesce(error, '') <> '' OR regexp_replace(low, '^\\s+|\
  WHEN contains(low, 'sorry') OR contains(low, 'couldn''t') OR contains(low, 'something went wrong')
   OR contains(low, 'unable to') OR contains(low, 'went wrong') THEN 'marginal' ELSE 'success' END"""
 _LIST = "CASE WHEN {0} = '' THEN [] ELSE string_split({0}, ',') END"
+def literal(x: str) -> str:
+    """Text as a quoted literal."""
+    return (f"CASE WHEN contains({x}, '''') AND NOT contains({x}, chr(34)) THEN chr(34) || {x} || chr(34) "
+            f"ELSE '''' || replace({x}, '''', chr(92) || '''') || '''' END")
+
+
 CHECKED = f"""SELECT *, fail_reason = '' AS passed FROM (SELECT r.*, {QUALITY} AS quality,
  CASE WHEN coalesce(error, '') <> '' THEN error
  WHEN exp_response_type IS NOT NULL AND response_type IS DISTINCT FROM exp_response_type
-  THEN 'expected response_type=''' || exp_response_type || ''', got ' || coalesce('''' || response_type || '''', 'None')
- WHEN len(missing) > 0 THEN 'expected to contain ''' || missing[1] || ''', not found'
- WHEN len(unwanted) > 0 THEN 'unexpected phrase ''' || unwanted[1] || ''' found in response'
- WHEN exp_tool <> '' AND NOT list_contains(used, exp_tool) THEN 'expected tool ''' || exp_tool || ''', used: ['
-  || array_to_string(list_transform(used, lambda t: '''' || t || ''''), ', ') || ']'
- WHEN len(forbidden) > 0 THEN 'forbidden tool ''' || forbidden[1] || ''' was invoked' ELSE '' END AS fail_reason
+  THEN 'expected response_type=' || {literal('exp_response_type')} || ', got ' || coalesce({literal('response_type')}, 'None')
+ WHEN len(missing) > 0 THEN 'expected to contain ' || {literal('missing[1]')} || ', not found'
+ WHEN len(unwanted) > 0 THEN 'unexpected phrase ' || {literal('unwanted[1]')} || ' found in response'
+ WHEN exp_tool <> '' AND NOT list_contains(used, exp_tool) THEN 'expected tool ' || {literal('exp_tool')} || ', used: ['
+  || array_to_string(list_transform(used, lambda t: {literal('t')}), ', ') || ']'
+ WHEN len(forbidden) > 0 THEN 'forbidden tool ' || {literal('forbidden[1]')} || ' was invoked' ELSE '' END AS fail_reason
  FROM (SELECT r.*, e.exp_response_type, e.exp_tool,
   list_filter({_LIST.format('contains_csv')}, lambda p: NOT contains(low, lower(p))) AS missing,
   list_filter({_LIST.format('not_contains_csv')}, lambda p: contains(low, lower(p))) AS unwanted,

@@ -40,7 +40,7 @@ TURNS = """SELECT session_id, row_number() OVER w AS turn_index, count(*) OVER (
  WHERE regexp_replace(query, '^\\s+|\\s+$', '', 'g') <> '' WINDOW w AS (PARTITION BY session_id ORDER BY opened)"""
 # Verdicts derived from the turns; one in five turns has none.
 VERDICTS = """SELECT session_id, turn_index, CASE (session_id + turn_index) % 4 WHEN 0 THEN 'success' WHEN 1 THEN 'no_data'
- WHEN 2 THEN 'marginal' ELSE 'fail' END AS quality, CAST((session_id + turn_index) % 5 AS DOUBLE) / 4 AS score,
+ WHEN 2 THEN 'marginal' ELSE 'fail' END AS quality, CAST((session_id * 1237 + turn_index * 311) % 10001 AS DOUBLE) / 10000 AS score,
  turn_index % 2 = 0 AS context_used, turn_index % 3 = 0 AS new_flow, 'r' AS reason
  FROM turns WHERE (session_id + 2 * turn_index) % 5 <> 0"""
 
@@ -100,7 +100,7 @@ def turn_results(spark, sf):
 @add("multiturn_summary", conv(f"""SELECT (SELECT count(DISTINCT session_id) FROM full_) AS conversations,
  (SELECT count(*) FROM turns) AS turns, count(*) AS succeeded, (SELECT count(*) FROM turns) - count(*) AS failed,
  (SELECT count(DISTINCT session_id) FROM full_ WHERE session_id NOT IN (SELECT session_id FROM turns)) AS skipped,
- {half_up('CAST(sum(CAST(score * 1000 AS BIGINT)) AS BIGINT)', 'count(*)', 0)} / 1000.0 AS avg_score,
+ {half_up('CAST(sum(CAST(round(score * 10000) AS BIGINT)) AS BIGINT) * 100000', 'count(*) * 1000000', 0)} / 1000.0 AS avg_score,
  count(*) FILTER (quality = 'success') AS success, count(*) FILTER (quality = 'marginal') AS marginal,
  count(*) FILTER (quality = 'no_data') AS no_data, count(*) FILTER (quality = 'fail') AS fail FROM verdicts"""))
 def multiturn_summary(spark, sf):

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 from dialoscope.operators import rollups
 from dialoscope.plans.catalog import Catalog
 from dialoscope.plans.catalog.runs import COUNTS, MANIFEST, enr, manifest, rec
-from dialoscope.plans.fixtures import oracle, table
+from dialoscope.plans.fixtures import oracle, scratch, table
 from dialoscope.plans.inputs import enriched, records
-from dialoscope.session import shared_dir
 from dialoscope.sources import files, sinks
 
 CATALOG = Catalog()
@@ -19,7 +18,7 @@ add = CATALOG.add
 @add("append_records", rec("SELECT account, run_version, query_index, category, response FROM records"))
 def append_records(spark, sf):
     """Two appends of one version each, read back as one table."""
-    path = shared_dir(spark, "records")
+    path = scratch(spark, "records")
     for v in (1, 2):
         sinks.append_records(records(spark, sf).where(F.col("run_version") == v), path)
     return spark.read.parquet(path).select("account", F.col("run_version").cast("int").alias("run_version"),
@@ -30,7 +29,7 @@ def append_records(spark, sf):
 def write_version(spark, sf):
     """One immutable version as JSON lines."""
     chosen = records(spark, sf).where("run_version = 2").drop("account", "tool_calls")
-    target = sinks.write_version(chosen, shared_dir(spark, "versions"), 2)
+    target = sinks.write_version(chosen, scratch(spark, "versions"), 2)
     schema = "query_index BIGINT, query STRING, category STRING, response_time_seconds DOUBLE"
     return spark.read.schema(schema).json(target)
 

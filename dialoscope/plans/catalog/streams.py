@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 
 from dialoscope.plans.catalog import Catalog
 from dialoscope.plans.catalog.capture import _folded
-from dialoscope.plans.fixtures import oracle, spark_text, table
-from dialoscope.session import shared_dir
+from dialoscope.plans.fixtures import fixture, oracle, scratch, spark_text, table
 from dialoscope.streaming import frames as sf_
 from dialoscope.streaming import runs as sr
 
@@ -26,13 +25,26 @@ def stream_fixture(spark, sf, name):
     return spark.sql(text)
 
 
-def run_to_end(stream, purpose):
-    """Write the stream to its end, then read the table it wrote."""
+def run_to_end(stream, purpose, more=None):
+    """Write the stream to its end, then read the table it wrote; ``more`` gives rows from the state at the end."""
     spark = stream.sparkSession
-    base = shared_dir(spark, purpose)
+    base = scratch(spark, purpose)
     query = sr.stream_records(stream, f"{base}/out", f"{base}/state")
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+    rows = spark.read.schema(stream.schema).parquet(f"{base}/out")
+    return rows.unionByName(more(spark, f"{base}/state")) if more else rows
+
+
+def in_files(rows, purpose, column, parts=4):
+    """Rows as a stream of ``parts`` files in order of ``column``, one in a micro-batch."""
+    spark = rows.sparkSession
+    base = scratch(spark, purpose)
+    bounds = [r[0] for r in rows.selectExpr(f"explode(approx_percentile({column}, array({', '.join(str(k / parts) for k in range(1, parts))})))").collect()]
+    for low, high in zip([None, *bounds], [*bounds, None]):
+        c = F.col(column)
+        rows.where((F.lit(True) if low is None else c > low) & (F.lit(True) if high is None else c <= high)) \
+            .coalesce(1).write.mode("append").parquet(f"{base}/in")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
 
 
 @add("stream_frames", oracle(["sse_frames"], """SELECT thread_id, row_number() OVER (PARTITION BY thread_id ORDER BY seq) - 1 AS seq,
@@ -45,36 +57,47 @@ def stream_frames(spark, sf):
     chunks = rows.select("thread_id", F.explode(F.array(
         F.struct((F.col("seq") * 2).alias("seq"), F.substring("t", F.lit(1), half).alias("chunk")),
         F.struct((F.col("seq") * 2 + 1).alias("seq"), F.substring("t", half + 1, F.length("t")).alias("chunk")))).alias("c"))
-    return run_to_end(sf_.stream_frames(chunks.select("thread_id", "c.*")), "stream-frames")
+    return run_to_end(sf_.stream_frames(chunks.select("thread_id", "c.*"), remember_seconds=None), "stream-frames")
 
 
-@add("stream_fold", oracle(["sse_frames"], """SELECT thread_id,
+@add("stream_fold", oracle(["sse_frames"], """SELECT f.thread_id,
  coalesce(string_agg(json_extract_string(data, '$.content'), '' ORDER BY seq) FILTER (event = 'token'), '') AS response,
  count(*) FILTER (event = 'tool_start') AS calls,
  coalesce(string_agg(json_extract_string(data, '$.tool'), ',' ORDER BY seq) FILTER (event = 'tool_start'), '') AS tools,
  coalesce(string_agg(replace(CAST(json_extract(data, '$.input') AS VARCHAR), ' ', ''), '|' ORDER BY seq)
    FILTER (event = 'tool_start'), '') AS inputs, string_agg(event, ',' ORDER BY seq) AS events,
  coalesce(max_by(json_extract_string(data, '$.suggestions[0]'), seq) FILTER (event = 'suggestions'), '') AS suggestions,
- count(*) AS step_count FROM (SELECT f.* FROM sse_frames f JOIN (SELECT thread_id, min(seq) AS last FROM sse_frames
-  WHERE event = 'done' GROUP BY 1) d ON f.thread_id = d.thread_id AND seq <= last) GROUP BY 1"""))
+ count(*) AS step_count FROM (SELECT f.* FROM sse_frames f LEFT JOIN (SELECT thread_id, min(seq) AS last FROM sse_frames
+  WHERE event = 'done' GROUP BY 1) d ON f.thread_id = d.thread_id WHERE last IS NULL OR seq <= last) f GROUP BY 1"""))
 def stream_fold(spark, sf):
-    """Finished threads only: the others wait in the state for more frames or a timeout."""
-    frames = stream_fixture(spark, sf, "sse_frames").drop("ts")
-    return _folded(run_to_end(sf_.stream_fold(frames, timed=False), "stream-fold"))
+    """Four micro-batches; threads that are still open at the end of the source come out of its state."""
+    frames = in_files(fixture(spark, sf, "sse_frames").drop("ts"), "frames-in-files", "seq")
+    return _folded(run_to_end(sf_.stream_fold(frames, timed=False), "stream-fold", sf_.open_records))
+
+
+def backlog(spark, sf, purpose):
+    """The runs as a stream of six files, newest first, one in a micro-batch; the first run of each file comes again in the last."""
+    runs = fixture(spark, sf, "trace_runs").select("run_id", "run_type", "start_time")
+    base = scratch(spark, purpose)
+    part = F.pmod(F.floor(F.col("run_id") / 40), F.lit(6))
+    for k in range(5, -1, -1):
+        rows = runs.where(part == k)
+        if k == 0:
+            rows = rows.unionByName(runs.where((part > 0) & (F.col("run_id") % 40 == 0)))
+        rows.coalesce(1).write.mode("append").parquet(f"{base}/runs")
+    return spark.readStream.schema(runs.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/runs")
 
 
-# Every run is delivered twice.
 @add("watch_runs", oracle(["trace_runs"], "SELECT run_id, run_type FROM trace_runs WHERE start_time >= TIMESTAMP '2024-01-03 00:00:00'"))
 def watch_runs(spark, sf):
-    runs = stream_fixture(spark, sf, "trace_runs").select("run_id", "run_type", "start_time")
-    twice = runs.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
-    return run_to_end(sr.watch_runs(twice, since="2024-01-03"), "watch-runs").select("run_id", "run_type")
+    runs = backlog(spark, sf, "runs-backlog")
+    return run_to_end(sr.watch_runs(runs, since="2024-01-03"), "watch-runs").select("run_id", "run_type")
 
 
 @add("poll_summary", oracle(["trace_runs"], "SELECT run_type, count(*) AS new_runs FROM trace_runs GROUP BY 1"))
 def poll_summary(spark, sf):
-    runs = stream_fixture(spark, sf, "trace_runs").select("run_id", "run_type", "start_time")
-    base = shared_dir(spark, "polls")
+    runs = backlog(spark, sf, "polls-backlog")
+    base = scratch(spark, "polls")
 
     def keep(batch, poll):
         sr.poll_summary(batch, poll).write.mode("overwrite").parquet(f"{base}/polls/poll={poll}")

@@ -8,10 +8,11 @@ Whole tables and whole texts are used throughout.
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dialoscope.session import spread_scan
+from dialoscope.session import shared_dir
 
 FIXTURES: dict[str, str] = {
     "eval_records": """
@@ -63,7 +64,7 @@ FROM documents
 SELECT concat('bot', CAST(conv_id % 5 AS VARCHAR(9))) AS bot_name, conv_id AS case_seq, turn AS turn_seq,
  CASE turn % 3 WHEN 0 THEN 'Finance' WHEN 1 THEN 'Orders' ELSE 'Edge Case' END AS category, text AS query,
  CASE WHEN (conv_id + turn) % 11 = 0 THEN NULL ELSE CASE (conv_id + turn) % 4 WHEN 0 THEN 'interactive' WHEN 1 THEN 'text' WHEN 2 THEN 'cta_url' ELSE 'empty' END END AS response_type,
- CASE (conv_id + turn) % 4 WHEN 0 THEN concat('You are Connected: ', text) WHEN 1 THEN 'Sorry, something went wrong.' WHEN 2 THEN text ELSE ' ' END AS response_text,
+ CASE (conv_id + turn) % 4 WHEN 0 THEN concat('You are Connected: ', text) WHEN 1 THEN 'Sorry, I couldn''t do that, something went wrong.' WHEN 2 THEN text ELSE ' ' END AS response_text,
  CASE WHEN (conv_id + turn) % 3 = 0 THEN 'handover_to_human' WHEN (conv_id + turn) % 3 = 1 THEN 'handover_to_payment_agent' ELSE '' END AS tools_csv,
  CASE WHEN (conv_id + turn) % 13 = 0 THEN 'timeout (30s)' END AS error,
  CAST((conv_id * 31 + turn * 7) % 1500 AS DOUBLE) / 100 AS response_time_seconds,
@@ -71,7 +72,7 @@ SELECT concat('bot', CAST(conv_id % 5 AS VARCHAR(9))) AS bot_name, conv_id AS ca
 FROM conversations
 """,
     "bot_expectations": """
-SELECT * FROM (VALUES ('Finance', CAST(NULL AS VARCHAR(20)), '', 'sorry,couldn''t,went wrong', '', ''),
+SELECT * FROM (VALUES ('Finance', CAST(NULL AS VARCHAR(20)), '', 'couldn''t,sorry,went wrong', '', ''),
  ('Orders', 'interactive', 'connected', '', '', 'handover_to_payment_agent'), ('Edge Case', CAST(NULL AS VARCHAR(20)), '', '', 'handover_to_human', ''))
  AS t(category, exp_response_type, contains_csv, not_contains_csv, exp_tool, not_tool_csv)
 """,
@@ -119,6 +120,13 @@ def duck_text(name: str) -> str:
     return _EACH.sub(r"(SELECT *, unnest([\3]) AS \2 FROM \1)", FIXTURES[name])
 
 
+def scratch(spark: SparkSession, purpose: str) -> str:
+    """A fresh shared folder; a local session without one writes below its warehouse."""
+    if not spark.conf.get("spark.checkpoint.dir", "") and spark.sparkContext.master.startswith("local["):
+        return f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch/{purpose}-{uuid.uuid4().hex}"
+    return shared_dir(spark, purpose)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -127,13 +135,13 @@ _KEYS = {"documents": "doc_id", "events": "event_id", "conversations": "conv_id"
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str, costly: bool = False) -> DataFrame:
-    """One derived input as a DataFrame; ``costly`` announces heavy work per row."""
+    """One derived input as a DataFrame; ``costly`` deals the rows out anew (a table here is one row group, hence one task)."""
     text = spark_text(name)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     for t in TABLES:
         if re.search(rf"\b{t}\b", text):
             rows = table(spark, sf_dir, t)
-            rows = spread_scan(rows, _KEYS[t]) if costly and t in _KEYS else rows
+            rows = rows.repartition(_KEYS[t]) if costly and t in _KEYS else rows
             rows.createOrReplaceTempView(t)
     return spark.sql(text)
 

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
 
 def build_session(app: str = "dialoscope", master: str | None = None, **conf: str) -> SparkSession:
@@ -35,42 +32,11 @@ def build_session(app: str = "dialoscope", master: str | None = None, **conf: st
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below the cluster's shared checkpoint location.
+    """A fresh folder below the shared location that ``spark.checkpoint.dir`` names.
 
-    ``spark.checkpoint.dir`` decides where; only when the session names no
-    such place (tests on one machine) a local temporary folder is used.
+    Without one there is no place that driver and executors both see, so it raises.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", "")
     if not base:
-        base = tempfile.mkdtemp(prefix="dialoscope-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-
-
-# A dimension is broadcast only below this row count; rows are a few hundred
-# bytes, so the ceiling stays in the tens of megabytes.
-BROADCAST_ROW_BOUND = int(os.environ.get("DIALOSCOPE_BROADCAST_ROWS", "100000"))
-
-
-def broadcast_if_small(df: DataFrame, bound: int = BROADCAST_ROW_BOUND) -> DataFrame:
-    """Hint a broadcast after counting at most ``bound + 1`` rows.
-
-    Above the bound the frame comes back unhinted, so the join falls to a
-    shuffled join with AQE skew splitting.
-    """
-    if df.limit(bound + 1).count() <= bound:
-        return F.broadcast(df)
-    return df
-
-
-def spread_scan(df: DataFrame, key: str) -> DataFrame:
-    """Spread the scan of a small file over all cores before costly per-row work.
-
-    A file with one row group is one task however many cores there are.  Large
-    inputs arrive in at least as many splits as cores and come back untouched,
-    without a shuffle.  For plain scans only.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, key)

@@ -15,13 +15,13 @@ RECORD_PARTITIONS = ("account", "run_version")
 
 
 def append_records(df: DataFrame, path: str, partitions: Sequence[str] = RECORD_PARTITIONS) -> None:
-    """Append finished records as Parquet.
+    """Add finished runs as Parquet, each run as a whole: a job that is repeated replaces what it wrote.
 
-    Rows are spread by partition and by a hash of the row, so that a run that
-    holds most of the rows is written by many tasks and small runs by one.
+    Rows are rebalanced by size at run time, so a run that holds most of the rows
+    is written by as many tasks as it needs, and small runs by one.
     """
-    salt = F.pmod(F.hash("query_index"), F.lit(32)) if "query_index" in df.columns else F.lit(0)
-    df.repartition(*[F.col(c) for c in partitions], salt).write.mode("append").partitionBy(*partitions).parquet(path)
+    (df.hint("rebalance", *[F.col(c) for c in partitions]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(*partitions).parquet(path))
 
 
 def write_version(df: DataFrame, path: str, version: int | str, fmt: str = "json") -> str:
@@ -56,7 +56,7 @@ def append_manifest(spark: SparkSession, rows: DataFrame, path: str,
     generation, current = latest_manifest(spark, path)
     merged = rows if current is None else upsert_manifest(current, rows, keys)
     target = f"{path.rstrip('/')}/generation={generation + 1}"
-    merged.coalesce(1).write.mode("errorifexists").parquet(target)
+    merged.write.mode("errorifexists").parquet(target)
     return target
 
 

@@ -2,16 +2,18 @@
 
 The stateful steps only remember text between micro-batches; reading the JSON
 and putting the record together are the same Column expressions as in batch.
-State lives in RocksDB, keyed by thread.  The rows one thread adds within a
-micro-batch are sorted in memory, so bound the batch at the source
-(``maxFilesPerTrigger`` or the like).
+State lives in RocksDB, keyed by thread, and ends: tails and closed marks by a
+time to live, open threads by their timers or when the source ends.  The rows
+one thread adds within a micro-batch are sorted in memory, so bound the batch at
+the source (``maxFilesPerTrigger`` or the like).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
@@ -19,6 +21,8 @@ from pyspark.sql.types import StructType
 from dialoscope.functions.text import utrim
 from dialoscope.operators.capture import READ_TIMEOUT_SECONDS, TOTAL_TIMEOUT_SECONDS, read_frames
 
+#: How long an unfinished tail and the mark of a closed thread are remembered.
+REMEMBER_SECONDS = 86_400
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -29,30 +33,36 @@ def use_rocksdb(spark: SparkSession) -> None:
 class _BlockSplitter(StatefulProcessor):
     """Keeps the unfinished tail of each thread and emits the finished blocks."""
 
+    def __init__(self, remember_ms: int | None) -> None:
+        self._remember_ms = remember_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._tail = handle.getValueState("tail", "text string, n bigint")
+        self._tail = handle.getValueState("tail", "text string, n bigint", self._remember_ms)
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         text, n = self._tail.get() or ("", 0)
-        arrived = sorted((r.seq, r.chunk) for r in rows)
-        *blocks, text = (text + "".join(c for _, c in arrived)).split("\n\n")
+        arrived = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        *blocks, text = (text + "".join(arrived["chunk"])).split("\n\n")
         self._tail.update((text, n + len(blocks)))
-        for i, block in enumerate(blocks):
-            yield Row(thread_id=key[0], seq=n + i, block=block)
+        if blocks:
+            yield pd.DataFrame({"thread_id": key[0], "seq": range(n, n + len(blocks)), "block": blocks})
 
     def close(self) -> None:
         pass
 
 
-def stream_frames(chunks: DataFrame) -> DataFrame:
+def stream_frames(chunks: DataFrame, remember_seconds: float | None = REMEMBER_SECONDS) -> DataFrame:
     """Chunks (thread_id, seq, chunk) to frames (thread_id, seq, event, data), across chunk borders.
 
-    Text not yet closed by a blank line waits in the state.
+    Text not yet closed by a blank line waits in the state, for ``remember_seconds``
+    after the thread's last chunk.  A time to live needs a stream that keeps running;
+    None drains a backlog (``availableNow``).
     """
     use_rocksdb(chunks.sparkSession)
     key = chunks.schema["thread_id"].dataType.simpleString()
-    blocks = chunks.groupBy("thread_id").transformWithState(
-        _BlockSplitter(), StructType.fromDDL(f"thread_id {key}, seq bigint, block string"), "Append", "None")
+    blocks = chunks.groupBy("thread_id").transformWithStateInPandas(
+        _BlockSplitter(None if remember_seconds is None else int(remember_seconds * 1000)),
+        StructType.fromDDL(f"thread_id {key}, seq bigint, block string"), "Append", "None" if remember_seconds is None else "ProcessingTime")
     lines = F.split("block", "\n")
     names = F.filter(lines, lambda x: x.startswith("event: "))
     datas = F.filter(lines, lambda x: x.startswith("data: "))
@@ -62,110 +72,113 @@ def stream_frames(chunks: DataFrame) -> DataFrame:
     ).where((F.length("event") > 0) & (F.length("data") > 0))
 
 
+_FRAME = "event string, piece string, call string, offer string"
+
+
 class _RecordCollector(StatefulProcessor):
-    """Remembers the frames of open threads; emits them on ``done`` or when a timer runs out."""
+    """Remembers the frames of open threads; emits them on ``done`` or when a timer runs out.
+
+    A thread gives one record: what closed it leaves a mark, which outlives late
+    frames by ``remember``.
+    """
 
-    def __init__(self, idle_ms: int, total_ms: int, timed: bool) -> None:
-        self._idle_ms, self._total_ms, self._timed = idle_ms, total_ms, timed
+    def __init__(self, idle_ms: int, total_ms: int, remember_ms: int, timed: bool) -> None:
+        self._idle_ms, self._total_ms, self._remember_ms, self._timed = idle_ms, total_ms, remember_ms, timed
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._frames = handle.getListState("frames", "event string, piece string, call string, offer string")
-        self._meta = handle.getValueState("meta", "closed boolean, idle_at bigint, total_at bigint")
+        self._frames = handle.getListState("frames", _FRAME)
+        self._timers = handle.getValueState("timers", "idle_at bigint, total_at bigint")
+        self._closed = handle.getValueState("closed", "at bigint", self._remember_ms if self._timed else None)
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        now = timerValues.getCurrentProcessingTimeInMs() if self._timed else 0
-        known = self._meta.get()
-        closed, idle_at, total_at = known or (False, 0, now + self._total_ms)
-        if closed:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if self._closed.exists():
             return
-        arrived = sorted(((r.seq, r.event, r.piece, r.call, r.offer) for r in rows), key=lambda f: f[0])
-        batch = [f[1:] for f in arrived]
+        now = timerValues.getCurrentProcessingTimeInMs() if self._timed else 0
+        arrived = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        columns = [arrived[c].astype(object).where(arrived[c].notna(), None) for c in ("event", "piece", "call", "offer")]
+        batch = list(zip(*columns))
         done = next((i for i, f in enumerate(batch) if f[0] == "done"), None)
         if done is not None:
-            earlier = [tuple(f) for f in self._frames.get()] if known else []
-            if known:
-                self._frames.clear()
-            # stays closed, so late frames change nothing, until the total time is over
-            if self._timed:
-                self._drop_timers(idle_at, total_at)
-                self._handle.registerTimer(total_at)
-            self._meta.update((True, 0, total_at))
-            yield self._record(key, earlier + batch[: done + 1], None)
+            yield self._close(key, batch[: done + 1], None, now)
             return
         self._frames.appendList(batch)
-        if self._timed:
-            if idle_at:
-                self._handle.deleteTimer(idle_at)
-            else:
-                self._handle.registerTimer(total_at)
-            self._handle.registerTimer(now + self._idle_ms)
-        self._meta.update((False, now + self._idle_ms, total_at))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        known = self._meta.get()
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        if not known:
-            return
-        closed, idle_at, total_at = known
-        if closed:
-            self._meta.clear()
-            return
-        if at not in (idle_at, total_at):
+        if not self._timed:
             return
-        hung = at == idle_at
-        error = f"SSE hang: no data for {self._idle_ms / 1000:g}s" if hung else "timed out"
-        yield self._record(key, [tuple(f) for f in self._frames.get()], error)
-        self._frames.clear()
-        if hung:
-            self._meta.update((True, 0, total_at))
+        idle_at, total_at = self._timers.get() or (0, 0)
+        if idle_at:
+            self._handle.deleteTimer(idle_at)
         else:
-            self._meta.clear()
+            total_at = now + self._total_ms
+            self._handle.registerTimer(total_at)
+        self._handle.registerTimer(now + self._idle_ms)
+        self._timers.update((now + self._idle_ms, total_at))
 
-    def _drop_timers(self, *times: int) -> None:
-        for t in times:
-            if t:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        known = self._timers.get()
+        if self._closed.exists() or not known or at not in known:
+            return
+        error = f"SSE hang: no data for {self._idle_ms / 1000:g}s" if at == known[0] else "timed out"
+        yield self._close(key, [], error, at)
+
+    def _close(self, key, last: list[tuple], error: str | None, at: int) -> pd.DataFrame:
+        """The record of a thread; its state shrinks to the mark."""
+        earlier = [tuple(f) for f in self._frames.get()] if self._frames.exists() else []
+        frames = earlier + last
+        for t in self._timers.get() or () if self._timed else ():
+            if t and t != at:
                 self._handle.deleteTimer(t)
-
-    @staticmethod
-    def _record(key, frames: list[tuple], error: str | None) -> Row:
-        said = [(event == "message", piece) for event, piece, _, _ in frames if piece is not None]
-        offers = [offer for *_, offer in frames if offer is not None]
-        return Row(thread_id=key[0], events=[f[0] for f in frames], pieces=[p for _, p in said],
-                   is_message=[m for m, _ in said], calls=[f[2] for f in frames if f[2] is not None],
-                   offer=offers[-1] if offers else None, error=error)
+        self._frames.clear()
+        self._timers.clear()
+        self._closed.update((at,))
+        return pd.DataFrame({"thread_id": [key[0]], "frames": [[dict(zip(("event", "piece", "call", "offer"), f)) for f in frames]], "error": [error]})
 
     def close(self) -> None:
         pass
 
 
+def _records(folded: DataFrame) -> DataFrame:
+    """Records from the frames of closed threads: (thread_id, frames, error)."""
+    said = F.filter("frames", lambda f: f["piece"].isNotNull())
+    text = F.array_join(F.filter(F.transform(said, lambda f, i: F.when(
+        (i > 0) & (f["event"] == "message"), F.lit("")).otherwise(f["piece"])), lambda p: F.length(p) > 0), "")
+    calls = F.filter(F.transform("frames", lambda f: f["call"]), lambda c: c.isNotNull())
+    offers = F.filter(F.transform("frames", lambda f: f["offer"]), lambda o: o.isNotNull())
+    none = F.array().cast("array<string>")
+    return folded.select(
+        "thread_id", text.alias("response"),
+        F.transform(calls, lambda c: F.from_json(c, "tool string, input string")).alias("tool_calls"),
+        F.transform("frames", lambda f: f["event"]).alias("status_sequence"),
+        F.coalesce(F.from_json(F.try_element_at(offers, F.lit(-1)), "array<string>"), none).alias("suggestions"),
+        F.size("frames").alias("step_count"), "error")
 
 
 def stream_fold(frames: DataFrame, phases: str = "code", idle_seconds: float = READ_TIMEOUT_SECONDS,
-                total_seconds: float = TOTAL_TIMEOUT_SECONDS, timed: bool = True) -> DataFrame:
+                total_seconds: float = TOTAL_TIMEOUT_SECONDS, timed: bool = True,
+                remember_seconds: float = REMEMBER_SECONDS) -> DataFrame:
     """Frames to one record per thread, emitted at its ``done`` frame or when a timeout strikes.
 
-    Frames after ``done`` are ignored.  A hung thread gives a record with an
-    error and what it said until then.  Timers need a stream that keeps
-    running; pass ``timed=False`` to drain a backlog (``availableNow``).
+    Frames after ``done`` or a timeout are ignored for ``remember_seconds``.  A hung
+    thread gives a record with an error and what it said until then.  Timers need a
+    stream that keeps running; pass ``timed=False`` to drain a backlog
+    (``availableNow``) and read what is open at its end with ``open_records``.
     """
     use_rocksdb(frames.sparkSession)
     key = frames.schema["thread_id"].dataType.simpleString()
     read = read_frames(frames, phases).select(
         "thread_id", "seq", "event", "piece", F.to_json("call").alias("call"), F.to_json("offer").alias("offer"))
-    out = StructType.fromDDL(f"thread_id {key}, events array<string>, pieces array<string>, is_message array<boolean>, "
-                             "calls array<string>, offer string, error string")
-    raw = read.groupBy("thread_id").transformWithState(
-        _RecordCollector(int(idle_seconds * 1000), int(total_seconds * 1000), timed), out, "Append",
+    out = StructType.fromDDL(f"thread_id {key}, frames array<struct<event:string,piece:string,call:string,offer:string>>, error string")
+    raw = read.groupBy("thread_id").transformWithStateInPandas(
+        _RecordCollector(int(idle_seconds * 1000), int(total_seconds * 1000), int(remember_seconds * 1000), timed), out, "Append",
         "ProcessingTime" if timed else "None")
-    response = F.array_join(F.filter(F.transform("pieces", lambda p, i: F.when(
-        (i > 0) & F.get("is_message", i), F.lit("")).otherwise(p)), lambda p: F.length(p) > 0), "")
-    none = F.array().cast("array<string>")
-    return raw.select(
-        "thread_id", response.alias("response"),
-        F.transform("calls", lambda c: F.from_json(c, "tool string, input string")).alias("tool_calls"),
-        F.col("events").alias("status_sequence"),
-        F.coalesce(F.from_json("offer", "array<string>"), none).alias("suggestions"),
-        F.size("events").alias("step_count"), "error")
+    return _records(raw)
 
 
+def open_records(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """Records of the threads that are open where a drained stream ended: the body ended without ``done``.
+
+    Reads the state that the stream left in its checkpoint.
+    """
+    state = (spark.read.format("statestore").option("stateVarName", "frames").option("flattenCollectionTypes", "false").load(checkpoint))
+    return _records(state.select(F.col("key.*"), F.col("list_value").alias("frames"), F.lit(None).cast("string").alias("error")))

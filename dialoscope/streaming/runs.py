@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -14,21 +15,52 @@ POLL_SECONDS = 300  # fixed value: default time between polls
 
 
 def watch_runs(runs: DataFrame, since: str | None = None, delay: str = "7 days", key: str = "run_id") -> DataFrame:
-    """Each run id once.  Ids are remembered for ``delay`` of event time, which bounds the state."""
+    """Each run id once, in whatever order runs arrive.
+
+    Ids are remembered for ``delay`` after their arrival, which bounds the state:
+    the watermark follows the time of arrival, never the start time of a run, so
+    no run is late.  A run that comes again after ``delay`` is passed on again;
+    ``watch`` remembers all ids.
+    """
     rows = runs if since is None else since_filter(runs, since)
-    timed = rows.withColumn("start_time", F.col("start_time").cast("timestamp"))
-    return timed.withWatermark("start_time", delay).dropDuplicatesWithinWatermark([key])
+    timed = rows.withColumn("start_time", F.col("start_time").cast("timestamp")).withColumn("__arrived", F.current_timestamp())
+    return timed.withWatermark("__arrived", delay).dropDuplicatesWithinWatermark([key]).drop("__arrived")
+
+
+def seen_ids(spark: SparkSession, folder: str, before: int, key: str, kind: str) -> DataFrame:
+    """Ids that polls before the given one have passed on."""
+    try:
+        rows = spark.read.schema(f"`{key}` {kind}, poll int").parquet(folder)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        rows = spark.createDataFrame([], f"`{key}` {kind}, poll int")
+    return rows.where(F.col("poll") < before).select(key)
 
 
 def watch(runs: DataFrame, checkpoint: str, on_poll: Callable[[DataFrame, int], None], since: str | None = None,
-          seconds: int | None = POLL_SECONDS, delay: str = "7 days") -> StreamingQuery:
+          seconds: int | None = POLL_SECONDS, key: str = "run_id") -> StreamingQuery:
     """Start polling: ``on_poll(new_runs, poll_number)`` for every batch.
 
-    ``seconds=None`` takes what is there and stops.  The checkpoint makes a
-    restarted watch go on where it stopped.
+    ``seconds=None`` takes what is there and stops.  The ids passed on are written
+    beside the checkpoint, one folder a poll, and each batch is held against
+    those of earlier polls: every run comes once, however late, and a restarted
+    watch goes on where it stopped.  A poll that fails is repeated as a whole.
     """
-    writer = (watch_runs(runs, since, delay).writeStream.option("checkpointLocation", checkpoint)
-              .foreachBatch(on_poll))
+    rows = runs if since is None else since_filter(runs, since)
+    kind = runs.schema[key].dataType.simpleString()
+    folder = f"{checkpoint.rstrip('/')}/passed-on"
+
+    def poll(batch: DataFrame, number: int) -> None:
+        known = seen_ids(batch.sparkSession, folder, number, key, kind)
+        new = batch.dropDuplicates([key]).join(known, key, "left_anti").persist()
+        try:
+            on_poll(new, number)
+            new.select(key).write.mode("overwrite").parquet(f"{folder}/poll={number}")
+        finally:
+            new.unpersist()
+
+    writer = rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(poll)
     writer = writer.trigger(availableNow=True) if seconds is None else writer.trigger(
         processingTime=f"{seconds} seconds")
     return writer.start()

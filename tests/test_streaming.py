@@ -35,8 +35,10 @@ def plain(df):
 def test_stream_fold_equals_batch(spark, tmp_path):
     stream = land(spark, str(tmp_path / "in"), FRAMES, SCHEMA, 2)
     out = drain(st.stream_fold(stream, timed=False), tmp_path, "out")
-    batch = capture.fold_frames(spark.createDataFrame(FRAMES, SCHEMA).where("thread_id <> 'c'"), stop_at_done=True)
-    assert plain(out) == plain(batch)
+    rest = st.open_records(spark, str(tmp_path / "out-state"))
+    batch = capture.fold_frames(spark.createDataFrame(FRAMES, SCHEMA), stop_at_done=True)
+    assert plain(out.unionByName(rest)) == plain(batch)
+    assert [r.thread_id for r in rest.collect()] == ["c"]
 
 
 def test_chunks_across_borders(spark, tmp_path):
@@ -44,7 +46,7 @@ def test_chunks_across_borders(spark, tmp_path):
     for size, per_file in ((7, 2), (1, 40)):
         rows = [("t", i, body[i:i + size]) for i in range(0, len(body), size)]
         stream = land(spark, str(tmp_path / f"in{size}"), rows, "thread_id string, seq bigint, chunk string", per_file)
-        out = drain(st.stream_frames(stream), tmp_path, f"out{size}")
+        out = drain(st.stream_frames(stream, remember_seconds=None), tmp_path, f"out{size}")
         assert [tuple(r) for r in out.orderBy("seq").collect()] == [("t", 0, "a", "1"), ("t", 2, "b", '{"é": 2}')]
 
 
@@ -64,6 +66,31 @@ def test_idle_thread_times_out(spark, tmp_path):
         query.stop()
 
 
+def test_total_timeout_gives_one_record(spark, tmp_path):
+    """Frames keep a thread busy until its total time is over; later ones open no second record."""
+    schema, path = SCHEMA, str(tmp_path / "in")
+    put = lambda i: spark.createDataFrame([("t", i, "token", f'{{"content":"{i}"}}')], schema).coalesce(1).write.mode("append").parquet(path)
+    put(0)
+    stream = spark.readStream.schema(schema).parquet(path)
+    folded = st.stream_fold(stream, idle_seconds=60, total_seconds=4)
+    query = (folded.writeStream.format("memory").queryName("total").outputMode("append")
+             .option("checkpointLocation", str(tmp_path / "state")).trigger(processingTime="1 second").start())
+    try:
+        for i in range(1, 40):
+            time.sleep(1)
+            if spark.table("total").count():
+                break
+            put(i)
+        put(98)
+        time.sleep(4)
+        put(99)
+        time.sleep(6)
+        rows = spark.table("total").collect()
+        assert [r.error for r in rows] == ["timed out"] and rows[0].response.startswith("0")
+    finally:
+        query.stop()
+
+
 def test_watch_takes_each_run_once(spark, tmp_path):
     rows = [(1, "tool", "2024-01-01 00:00:00"), (2, "llm", "2024-01-01 01:00:00"), (1, "tool", "2024-01-01 00:00:00"),
             (3, "tool", "2024-01-02 00:00:00"), (2, "llm", "2024-01-01 01:00:00")]
@@ -74,3 +101,20 @@ def test_watch_takes_each_run_once(spark, tmp_path):
     seen = []
     sr.watch(stream, str(tmp_path / "state"), lambda b, n: seen.extend(r.run_id for r in b.collect()), seconds=None).awaitTermination()
     assert sorted(seen) == [1, 2, 3]
+
+
+def test_watch_loses_nothing_of_a_backlog(spark, tmp_path):
+    """Sixty days, newest first, one file in a micro-batch; some runs come again much later."""
+    days = list(range(60, 0, -1))
+    rows = [(d, "tool", f"2024-{1 + d // 31:02d}-{1 + d % 28:02d} 00:00:00") for d in days] + [(d, "tool", "2023-01-01 00:00:00") for d in days[::7]]
+    src = spark.createDataFrame(rows, "run_id bigint, run_type string, t string").withColumn("start_time", F.col("t").cast("timestamp")).drop("t")
+    data = [tuple(r) for r in src.collect()]
+    stream = land(spark, str(tmp_path / "in"), data, src.schema, 10)
+    seen = []
+    sr.watch(stream, str(tmp_path / "state"), lambda b, n: seen.extend(r.run_id for r in b.collect()), seconds=None).awaitTermination()
+    assert sorted(seen) == sorted(days)
+    # a restarted watch passes on nothing twice
+    sr.watch(stream, str(tmp_path / "state"), lambda b, n: seen.extend(r.run_id for r in b.collect()), seconds=None).awaitTermination()
+    assert sorted(seen) == sorted(days)
+    out = drain(sr.watch_runs(stream), tmp_path, "once")
+    assert sorted(r.run_id for r in out.collect()) == sorted(days)
