@@ -86,6 +86,25 @@ def fill_forward(df: DataFrame, keys: Sequence[str], pos: str, value: Column, ou
             .drop("__v", "__carry", _BLK))
 
 
+def running(df: DataFrame, keys: Sequence[str], pos: str, fills: dict[str, Column], counts: dict[str, Column],
+            block: int = DEFAULT_BLOCK) -> DataFrame:
+    """``fill_forward`` of several values and ``running_counts`` of several flags in one step: one summary, one join."""
+    marked, summaries, carried, outs = df, {}, {}, {}
+    local = Window.partitionBy(*keys, _BLK).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    for i, (out, value) in enumerate(fills.items()):
+        marked = marked.withColumn(f"__v{i}", value)
+        summaries[f"__n{i}"] = F.max_by(f"__v{i}", F.when(F.col(f"__v{i}").isNotNull(), F.col(pos)))
+        carried[f"__l{i}"] = F.last(f"__n{i}", ignorenulls=True).over(_earlier(keys))
+        outs[out] = F.coalesce(F.last(f"__v{i}", ignorenulls=True).over(local), F.col(f"__l{i}"))
+    for i, (out, flag) in enumerate(counts.items()):
+        marked = marked.withColumn(f"__f{i}", F.when(flag, 1).otherwise(0).cast("bigint"))
+        summaries[f"__s{i}"] = F.sum(f"__f{i}")
+        carried[f"__c{i}"] = F.sum(f"__s{i}").over(_earlier(keys))
+        outs[out] = F.coalesce(F.col(f"__c{i}"), F.lit(0)) + F.sum(f"__f{i}").over(local)
+    joined = _carry(marked, keys, pos, block, summaries, carried).withColumns(outs)
+    return joined.drop(_BLK, *[f"__{x}{i}" for i in range(len(fills)) for x in "vl"], *[f"__{x}{i}" for i in range(len(counts)) for x in "fc"])
+
+
 def trailing_rows(df: DataFrame, keys: Sequence[str], index: str, width: int, value: Column, out: str,
                   block: int = 4096) -> DataFrame:
     """Array of ``value`` over the ``width`` rows before this one and this one.

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dialoscope.functions.ordered import DEFAULT_BLOCK, fill_forward, serial_number
+from dialoscope.functions.ordered import DEFAULT_BLOCK, running
 from dialoscope.functions.text import truthy_text, utrim
 
 DEFAULT_CATEGORY = "General"
@@ -22,11 +22,20 @@ def _cell(name: str):
     return F.when(truthy_text(name), utrim(name)).otherwise("")
 
 
-def _finish(rows: DataFrame, keys: Sequence[str], block: int) -> DataFrame:
-    tool = utrim("tool_cell")
-    kept = rows.select(*keys, "row_idx", "query", "copilot_response", "remarks", "category",
-                       F.when(F.length(tool) > 0, tool).alias("expected_tool"))
-    return serial_number(kept, keys, "row_idx", "query_index", block).select(*keys, *_SUITE)
+def _normalize(rows: DataFrame, layout_a: Column, keys: Sequence[str], block: int) -> DataFrame:
+    """Sheet rows of either layout to suite rows: one projection, then headings and numbers in one running step."""
+    header = layout_a & F.coalesce(F.col("is_bold"), F.lit(False)) & truthy_text("c1") if "is_bold" in rows.columns else F.lit(False)
+    query = F.when(layout_a, F.when(~header & truthy_text("c1"), utrim("c1"))).when(truthy_text("c3"), utrim("c3"))
+    tool = utrim("c4")
+    cut = rows.where(F.col("row_idx") >= 2).select(
+        *keys, "row_idx", F.when(header, utrim("c1")).alias("title"), query.alias("query"),
+        F.when(layout_a, _cell("c2")).otherwise("").alias("copilot_response"),
+        F.when(layout_a, _cell("c3")).otherwise("").alias("remarks"),
+        F.when(~layout_a & truthy_text("c2"), utrim("c2")).alias("own"),
+        F.when(F.length(tool) > 0, tool).alias("expected_tool"))
+    numbered = running(cut, keys, "row_idx", {"heading": F.col("title")}, {"query_index": F.col("query").isNotNull()}, block)
+    named = numbered.withColumn("category", F.coalesce("own", "heading", F.lit(DEFAULT_CATEGORY)))
+    return named.where(F.col("query").isNotNull()).select(*keys, *_SUITE)
 
 
 def normalize_suite_a(rows: DataFrame, keys: Sequence[str] = (), block: int = DEFAULT_BLOCK) -> DataFrame:
@@ -34,27 +43,12 @@ def normalize_suite_a(rows: DataFrame, keys: Sequence[str] = (), block: int = DE
 
     ``keys`` identify the sheet when several are held in one frame.
     """
-    body = rows.where(F.col("row_idx") >= 2)
-    is_header = F.coalesce(F.col("is_bold"), F.lit(False)) & truthy_text("c1")
-    marked = body.select(*keys, "row_idx", "c1", "c2", "c3", "c4", is_header.alias("is_header"))
-    filled = fill_forward(marked, keys, "row_idx", F.when(F.col("is_header"), utrim("c1")),
-                          "heading", block)
-    queries = (filled.where(~F.col("is_header") & truthy_text("c1"))
-               .select(*keys, "row_idx", utrim("c1").alias("query"), _cell("c2").alias("copilot_response"),
-                       _cell("c3").alias("remarks"),
-                       F.coalesce("heading", F.lit(DEFAULT_CATEGORY)).alias("category"),
-                       F.col("c4").alias("tool_cell")))
-    return _finish(queries, keys, block)
+    return _normalize(rows, F.lit(True), keys, block)
 
 
 def normalize_suite_b(rows: DataFrame, keys: Sequence[str] = (), block: int = DEFAULT_BLOCK) -> DataFrame:
     """Sheet rows with the category in c2, the query in c3 and the expected tools in c4."""
-    queries = (rows.where((F.col("row_idx") >= 2) & truthy_text("c3"))
-               .select(*keys, "row_idx", utrim("c3").alias("query"), F.lit("").alias("copilot_response"),
-                       F.lit("").alias("remarks"),
-                       F.when(truthy_text("c2"), utrim("c2")).otherwise(DEFAULT_CATEGORY).alias("category"),
-                       F.col("c4").alias("tool_cell")))
-    return _finish(queries, keys, block)
+    return _normalize(rows, F.lit(False), keys, block)
 
 
 def normalize_suite(rows: DataFrame, file_key: str = "file", sheet: str = "sheet",
@@ -70,11 +64,9 @@ def normalize_suite(rows: DataFrame, file_key: str = "file", sheet: str = "sheet
     chosen = facts.select("__file",
                           F.when(F.col("has_a"), SHEET_A).when(F.col("has_b"), SHEET_B)
                           .otherwise(F.col("first")).alias("__sheet"),
-                          F.when(~F.col("has_a") & F.col("has_b"), "B").otherwise("A").alias("layout"))
+                          (F.col("has_a") | ~F.col("has_b")).alias("__layout_a"))
     picked = rows.join(chosen, (rows[file_key] == F.col("__file")) & (rows[sheet] == F.col("__sheet")))
-    in_a = normalize_suite_a(picked.where(F.col("layout") == "A"), [file_key], block)
-    in_b = normalize_suite_b(picked.where(F.col("layout") == "B"), [file_key], block)
-    return in_a.unionByName(in_b)
+    return _normalize(picked, F.col("__layout_a"), [file_key], block)
 
 
 def suite_profile(suite: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
