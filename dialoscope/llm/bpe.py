@@ -30,7 +30,7 @@ from dialoscope.llm import frames
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
            r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 #: Pieces kept with their ids in a worker; longer pieces and those beyond the number are encoded anew.
-KEPT_PIECES, KEPT_LENGTH = 1_000_000, 64
+KEPT_PIECES, KEPT_LENGTH = 250_000, 64
 
 
 def byte_letters() -> dict[int, str]:
