@@ -5,16 +5,18 @@ Schemas are explicit, missing keys become NULL, blank lines are passed over.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dialoscope import schemas
 
-# File names and layouts.
-RECORD_PATH = r"accounts/([^/]+)/runs/query_results_v(\d+)\.jsonl$"
-BOT_RESULT_PATH = r"results_([^/]+)\.jsonl$"
-MANIFEST_PATH = r"accounts/([^/]+)/runs/manifest\.json$"
+# File names and layouts (a name may also be a folder of part files).
+RECORD_PATH = r"accounts/([^/]+)/runs/query_results_v(\d+)\.jsonl(?:/[^/]*)?$"
+BOT_RESULT_PATH = r"results_([^/]+)\.jsonl(?:/[^/]*)?$"
+MANIFEST_PATH = r"accounts/([^/]+)/runs/manifest\.json(?:/[^/]*)?$"
 UNKNOWN_BOT, UNKNOWN_CASE = "unknown", "?"
 
 
@@ -88,43 +90,47 @@ def read_scenarios(spark: SparkSession, path: str) -> DataFrame:
                         F.coalesce("t.category", F.lit("")).alias("category"), "t.expected")
 
 
-def parse_registry(text: DataFrame, column: str = "value") -> DataFrame:
-    """Registry tables in markdown texts: ord, name, family, enabled, description.
+def parse_registry(text: DataFrame, column: str = "value", keys: Sequence[str] = ()) -> DataFrame:
+    """Registry tables in markdown texts, one text a row: ord, name, family, enabled, description, behind ``keys``.
 
     The table starts at the line naming Tool and Family and ends at the first
     later line that is neither blank nor a table row.
     """
-    lines = text.select(F.posexplode(F.split(column, r"\r?\n")).alias("pos", "raw")).select(
-        "pos", F.trim("raw").alias("line"))
-    piped = F.col("line").startswith("|")
-    head = piped & F.col("line").contains("Tool") & F.col("line").contains("Family")
-    separator = piped & F.col("line").rlike(r"^[|\- ]*$")
-    marks = lines.agg(F.min(F.when(head, F.col("pos"))).alias("start")).select("start")
-    start = marks.scalar()
-    end = lines.where((F.col("pos") > start) & ~piped & (F.length("line") > 0)).agg(F.min("pos").alias("end")).scalar()
-    body = lines.where((F.col("pos") > start) & piped & ~head & ~separator
-                       & (end.isNull() | (F.col("pos") < end)))
+    piped = lambda x: x.startswith("|")
+    head = lambda x: piped(x) & x.contains("Tool") & x.contains("Family")
+    lines = text.select(*keys, F.transform(F.split(column, r"\r?\n"), lambda x: F.trim(x)).alias("lines"))
+    start = F.array_position(F.transform("lines", head), True)
+    below = lines.where(start > 0).select(*keys, F.slice("lines", (start + 1).cast("int"), F.size("lines")).alias("below"))
+    stop = F.array_position(F.transform("below", lambda x: ~piped(x) & (F.length(x) > 0)), True)
+    table = below.select(*keys, F.posexplode(F.when(stop > 0, F.slice("below", 1, (stop - 1).cast("int"))).otherwise(F.col("below"))).alias("pos", "line"))
+    line = F.col("line")
+    body = table.where(piped(line) & ~head(line) & ~line.rlike(r"^[|\- ]*$"))
     cells = F.transform(F.split("line", r"\|"), lambda x: F.trim(x))
-    rows = body.select("pos", cells.alias("c")).where(F.size("c") >= 5)
+    rows = body.select(*keys, "pos", cells.alias("c")).where(F.size("c") >= 5)
     plain = lambda x: F.replace(x, F.lit("\\_"), F.lit("_"))
     named = rows.select(
-        "pos", plain(F.trim(F.regexp_replace(F.get("c", F.lit(1)), "^`+|`+$", ""))).alias("name"),
+        *keys, (F.col("pos") + 1).alias("ord"),
+        plain(F.trim(F.regexp_replace(F.get("c", F.lit(1)), "^`+|`+$", ""))).alias("name"),
         plain(F.get("c", F.lit(2))).alias("family"),
         (F.get("c", F.lit(3)).contains("✅") | F.lower(F.get("c", F.lit(3))).contains("check")).alias("enabled"),
         F.get("c", F.lit(4)).alias("description"))
-    kept = named.where((F.length("name") > 0) & (F.length("description") > 0))
-    return kept.select((F.col("pos") - start).cast("int").alias("ord"), "name", "family", "enabled", "description")
+    return named.where((F.length("name") > 0) & (F.length("description") > 0))
+
 
+def read_registry(spark: SparkSession, path: str, by_file: bool = False) -> DataFrame:
+    """Registry from a markdown file; a missing file gives no tools.
 
-def read_registry(spark: SparkSession, path: str) -> DataFrame:
-    """Registry from a markdown file; a missing file gives no tools."""
+    With ``by_file`` each of several files is a registry of its own, named in ``file``.
+    """
     try:
         text = spark.read.text(path, wholetext=True)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        text = spark.createDataFrame([], "value string")
-    return parse_registry(text)
+        text = spark.createDataFrame([], "value string").withColumn("file", F.lit(None).cast("string"))
+    else:
+        text = text.withColumn("file", F.col("_metadata.file_path"))
+    return parse_registry(text, keys=("file",) if by_file else ())
 
 
 def wire_endpoints(spark: SparkSession, path: str) -> DataFrame:
