@@ -82,7 +82,7 @@ def top_customers(lineitem: DataFrame, orders: DataFrame, customer: DataFrame, s
     buyers = orders.join(in_range(lineitem, "l_shipdate", start, end), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi") \
         .agg((F.count_distinct("o_custkey") + F.max(F.when(F.col("o_custkey").isNull(), 1).otherwise(0))).alias("n")).scalar()
     page = page_of(sales, [F.desc("total_sales"), F.asc("c_custkey")], limit, offset, F.coalesce(buyers, F.lit(0).cast("bigint")))
-    return (F.broadcast(page).join(customer.select("c_custkey", "c_name"), "c_custkey")
+    return (page.join(customer.select("c_custkey", "c_name"), "c_custkey")
             .select("sNo", "c_custkey", "c_name", _amount("total_sales").alias("total_sales"), "total_count",
                     "startRecord", "endRecord"))
 
@@ -92,7 +92,10 @@ def customer_kpis(orders: DataFrame, lineitem: DataFrame, start: str | None = No
     """Orders, invoices, pending invoices and outstanding value per customer (or overall without keys)."""
     chosen = in_range(orders, "o_orderdate", start, end).select(
         "o_orderkey", *keys, money("o_totalprice").alias("total"), is_pending().alias("pending"))
-    invoices = lineitem.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.sum(line_value()).alias("v"))
+    lines = lineitem
+    if start or end:  # only lines of the chosen orders are summed
+        lines = lines.join(chosen.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
+    invoices = lines.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.sum(line_value()).alias("v"))
     rows = chosen.join(invoices, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     n, v = F.coalesce("n", F.lit(0)), F.col("v")
     return rows.groupBy(*keys).agg(
@@ -118,7 +121,7 @@ def customer_profile(customer: DataFrame, orders: DataFrame, lineitem: DataFrame
     lines = lineitem
     if limit is not None:
         who = page_of(who, [F.asc("c_custkey")], limit, offset)
-        only = F.broadcast(who.select(F.col("c_custkey").alias("o_custkey")))
+        only = who.select(F.col("c_custkey").alias("o_custkey"))
         facts = facts.join(only, "o_custkey", "left_semi")
     if selected or limit is not None:
         lines = lines.join(facts.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")

@@ -107,6 +107,18 @@ def trace_metadata(spark, sf):
     return runs(spark, sf).select("run_id", F.to_json(tr.trace_metadata()).alias("metadata"))
 
 
+# Runs with metadata of their own, child runs and raw calls; what each gives follows from its number.
+@add("trace_branches", oracle([], """SELECT event_id AS run_id, CASE WHEN event_id % 3 = 0 THEN '{"owner":"u' || user_id || '"}'
+ WHEN event_id % 2 = 0 THEN '{"title":"t' || event_id || '"}' ELSE '{}' END AS metadata,
+ CASE event_id % 4 WHEN 1 THEN 'child_' || (event_id % 7) || ',unknown' WHEN 2 THEN 'raw_' || (event_id % 5) ELSE '' END AS called,
+ CASE event_id % 4 WHEN 1 THEN '{"d":1},{}' WHEN 2 THEN '{}' ELSE '' END AS arguments FROM events"""))
+def trace_branches(spark, sf):
+    rows = tr.ingest_runs(fixture(spark, sf, "trace_branches", costly=True))
+    field = lambda name: F.array_join(F.transform("c", lambda x: x[name]), ",")
+    return (rows.select("run_id", F.to_json(tr.trace_metadata()).alias("metadata"), tr.extract_tool_calls().alias("c"))
+            .select("run_id", "metadata", field("name").alias("called"), field("arguments").alias("arguments")))
+
+
 @add("trace_query", tq("SELECT run_id, user_query FROM traces"))
 def trace_query(spark, sf):
     return runs(spark, sf).select("run_id", tr.extract_query().alias("user_query"))

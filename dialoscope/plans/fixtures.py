@@ -95,6 +95,16 @@ SELECT event_id AS run_id, ts AS start_time, concat('sess', CAST(user_id % 40 AS
  CASE event_id % 8 WHEN 0 THEN concat('{"metadata":{"title":"Top sales ', CAST(event_id AS VARCHAR(9)), '"}}')
   WHEN 6 THEN '{"invocation_params":{"tools":[{"function":{"name":"think"}},{"function":{"name":"write_todos"}}]}}' ELSE '{}' END AS extra
 FROM events
+""",
+    "trace_branches": """
+SELECT event_id AS run_id, 'chain' AS run_type, 'agent_node' AS name,
+ CASE event_id % 4 WHEN 2 THEN concat('{"input":{"messages":[{"type":"ai","additional_kwargs":{"tool_calls":[{"function":{"name":"raw_', CAST(event_id % 5 AS VARCHAR(9)),
+   '","arguments":"{}"}},{"function":"no"}]}}]}}') ELSE '{}' END AS inputs,
+ '{}' AS outputs, CASE event_id % 2 WHEN 0 THEN concat('{"metadata":{"title":"t', CAST(event_id AS VARCHAR(9)), '"}}') ELSE '{}' END AS extra,
+ CASE event_id % 3 WHEN 0 THEN concat('{"owner":"u', CAST(user_id AS VARCHAR(9)), '"}') WHEN 1 THEN '{}' END AS metadata,
+ CASE event_id % 4 WHEN 1 THEN concat('[{"run_type":"tool","name":"child_', CAST(event_id % 7 AS VARCHAR(9)), '","inputs":{"d":1}},{"run_type":"llm","name":"no"},{"run_type":"tool"}]')
+  ELSE '[]' END AS child_runs
+FROM events
 """,
     "tool_verdicts": """
 SELECT event_id AS run_id, a.attempt,
