@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import heapq
 import json
-import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +28,8 @@ from dialoscope.llm import frames
 # fixed values: the published splitting pattern of byte-level BPE; white space is the Unicode property
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
            r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
-#: Pieces kept with their ids in a worker; longer pieces and those beyond the number are encoded anew.
-KEPT_PIECES, KEPT_LENGTH = 250_000, 64
+#: Pieces kept with their ids in a task; longer pieces and those beyond the number are encoded anew.
+KEPT_PIECES, KEPT_LENGTH = 500_000, 64
 
 
 def byte_letters() -> dict[int, str]:
@@ -124,15 +123,6 @@ class Encoder(dict):
                         b"".join(map(self.__getitem__, v.pieces.findall(part))) for part in v.cuts.split(text))
 
 
-def in_process(key: str, make):
-    """What ``make`` gives, kept by the Python worker for its later tasks (a cache: results do not depend on it)."""
-    known = sys.__dict__.setdefault("_kept_by_llm_tasks", {})
-    if key not in known:
-        known.clear()
-        known[key] = make()
-    return known[key]
-
-
 def _file(docs: DataFrame, vocabulary: str):
     with open(vocabulary, encoding="utf-8") as f:  # a megabyte or two, whatever the input
         return docs.sparkSession.sparkContext.broadcast(f.read())
@@ -149,7 +139,7 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids
     docs = _clean(docs.drop(ids), text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = in_process(file.value, lambda: Encoder(Vocabulary(file.value)))
+        encoder = Encoder(Vocabulary(file.value))
         for batch in batches:
             names = batch.schema.names
             found = [encoder.encode(t) for t in batch.column(names.index(text)).to_pylist()]
