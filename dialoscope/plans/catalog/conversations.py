@@ -8,7 +8,7 @@ from dialoscope.functions.text import clip
 from dialoscope.operators import turns as tn
 from dialoscope.operators import verdicts as vd
 from dialoscope.plans.catalog import Catalog
-from dialoscope.plans.fixtures import fixture, oracle
+from dialoscope.plans.fixtures import fixture, oracle, table
 from dialoscope.plans.inputs import half_up
 
 CATALOG = Catalog()
@@ -109,6 +109,26 @@ def multiturn_summary(spark, sf):
     return vd.multiturn_summary(conversations, t, verdicts(spark, sf))
 
 
+# Judge replies for turns, some without a field, with a score out of range or of another kind.
+_REPLIES = """SELECT event_id, CASE event_id % 5
+ WHEN 0 THEN concat('{"quality":"success","score":', CAST(event_id % 10 AS VARCHAR(9)), 'e-1,"data_present":true,"context_used":false,"new_flow":true,"reason":"r"}')
+ WHEN 1 THEN '{"quality":"success","score":0.5,"data_present":true,"context_used":false,"new_flow":true}'
+ WHEN 2 THEN '{"quality":"fail","score":1.5,"data_present":true,"context_used":false,"new_flow":true,"reason":"r"}'
+ WHEN 3 THEN '{"quality":"fail","score":true,"data_present":true,"context_used":false,"new_flow":true,"reason":"r"}'
+ ELSE '```json
+{"quality":"no_data","score":1,"data_present":false,"context_used":true,"new_flow":false,"reason":"r"}
+```' END AS reply FROM events"""
+
+
+@add("validate_turn_verdicts", oracle([], """SELECT event_id, event_id % 5 IN (0, 4) AS valid,
+ CASE event_id % 5 WHEN 0 THEN 'success' WHEN 4 THEN 'no_data' ELSE '' END AS quality FROM events"""))
+def validate_turn_verdicts(spark, sf):
+    table(spark, sf, "events").createOrReplaceTempView("events")
+    v = spark.sql(_REPLIES).select("event_id", vd.validate_verdict("reply", vd.TURN_FIELDS).alias("v"))
+    return v.select("event_id", F.col("v").isNotNull().alias("valid"),
+                    F.coalesce(F.try_variant_get("v", "$.quality", "string"), F.lit("")).alias("quality"))
+
+
 @add("conversation_scores", conv("""SELECT session_id, count(*) AS judged, avg(score) AS avg_score, min(score) AS min_score,
  CAST(count(*) FILTER (quality = 'success') AS DOUBLE) / count(*) AS success_share FROM verdicts GROUP BY 1"""))
 def conversation_scores(spark, sf):
