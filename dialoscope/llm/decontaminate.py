@@ -12,11 +12,16 @@ case.  What a placeholder replaced is its slot.
    false hits only, which the join removes: it loses nothing, however large the
    benchmark is.
 3. The rest is hash-joined with the benchmark's windows.
-4. Per document and item: the share of the item's tokens that lie in joined
-   windows, and the pairs of slots.  The slots are consistent if each of the
-   item's values always became the same value and different ones stayed
-   different.  An item covered to ``least`` or more with consistent slots is a
-   leak: ``exact`` if all slots are equal, else ``changed``.
+4. Per document and item the joined windows are judged by places: a place is a
+   document position minus an item position, so that each window meets only its
+   own token of one occurrence.  Slots are consistent if each of the item's values
+   always became the same value and different ones stayed different.  A place
+   that covers ``least`` of the item's tokens or more with consistent slots is a
+   leak: ``exact`` if all slots are equal, else ``changed``.  Other places have no
+   say in it.  Where words were put in or left out, an occurrence falls apart to
+   several places: consistent places with equal slots are taken together, then
+   those near each other that agree, then all places if none contradict.  Of
+   several occurrences the one reported is exact if any is, then the fullest.
 
 Null texts are empty; items with fewer than ``n`` tokens take no part.  Rows with
 a null doc_id have the number ``frames.NO_ID``; rows that share a doc_id are
@@ -26,6 +31,7 @@ columns are not read.  Empty tables give an empty result.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -134,26 +140,77 @@ def bitmap_of(found: DataFrame) -> bytes:
     return words.tobytes()
 
 
+def one_to_one(pairs: set[tuple[int, int]]) -> bool:
+    return len({a for a, _ in pairs}) == len(pairs) == len({b for _, b in pairs})
+
+
+def judged(size: int, met: list[dict], n: int, least: float) -> tuple[str, float, int, int] | None:
+    """(kind, coverage, windows, changed slots) of the best occurrence of an item of ``size`` tokens in a document."""
+    found: dict[int, tuple[set, set]] = defaultdict(lambda: (set(), set()))
+    for m in met:
+        at, pairs = found[m["position"] - m["at"]]
+        at.add(m["at"])
+        pairs.update(zip(m["own"], m["slots"]))
+    consistent = [(shift + min(at), at, pairs) for shift, (at, pairs) in found.items() if one_to_one(pairs)]
+    consistent.sort(key=lambda place: place[0])
+    results = []
+
+    def hold(at: set[int], pairs: set[tuple[int, int]]) -> None:
+        coverage = len({t for q in at for t in range(q, q + n)}) / size
+        if coverage >= least:
+            changed = sum(a != b for a, b in pairs)
+            results.append((changed == 0, coverage, -changed, len(at)))
+
+    for _, at, pairs in consistent:
+        hold(at, pairs)
+    if len(consistent) > 1 and not any(r[0] for r in results):
+        same = [(at, pairs) for _, at, pairs in consistent if all(a == b for a, b in pairs)]
+        hold(*(set().union(*(x[k] for x in same)) for k in (0, 1)))
+    if len(consistent) > 1 and not results:
+        for k, (begin, at, pairs) in enumerate(consistent):
+            at, pairs = set(at), set(pairs)
+            for other, more_at, more in consistent[k + 1:]:
+                if other > begin + 2 * size:
+                    break
+                if one_to_one(pairs | more):
+                    at |= more_at
+                    pairs |= more
+            hold(at, pairs)
+    if len(found) > 1 and not results:
+        at, pairs = (set().union(*(x[k] for x in found.values())) for k in (0, 1))
+        if one_to_one(pairs):
+            hold(at, pairs)
+    if not results:
+        return None
+    exact, coverage, changed, count = max(results)
+    return "exact" if exact else "changed", coverage, count, -changed
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, least: float = LEAST, doc_id: str = "doc_id", text: str = "text",
           item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc, mark, item_id, kind, coverage, n_windows, n_changed) of every document and item that it holds."""
     spark = docs.sparkSession
-    items = frames.stored(window_rows(frames.records(benchmark, item_id, item_text).select("doc", F.xxhash64("text").alias("mark"), "text"), n))
+    own = frames.records(benchmark, item_id, item_text).distinct()
+    items = frames.stored(window_rows(own.select("doc", F.xxhash64("text").alias("mark"), "text"), n))
     bits = spark.sparkContext.broadcast(bitmap_of(items))
     found = window_rows(frames.records(docs, doc_id, text).select("doc", F.xxhash64("text").alias("mark"), "text"), n, bits)
     right = items.select(F.col("id").alias("item_id"), F.col("mark").alias("item_mark"), "w", F.col("tokens").alias("size"),
                          F.col("position").alias("at"), F.col("slots").alias("own"))
-    met = found.select("id", "mark", "w", "slots").dropDuplicates().join(right, "w")
-    pairs = F.arrays_zip(F.col("own").alias("a"), F.col("slots").alias("b"))
-    hits = met.groupBy("id", "mark", "item_id", "item_mark", "size").agg(
-        F.collect_set("at").alias("at"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
-    covered = F.size(F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + n - 1)))))
-    values = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: p[side])))
-    judged = hits.withColumn("coverage", covered / F.col("size")).where(F.col("coverage") >= least) \
-        .where((values("a") == F.size("pairs")) & (values("b") == F.size("pairs")))
-    changed = F.size(F.filter("pairs", lambda p: p["a"] != p["b"])).cast("long")
-    return judged.select(F.col("id").alias("doc"), "mark", "item_id", F.when(changed == 0, "exact").otherwise("changed").alias("kind"),
-                         "coverage", F.size("at").cast("long").alias("n_windows"), changed.alias("n_changed"))
+    met = found.select("id", "mark", "w", "position", "slots").dropDuplicates().join(right, "w")
+    # the windows of one document that meet one item: bounded by the two texts
+    hits = met.groupBy("id", "mark", "item_id", "item_mark", "size").agg(F.collect_list(F.struct("position", "at", "own", "slots")).alias("met"))
+    names = ["doc", "mark", "item_id", "kind", "coverage", "n_windows", "n_changed"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [judged(size.as_py(), met.as_py(), n, least) for size, met in zip(batch.column("size"), batch.column("met"))]
+            here = pa.array([r is not None for r in out], pa.bool_())
+            columns = [batch.column(c).filter(here) for c in ("id", "mark", "item_id")]
+            for k, kind in enumerate((pa.string(), pa.float64(), pa.int64(), pa.int64())):
+                columns.append(pa.array([r[k] for r in out if r], kind))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return hits.mapInArrow(run, "doc long, mark long, item_id long, kind string, coverage double, n_windows long, n_changed long")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **more) -> DataFrame:

@@ -239,6 +239,21 @@ def test_leaks_with_other_slots(spark, docs, nothing):
     assert decontaminate.leaks(nothing, items).count() == 0 and decontaminate.leaks(docs, items.limit(0)).count() == 0
 
 
+def test_leaks_are_judged_by_occurrence(spark):
+    """Other places of a template never hide an occurrence."""
+    twice = "Alice has 3 red apples in a big bag. Bob has 5 red apples in a big bag."
+    item = "The old train leaves the small town at 40 km each day and it comes back after 3 hours with all the people"
+    variant = item.replace("40", "70").replace("3 hours", "9 hours")
+    inserted = item.replace("and it", "and then it")
+    rows = [(1, f"Look here. {twice} Bye."), (2, f"{variant}. {item}. Then the rest."), (3, f"{item}. {variant.replace('70', '9')}."),
+            (4, f"{inserted}. {variant}."), (5, f"{variant.replace('and it', 'and then it')}. It comes back after 8 hours with all the people."),
+            (6, variant.replace("70", "9"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, twice), (2, item), (2, item)], "item_id long, text string")
+    got = {(r.doc, r.item_id): r.kind for r in decontaminate.leaks(docs, items).collect()}
+    assert got == {(1, 1): "exact", (2, 2): "exact", (3, 2): "exact", (4, 2): "exact", (5, 2): "changed"}
+
+
 def test_bitmap_keeps_every_hash(spark):
     h = np.random.default_rng(1).integers(-2**63, 2**63 - 1, 500)
     bits = np.frombuffer(decontaminate.bitmap_of(spark.createDataFrame([(int(x),) for x in h], "w long")), np.uint8)
