@@ -6,7 +6,9 @@ number <unit>, capitalised words inside a sentence <name>, all others their lowe
 case.  What a placeholder replaced is its slot.
 
 1. Windows of ``n`` template tokens, at least half of them literal, are hashed for
-   benchmark and documents alike.
+   benchmark and documents alike; all windows of ``n`` tokens are also hashed as they
+   stand (lower case), which finds copies of passages full of numbers and names.
+   An item with fewer than ``n`` tokens has one such window of its whole length.
 2. The benchmark's hashes set bits in a bitmap of a fixed size, which is broadcast;
    document windows that miss it are dropped where they are made.  The bitmap has
    false hits only, which the join removes: it loses nothing, however large the
@@ -17,13 +19,16 @@ case.  What a placeholder replaced is its slot.
    own token of one occurrence.  Slots are consistent if each of the item's values
    always became the same value and different ones stayed different.  A place
    that covers ``least`` of the item's tokens or more with consistent slots is a
-   leak: ``exact`` if all slots are equal, else ``changed``.  Other places have no
-   say in it.  Where words were put in or left out, an occurrence falls apart to
+   leak: ``exact`` if all slots are equal, else ``changed``.  Tokens in no template
+   window can't be found changed: ``least`` of the others will do, if two windows'
+   length of tokens is covered, and such a leak is ``changed``.  So is, in an item
+   of any length, a run of ``passage`` tokens with consistent slots a leak.  Other
+   places have no say in it.  Where words were put in or left out, an occurrence falls apart to
    several places: consistent places with equal slots are taken together, then
    those near each other that agree, then all places if none contradict.  Of
    several occurrences the one reported is exact if any is, then the fullest.
 
-Null texts are empty; items with fewer than ``n`` tokens take no part.  Rows with
+Null texts are empty; items without tokens take no part.  Rows with
 a null doc_id have the number ``frames.NO_ID``; rows that share a doc_id are
 judged one by one by their text.  Repeated rows give one result row.  Further
 columns are not read.  Empty tables give an empty result.
@@ -31,7 +36,7 @@ columns are not read.  Empty tables give an empty result.
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,8 +47,10 @@ from pyspark.sql import functions as F
 from dialoscope.llm import frames
 from dialoscope.llm.hashing import U, Rolling, mix, runs
 
-#: Tokens of a window, covered share of an item, bits of the bitmap (2**).
-WINDOW, LEAST, BITMAP = 8, 0.6, 23
+#: Tokens of a window, covered share of an item, tokens of a run that is a leak by itself, bits of the bitmap (2**).
+WINDOW, LEAST, PASSAGE, BITMAP = 8, 0.6, 24, 23
+#: Sets hashes of tokens as they stand apart from those of templates.
+AS_IS = U(0x5851F42D4C957F2D)
 UNITS = (
     "mm", "cm", "m", "km", "inch", "inches", "foot", "feet", "yard", "yards", "mile", "miles", "meter", "meters", "mg", "g", "kg", "gram",
     "grams", "ton", "tons", "lb", "lbs", "pound", "pounds", "ounce", "ounces", "ml", "l", "liter", "liters", "gallon", "gallons", "second",
@@ -91,42 +98,73 @@ def template(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return row, np.where(kind > 0, mix(kind.astype(U) + U(77)), value), kind, value
 
 
-def windows(data: np.ndarray, at: np.ndarray, n: int):
-    """Row, first token in the row, hash of each window, and the tokens' kinds and values with their first token."""
+def windows(data: np.ndarray, at: np.ndarray, n: int, short: list[int] | None = None):
+    """The windows of a slice, one part for each kind and length: (raw, length, row, first token in its row, hash, first token).
+
+    Raw windows are hashed as they stand.  Below ``n`` tokens they have the lengths ``short``, each hash once a row, or
+    (None) are rows as a whole.  Further the tokens of each row, those of them in template windows, kinds and values.
+    """
     row, code, kind, value = template(data, at)
-    first = np.searchsorted(row, np.arange(len(at) - 1))
-    if len(row) < n:
-        none = np.zeros(0, np.int64)
-        return none, none, none.view(U), none, kind, value, np.bincount(row, minlength=len(at) - 1)
-    h = Rolling(code).windows(n)[:len(row) - n + 1]
-    begin = np.arange(len(row) - n + 1)
+    tokens = np.bincount(row, minlength=len(at) - 1)
+    first = np.cumsum(tokens) - tokens
     literal = np.concatenate([[0], np.cumsum(kind == 0)])
-    good = (row[begin] == row[begin + n - 1]) & (2 * (literal[begin + n] - literal[begin]) >= n)
-    begin = begin[good]
-    return row[begin], begin - first[row[begin]], h[good], begin, kind, value, np.bincount(row, minlength=len(at) - 1)
-
-
-def window_rows(texts: DataFrame, n: int, bitmap=None) -> DataFrame:
-    """(id, mark, tokens, w, position, slots) of the windows; with a bitmap only of those that hit it."""
+    rolling, parts = Rolling(value), []
+
+    def part(raw: bool, length: int, h: np.ndarray, good: np.ndarray) -> None:
+        begin = np.flatnonzero(good)
+        parts.append((raw, length, row[begin], begin - first[row[begin]], h[begin], begin))
+
+    for length in sorted({n, *(range(1, n) if short is None else short)}):
+        begin = np.arange(max(len(row) - length + 1, 0))
+        good = row[begin] == row[begin + length - 1]
+        h = mix(rolling.windows(length) ^ (AS_IS + U(length)))
+        if length == n:
+            part(True, n, h, good)
+            part(False, n, Rolling(code).windows(n), good & (2 * (literal[begin + n] - literal[begin]) >= n))
+        elif short is None:
+            part(True, length, h, good & (tokens[row[begin]] == length))
+        else:
+            order = np.lexsort((h, row[begin]))
+            again = np.zeros(len(begin), bool)
+            again[order[1:]] = (row[order[1:]] == row[order[:-1]]) & (h[order[1:]] == h[order[:-1]])
+            part(True, length, h, good & ~again)
+    begin = parts[-1][-1]  # of the template windows
+    steps = np.zeros(len(row) + 1, np.int64)
+    np.add.at(steps, begin, 1)
+    np.add.at(steps, begin + n, -1)
+    plain = np.bincount(row[np.cumsum(steps)[:-1] > 0], minlength=len(at) - 1)
+    return parts, tokens, plain, kind, value
+
+
+def window_rows(texts: DataFrame, n: int, bitmap=None, short: list[int] | None = None) -> DataFrame:
+    """(id, mark, tokens, plain, w, position, length, raw, slots) of the windows; with a bitmap only of those that hit it."""
+    names = ["id", "mark", "tokens", "plain", "w", "position", "length", "raw", "slots"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(bitmap.value, np.uint8) if bitmap is not None else None
         for batch in batches:
             ids, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for low, _, at, data in frames.slices(batch.column(2)):
-                row, position, h, begin, kind, value, tokens = windows(data, at, n)
-                if bits is not None:
-                    slot = h >> U(64 - BITMAP)
-                    hit = (bits[(slot >> U(3)).astype(np.int64)] >> (slot & U(7)).astype(np.uint8)) & 1 == 1
-                    row, position, h, begin = row[hit], position[hit], h[hit], begin[hit]
-                around = begin[:, None] + np.arange(n)
-                slotted = kind[around] > 0 if len(begin) else np.zeros((0, n), bool)
-                slots = frames.lists(value[around][slotted].view(np.int64) if len(begin) else np.zeros(0, np.int64), slotted.sum(1), pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[low + row]), pa.array(marks[low + row]), pa.array(tokens[row].astype(np.int32)), pa.array(h.view(np.int64)),
-                     pa.array(position.astype(np.int32)), slots], names=["id", "mark", "tokens", "w", "position", "slots"])
-
-    return texts.mapInArrow(run, "id long, mark long, tokens int, w long, position int, slots array<long>")
+                parts, tokens, plain, kind, value = windows(data, at, n, short)
+                slotted = np.flatnonzero(kind > 0)
+                for raw, length, row, position, h, begin in parts:
+                    if bits is not None:
+                        slot = h >> U(64 - BITMAP)
+                        hit = (bits[(slot >> U(3)).astype(np.int64)] >> (slot & U(7)).astype(np.uint8)) & 1 == 1
+                        row, position, h, begin = row[hit], position[hit], h[hit], begin[hit]
+                    if not len(row):
+                        continue
+                    start = np.searchsorted(slotted, begin)
+                    # a document's raw window has the slots of the item that it meets
+                    sizes = np.searchsorted(slotted, begin + length) - start if bits is None or not raw else np.zeros(len(row), np.int64)
+                    own = slotted[np.repeat(start - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
+                    slots = frames.lists(value[own].view(np.int64), sizes, pa.int64())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ids[low + row]), pa.array(marks[low + row]), pa.array(tokens[row].astype(np.int32)), pa.array(plain[row].astype(np.int32)),
+                         pa.array(h.view(np.int64)), pa.array(position.astype(np.int32)), pa.array(np.full(len(row), length, np.int32)),
+                         pa.array(np.full(len(row), raw)), slots], names=names)
+
+    return texts.mapInArrow(run, "id long, mark long, tokens int, plain int, w long, position int, length int, raw boolean, slots array<long>")
 
 
 def bitmap_of(found: DataFrame) -> bytes:
@@ -144,25 +182,61 @@ def one_to_one(pairs: set[tuple[int, int]]) -> bool:
     return len({a for a, _ in pairs}) == len(pairs) == len({b for _, b in pairs})
 
 
-def judged(size: int, met: list[dict], n: int, least: float) -> tuple[str, float, int, int] | None:
-    """(kind, coverage, windows, changed slots) of the best occurrence of an item of ``size`` tokens in a document."""
-    found: dict[int, tuple[set, set]] = defaultdict(lambda: (set(), set()))
+def longest_run(windows: dict[tuple, set]) -> tuple[set, set]:
+    """Of the windows of one place the longest run without a gap and with consistent slots, and its pairs."""
+    order, best, begin, clashes = sorted(windows), (0, 0, 0), 0, 0
+    pairs, sides = Counter(), Counter()  # of the open run: pairs by windows, values of either side by pairs
+
+    def count(window: tuple, by: int) -> None:
+        nonlocal clashes
+        for p in windows[window]:
+            pairs[p] += by
+            if pairs[p] == (by > 0):  # came or went
+                for side in enumerate(p):
+                    clashes += by if sides[side] >= 1 + (by < 0) else 0
+                    sides[side] += by
+
+    for k, (q, length, _) in enumerate(order):
+        count(order[k], 1)
+        while clashes or (begin < k and k and q > order[k - 1][0] + order[k - 1][1]):
+            count(order[begin], -1)
+            begin += 1
+        if begin <= k:
+            best = max(best, (q + length - order[begin][0], begin, k + 1), key=lambda x: x[0])
+    run = order[best[1]:best[2]]
+    return set(run), set().union(*(windows[w] for w in run))
+
+
+def judged(size: int, plain: int, met: list[dict], n: int, least: float, passage: int) -> tuple[str, float, int, int] | None:
+    """(kind, coverage, windows, changed slots) of the best occurrence of an item of ``size`` tokens in a document.
+
+    plain: the item's tokens that lie in template windows.
+    """
+    places: dict[int, dict[tuple, set]] = defaultdict(dict)  # of each place the windows (item position, length, raw) and their pairs of slots
     for m in met:
-        at, pairs = found[m["position"] - m["at"]]
-        at.add(m["at"])
-        pairs.update(zip(m["own"], m["slots"]))
-    consistent = [(shift + min(at), at, pairs) for shift, (at, pairs) in found.items() if one_to_one(pairs)]
+        places[m["position"] - m["at"]][m["at"], m["length"], m["raw"]] = set(zip(m["own"], m["own"] if m["raw"] else m["slots"]))
+    found = {shift: (set(windows), set().union(*windows.values())) for shift, windows in places.items()}
+    consistent = [(shift + min(at)[0], at, pairs) for shift, (at, pairs) in found.items() if one_to_one(pairs)]
     consistent.sort(key=lambda place: place[0])
     results = []
 
-    def hold(at: set[int], pairs: set[tuple[int, int]]) -> None:
-        coverage = len({t for q in at for t in range(q, q + n)}) / size
-        if coverage >= least:
-            changed = sum(a != b for a, b in pairs)
-            results.append((changed == 0, coverage, -changed, len(at)))
+    def hold(at: set[tuple], pairs: set[tuple[int, int]], whole: bool = False) -> None:
+        covered = {t for q, length, _ in at for t in range(q, q + length)}
+        coverage = len(covered) / size
+        changed = sum(a != b for a, b in pairs)
+        exact = changed == 0 and (coverage >= least or whole)
+        if plain and len(covered) >= 2 * n and not exact:
+            coverage = max(coverage, len({t for q, length, raw in at if not raw for t in range(q, q + length)}) / plain)
+        if coverage >= least or whole:
+            results.append((exact, coverage, -changed, len({q for q, _, _ in at})))
 
     for _, at, pairs in consistent:
         hold(at, pairs)
+    if size > passage:
+        for windows in places.values():
+            at, pairs = longest_run(windows)
+            if at and max(q + length for q, length, _ in at) - min(at)[0] >= passage:
+                hold(at, pairs, True)
     if len(consistent) > 1 and not any(r[0] for r in results):
         same = [(at, pairs) for _, at, pairs in consistent if all(a == b for a, b in pairs)]
         hold(*(set().union(*(x[k] for x in same)) for k in (0, 1)))
@@ -187,23 +261,25 @@ def judged(size: int, met: list[dict], n: int, least: float) -> tuple[str, float
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, least: float = LEAST, doc_id: str = "doc_id", text: str = "text",
-          item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+          item_id: str = "item_id", item_text: str = "text", passage: int = PASSAGE) -> DataFrame:
     """(doc, mark, item_id, kind, coverage, n_windows, n_changed) of every document and item that it holds."""
     spark = docs.sparkSession
     own = frames.records(benchmark, item_id, item_text).distinct()
     items = frames.stored(window_rows(own.select("doc", F.xxhash64("text").alias("mark"), "text"), n))
     bits = spark.sparkContext.broadcast(bitmap_of(items))
-    found = window_rows(frames.records(docs, doc_id, text).select("doc", F.xxhash64("text").alias("mark"), "text"), n, bits)
-    right = items.select(F.col("id").alias("item_id"), F.col("mark").alias("item_mark"), "w", F.col("tokens").alias("size"),
-                         F.col("position").alias("at"), F.col("slots").alias("own"))
+    short = [r[0] for r in items.where(F.col("length") < n).select("length").distinct().collect()]  # fewer than n
+    found = window_rows(frames.records(docs, doc_id, text).select("doc", F.xxhash64("text").alias("mark"), "text"), n, bits, short)
+    right = items.select(F.col("id").alias("item_id"), F.col("mark").alias("item_mark"), "w", F.col("tokens").alias("size"), "plain",
+                         F.col("position").alias("at"), "length", "raw", F.col("slots").alias("own"))
     met = found.select("id", "mark", "w", "position", "slots").dropDuplicates().join(right, "w")
     # the windows of one document that meet one item: bounded by the two texts
-    hits = met.groupBy("id", "mark", "item_id", "item_mark", "size").agg(F.collect_list(F.struct("position", "at", "own", "slots")).alias("met"))
+    hits = met.groupBy("id", "mark", "item_id", "item_mark", "size", "plain").agg(
+        F.collect_list(F.struct("position", "at", "length", "raw", "own", "slots")).alias("met"))
     names = ["doc", "mark", "item_id", "kind", "coverage", "n_windows", "n_changed"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [judged(size.as_py(), met.as_py(), n, least) for size, met in zip(batch.column("size"), batch.column("met"))]
+            out = [judged(*(c.as_py() for c in row), n, least, passage) for row in zip(*(batch.column(c) for c in ("size", "plain", "met")))]
             here = pa.array([r is not None for r in out], pa.bool_())
             columns = [batch.column(c).filter(here) for c in ("id", "mark", "item_id")]
             for k, kind in enumerate((pa.string(), pa.float64(), pa.int64(), pa.int64())):

@@ -254,6 +254,20 @@ def test_leaks_are_judged_by_occurrence(spark):
     assert got == {(1, 1): "exact", (2, 2): "exact", (3, 2): "exact", (4, 2): "exact", (5, 2): "changed"}
 
 
+def test_leaks_of_numbers_names_short_items_and_passages(spark):
+    numbers, names = "Compute 12 + 45 * 3 - 8 / 2 + 7 and round to 3", "We saw Arden Bella Carol Dora Emil Frida Gustav Hanna Ida Jonas Karl"
+    short = "What is 12 + 7 * 3?"
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(59)]
+    part = "Add these many numbers of the long list up and tell me what comes out of it all: " + " ".join(str(i) for i in range(50, 90, 2))
+    items = spark.createDataFrame([(1, numbers), (2, names), (3, short), (4, " ".join(words)), (5, part), (6, None)], "item_id long, text string")
+    rows = [(1, f"First this. {numbers}. Then that."), (2, f"and {names.lower()} again"), (3, "so: what is 12 7 3 and what is 12 7 3"),
+            (4, "x " + " ".join(words[10:40]) + " y"), (5, part.replace("5", "9")), (6, "what is 12 7 4"), (7, " ".join(words[10:33])),
+            (8, numbers.replace("45", "44").replace("7", "6")), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc, r.item_id): (r.kind, round(r.coverage, 2)) for r in decontaminate.leaks(docs, items).collect()}
+    assert got == {(1, 1): ("exact", 1.0), (2, 2): ("exact", 1.0), (3, 3): ("exact", 1.0), (4, 4): ("exact", 0.51), (5, 5): ("changed", 1.0)}
+
+
 def test_bitmap_keeps_every_hash(spark):
     h = np.random.default_rng(1).integers(-2**63, 2**63 - 1, 500)
     bits = np.frombuffer(decontaminate.bitmap_of(spark.createDataFrame([(int(x),) for x in h], "w long")), np.uint8)
