@@ -8,9 +8,10 @@ stretches first: equal stretches repeat each other window by window.  Anchors
 whose hash occurs with several stretches remain to be looked at closely, by one
 delegate of each stretch, the first.
 
-Rows are (a, g, doc, at): hashes of the anchor and of its stretch, the document,
-and packed into ``at`` fifteen bits of the text's hash (they tell texts of one
-doc_id apart), the first window start and the number of further ones.  A batch of
+Rows are (a, g, doc, mark, at): hashes of the anchor and of its stretch, the
+document, the text's hash (it tells texts of one doc_id apart, so places are always
+grouped and joined by both), and packed into ``at`` the first window start and the
+number of further ones.  A batch of
 documents settles what repeats inside it and sends one row for each (a, g), so a
 stretch that very many documents hold comes as one row a batch.
 """
@@ -32,13 +33,13 @@ SETTLED = -(2**63)
 Units = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
-def packed(mark: np.ndarray, start: np.ndarray, more: np.ndarray) -> np.ndarray:
-    return ((mark & 0x7FFF) << 48) | (start << 8) | more
+def packed(start: np.ndarray, more: np.ndarray | int) -> np.ndarray:
+    return (start << 8) | more
 
 
 def unpacked(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The mark's bits, the first window start, the number of further ones."""
-    return at >> 48, (at >> 8) & (2**40 - 1), at & 255
+    """The last and the first window start, the number of further ones."""
+    return (at >> 8) + (at & 255), at >> 8, at & 255
 
 
 def anchors(seq: np.ndarray, bounds: np.ndarray, gram: int, size: int):
@@ -53,13 +54,13 @@ def anchors(seq: np.ndarray, bounds: np.ndarray, gram: int, size: int):
 
 
 def seeds(docs: DataFrame, units: Units, gram: int, size: int, keep_first: bool) -> DataFrame:
-    """(a, doc, at) of what is settled (a null) and of the delegates that are not.
+    """(a, doc, mark, at) of what is settled (a null) and of the delegates that are not.
 
-    keep_first: the first occurrence (smallest doc and place) stays; else all occurrences go.
+    keep_first: the first occurrence (smallest doc, mark and place) stays; else all occurrences go.
     """
     if not 0 <= size - gram < 256:
         raise ValueError("a window must hold its gram and at most 255 units more")
-    names = ["a", "g", "doc", "at"]
+    names = ["a", "g", "doc", "mark", "at"]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -68,18 +69,18 @@ def seeds(docs: DataFrame, units: Units, gram: int, size: int, keep_first: bool)
             for low, _, at, data in frames.slices(batch.column(2)):
                 seq, bounds = units(data, at)
                 row, a, g, first, last = anchors(seq, bounds, gram, size)
-                parts.append((a, g, ids[low + row], packed(marks[low + row], first - bounds[row], last - first)))
-            a, g, doc, at = (np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 4
-            order = np.lexsort((at, doc, g, a))
-            a, g, doc, at = distinct(a[order], g[order], doc[order], at[order])
+                parts.append((a, g, ids[low + row], marks[low + row], packed(first - bounds[row], last - first)))
+            a, g, doc, mark, at = (np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 5
+            order = np.lexsort((at, mark, doc, g, a))
+            a, g, doc, mark, at = distinct(*(c[order] for c in (a, g, doc, mark, at)))
             again = np.zeros(len(a), bool)
             again[1:] = (a[1:] == a[:-1]) & (g[1:] == g[:-1])
             gone = again.copy()
             if not keep_first:
                 gone[:-1] |= again[1:]
-            yield rows_of(a[~again], g[~again], doc[~again], at[~again])
+            yield rows_of(*(c[~again] for c in (a, g, doc, mark, at)))
             # settled rows travel along, dealt by their own place
-            yield rows_of(mix((doc ^ at)[gone].view(U)).view(np.int64), np.full(int(gone.sum()), SETTLED), doc[gone], at[gone])
+            yield rows_of(mix((doc ^ mark ^ at)[gone].view(U)).view(np.int64), np.full(int(gone.sum()), SETTLED), *(c[gone] for c in (doc, mark, at)))
 
     def rows_of(*columns):
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
@@ -88,16 +89,16 @@ def seeds(docs: DataFrame, units: Units, gram: int, size: int, keep_first: bool)
         last = None  # the last row; whether it went; whether it is the delegate of its anchor's first stretch so far
         pending = None  # delegate of the first stretch of the open anchor, until another stretch shows up
 
-        def out(a, doc, at):
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(doc, pa.int64()), pa.array(at, pa.int64())], names=["a", "doc", "at"])
+        def out(*columns):
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "doc", "mark", "at"])
 
         for batch in batches:
-            a, g, doc, at = (c.to_numpy() for c in batch.columns)
+            a, g, doc, mark, at = (c.to_numpy() for c in batch.columns)
             done = g == SETTLED
             if done.any():
-                yield out(pa.nulls(int(done.sum()), pa.int64()), doc[done], at[done])
-                a, g, doc, at = a[~done], g[~done], doc[~done], at[~done]
-            a, g, doc, at = distinct(a, g, doc, at, last=last)
+                yield out(pa.nulls(int(done.sum()), pa.int64()), doc[done], mark[done], at[done])
+                a, g, doc, mark, at = (c[~done] for c in (a, g, doc, mark, at))
+            a, g, doc, mark, at = distinct(a, g, doc, mark, at, last=last)
             if not len(a):
                 continue
             same_a, same_g = np.zeros(len(a), bool), np.zeros(len(a), bool)
@@ -109,9 +110,9 @@ def seeds(docs: DataFrame, units: Units, gram: int, size: int, keep_first: bool)
             gone = same_g.copy()
             if not keep_first:
                 gone[:-1] |= same_g[1:]
-                if same_g[0] and last is not None and not last[4]:
-                    yield out(pa.nulls(1, pa.int64()), [last[2]], [last[3]])
-            yield out(pa.nulls(int(gone.sum()), pa.int64()), doc[gone], at[gone])
+                if same_g[0] and last is not None and not last[5]:
+                    yield out(pa.nulls(1, pa.int64()), *([x] for x in last[2:5]))
+            yield out(pa.nulls(int(gone.sum()), pa.int64()), doc[gone], mark[gone], at[gone])
             heads = np.flatnonzero(~same_g)  # delegates: the first row of each stretch
             if len(heads):
                 if pending is not None and same_a[heads[0]]:
@@ -119,13 +120,13 @@ def seeds(docs: DataFrame, units: Units, gram: int, size: int, keep_first: bool)
                 follows = np.zeros(len(heads), bool)
                 follows[:-1] = same_a[heads[1:]]
                 open_ = heads[same_a[heads] | follows]
-                yield out(a[open_], doc[open_], at[open_])
+                yield out(a[open_], doc[open_], mark[open_], at[open_])
                 end = heads[-1]
-                pending = None if same_a[end] else (a[end], doc[end], at[end])
-            last = (a[-1], g[-1], doc[-1], at[-1], bool(gone[-1]))
+                pending = None if same_a[end] else (a[end], doc[end], mark[end], at[end])
+            last = (a[-1], g[-1], doc[-1], mark[-1], at[-1], bool(gone[-1]))
 
-    sent = docs.select("doc", F.xxhash64("text").alias("mark"), "text").mapInArrow(send, "a long, g long, doc long, at long")
-    return sent.repartition("a").sortWithinPartitions("a", "g", "doc", "at").mapInArrow(settle, "a long, doc long, at long")
+    sent = docs.select("doc", F.xxhash64("text").alias("mark"), "text").mapInArrow(send, "a long, g long, doc long, mark long, at long")
+    return sent.repartition("a").sortWithinPartitions("a", "g", "doc", "mark", "at").mapInArrow(settle, "a long, doc long, mark long, at long")
 
 
 def distinct(*columns: np.ndarray, last: tuple | None = None) -> tuple[np.ndarray, ...]:
@@ -139,8 +140,8 @@ def distinct(*columns: np.ndarray, last: tuple | None = None) -> tuple[np.ndarra
 
 
 def gathered(rows: DataFrame, name: str) -> DataFrame:
-    """(doc, name): the places of a document, bounded by the document itself."""
-    return rows.groupBy("doc").agg(F.collect_list("at").alias(name))
+    """(doc, mark, name): the places of a document, bounded by the document itself."""
+    return rows.groupBy("doc", "mark").agg(F.collect_list("at").alias(name))
 
 
 def covered(n: int, starts: np.ndarray, more: np.ndarray, size: int) -> np.ndarray:

@@ -42,8 +42,8 @@ def word_units(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def window_repeats(texts: DataFrame, size: int) -> DataFrame:
-    """(doc, at) of the delegates' windows that begin earlier elsewhere; ``texts``: (mark, text, doc, open)."""
-    names = ["w1", "w2", "doc", "at"]
+    """(doc, mark, at) of the delegates' windows that begin earlier elsewhere; ``texts``: (mark, text, doc, open)."""
+    names = ["w1", "w2", "doc", "mark", "at"]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -55,48 +55,46 @@ def window_repeats(texts: DataFrame, size: int) -> DataFrame:
                 bounds = both[0][3]
                 rolls = [Rolling(both[i][2], b) for i, b in enumerate((BASE, OTHER_BASE))]
                 for r in range(len(at) - 1):
-                    bits, first, more = unpacked(np.unique(lists[low + r].values.to_numpy()))
-                    mine = bits == (marks[low + r] & 0x7FFF)
-                    first, more = first[mine], more[mine]
+                    _, first, more = unpacked(np.unique(lists[low + r].values.to_numpy()))
                     own = np.repeat(first - (np.cumsum(more + 1) - more - 1), more + 1) + np.arange(int((more + 1).sum()))
                     begin = bounds[r] + own
                     h1, h2 = (x.ranges(begin, begin + size).view(np.int64) for x in rolls)
-                    parts.append((h1, np.maximum(h2, SETTLED + 1), np.full(len(own), ids[low + r]),
-                                  packed(np.full(len(own), marks[low + r]), own, np.zeros(len(own), np.int64))))
+                    parts.append((h1, np.maximum(h2, SETTLED + 1), np.full(len(own), ids[low + r]), np.full(len(own), marks[low + r]),
+                                  packed(own, np.zeros(len(own), np.int64))))
             if not parts:
                 continue
-            w1, w2, doc, at = (np.concatenate(c) for c in zip(*parts))
-            order = np.lexsort((at, doc, w2, w1))
-            w1, w2, doc, at = anchors.distinct(w1[order], w2[order], doc[order], at[order])
+            w1, w2, doc, mark, at = (np.concatenate(c) for c in zip(*parts))
+            order = np.lexsort((at, mark, doc, w2, w1))
+            w1, w2, doc, mark, at = anchors.distinct(*(c[order] for c in (w1, w2, doc, mark, at)))
             again = np.zeros(len(w1), bool)
             again[1:] = (w1[1:] == w1[:-1]) & (w2[1:] == w2[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(c[~again]) for c in (w1, w2, doc, at)], names=names)
-            settled = (mix((doc ^ at)[again].view(U)).view(np.int64), np.full(int(again.sum()), SETTLED), doc[again], at[again])
+            yield pa.RecordBatch.from_arrays([pa.array(c[~again]) for c in (w1, w2, doc, mark, at)], names=names)
+            settled = (mix((doc ^ mark ^ at)[again].view(U)).view(np.int64), np.full(int(again.sum()), SETTLED), *(c[again] for c in (doc, mark, at)))
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in settled], names=names)
 
     def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for batch in batches:
-            w1, w2, doc, at = anchors.distinct(*(c.to_numpy() for c in batch.columns), last=last)
+            w1, w2, doc, mark, at = anchors.distinct(*(c.to_numpy() for c in batch.columns), last=last)
             if not len(w1):
                 continue
             gone = np.zeros(len(w1), bool)
             gone[1:] = (w1[1:] == w1[:-1]) & (w2[1:] == w2[:-1])
             gone[0] = last is not None and last[:2] == (w1[0], w2[0])
             gone |= w2 == SETTLED
-            last = (w1[-1], w2[-1], doc[-1], at[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(doc[gone]), pa.array(at[gone])], names=["doc", "at"])
+            last = (w1[-1], w2[-1], doc[-1], mark[-1], at[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(c[gone]) for c in (doc, mark, at)], names=["doc", "mark", "at"])
 
-    sent = texts.select("mark", "text", "doc", "open").mapInArrow(send, "w1 long, w2 long, doc long, at long")
-    return sent.repartition("w1").sortWithinPartitions("w1", "w2", "doc", "at").mapInArrow(later, "doc long, at long")
+    sent = texts.select("mark", "text", "doc", "open").mapInArrow(send, "w1 long, w2 long, doc long, mark long, at long")
+    return sent.repartition("w1").sortWithinPartitions("w1", "w2", "doc", "mark", "at").mapInArrow(later, "doc long, mark long, at long")
 
 
 def repeats(own: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
-    """(doc, at) of every run of window starts that goes; ``own``: (doc, text)."""
+    """(doc, mark, at) of every run of window starts that goes; ``own``: (doc, text)."""
     found = frames.stored(anchors.seeds(own, word_units, gram, size, keep_first=True))
     texts = own.select("doc", F.xxhash64("text").alias("mark"), "text")
     delegates = gathered(found.where("a IS NOT NULL"), "open")
-    return found.where("a IS NULL").select("doc", "at").unionByName(window_repeats(texts.join(delegates, "doc"), size))
+    return found.where("a IS NULL").select("doc", "mark", "at").unionByName(window_repeats(texts.join(delegates, ["doc", "mark"]), size))
 
 
 def dedup(docs: DataFrame, size: int = SIZE, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text",
@@ -106,26 +104,26 @@ def dedup(docs: DataFrame, size: int = SIZE, gram: int = GRAM, doc_id: str = "do
     outputs: any of ``text`` (replaced), ``n_words``, ``n_removed``, ``kept_sha256``, ``runs`` (removed word ranges).
     """
     own = frames.records(docs, doc_id, text)
-    gone = gathered(frames.stored(repeats(own, size, gram)), "__gone").withColumnRenamed("doc", "__doc")
+    gone = gathered(frames.stored(repeats(own, size, gram)), "__gone").toDF("__doc", "__mark", "__gone")
     types = {"text": "string", "n_words": "long", "n_removed": "long", "kept_sha256": "string", "runs": "array<struct<start:long,end:long>>"}
     kept = [c for c in docs.columns if c != text and c not in outputs]
     left = docs.select(*(docs[c] for c in kept), F.coalesce(docs[text].cast("string"), F.lit("")).alias("__text"),
-                       F.coalesce(docs[doc_id].cast("long"), F.lit(frames.NO_ID)).alias("__doc"))
-    joined = left.join(gone, "__doc", "left").select(*kept, F.xxhash64("__text").alias("__mark"), "__text", "__gone")
+                       F.coalesce(docs[doc_id].cast("long"), F.lit(frames.NO_ID)).alias("__doc")) \
+        .withColumn("__mark", F.xxhash64("__text"))
+    joined = left.join(gone, ["__doc", "__mark"], "left").select(*kept, "__text", "__gone")
     arrow = {"text": pa.string(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(),
              "runs": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = {c: [] for c in outputs}
-            marks, lists = batch.column("__mark").to_numpy(), batch.column("__gone")
+            lists = batch.column("__gone")
             for row, value in enumerate(batch.column("__text")):
                 words = value.as_py().encode().split()
                 removed = np.zeros(len(words), bool)
                 if lists[row].is_valid:
-                    bits, first, more = unpacked(lists[row].values.to_numpy())
-                    mine = bits == (marks[row] & 0x7FFF)
-                    removed = covered(len(words), first[mine], more[mine], size)
+                    _, first, more = unpacked(lists[row].values.to_numpy())
+                    removed = covered(len(words), first, more, size)
                     stay = [words[i] for i in np.flatnonzero(~removed).tolist()]
                 else:
                     stay = words

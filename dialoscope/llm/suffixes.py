@@ -226,51 +226,51 @@ def byte_units(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def stretches(texts: DataFrame, size: int) -> DataFrame:
-    """(a, doc, at, stretch) of delegates; ``texts``: (mark, text, doc, open), open being structs of a and at."""
+    """(a, doc, mark, at, stretch) of delegates; ``texts``: (mark, text, doc, open), open being structs of a and at."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             marks, ids = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             at, data = frames.buffers(batch.column(1))
-            a_out, doc_out, at_out, bodies = [], [], [], []
+            a_out, doc_out, mark_out, at_out, bodies = [], [], [], [], []
             for r, own in enumerate(batch.column(3)):
                 a, place = (own.values.field(k).to_numpy() for k in (0, 1))
-                bits, first, more = unpacked(place)
-                mine = np.flatnonzero(bits == (marks[r] & 0x7FFF))
-                a_out.append(a[mine])
-                at_out.append(place[mine])
-                doc_out.append(np.full(len(mine), ids[r]))
-                bodies += [data[at[r] + f:at[r] + f + m + size].tobytes() for f, m in zip(first[mine].tolist(), more[mine].tolist())]
+                _, first, more = unpacked(place)
+                a_out.append(a)
+                at_out.append(place)
+                doc_out.append(np.full(len(a), ids[r]))
+                mark_out.append(np.full(len(a), marks[r]))
+                bodies += [data[at[r] + f:at[r] + f + m + size].tobytes() for f, m in zip(first.tolist(), more.tolist())]
             if bodies:
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c)) for c in (a_out, doc_out, at_out)), pa.array(bodies, pa.binary())],
-                                                 names=["a", "doc", "at", "stretch"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c)) for c in (a_out, doc_out, mark_out, at_out)), pa.array(bodies, pa.binary())],
+                                                 names=["a", "doc", "mark", "at", "stretch"])
 
-    return texts.select("mark", "text", "doc", "open").mapInArrow(run, "a long, doc long, at long, stretch binary")
+    return texts.select("mark", "text", "doc", "open").mapInArrow(run, "a long, doc long, mark long, at long, stretch binary")
 
 
 def shard_repeats(delegates: DataFrame, size: int, shard: int = SHARD) -> DataFrame:
-    """(kind, w1, w2, doc, at): kind 0 what goes, kind 1 windows of anchors that were cut into several shards."""
-    names = ["kind", "w1", "w2", "doc", "at"]
+    """(kind, w1, w2, doc, mark, at): kind 0 what goes, kind 1 windows of anchors that were cut into several shards."""
+    names = ["kind", "w1", "w2", "doc", "mark", "at"]
 
-    def rows_of(kind: int, w1, w2, doc, at):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), kind, np.int32)), *(pa.array(np.asarray(c, np.int64)) for c in (w1, w2, doc, at))], names=names)
+    def rows_of(kind: int, w1, w2, doc, mark, at):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), kind, np.int32)), *(pa.array(np.asarray(c, np.int64)) for c in (w1, w2, doc, mark, at))], names=names)
 
     def solve(rows: list[tuple], cut: bool) -> Iterator[pa.RecordBatch]:
         texts = [np.frombuffer(s, np.uint8) for *_, s in rows]
-        doc, at = (np.array([r[k] for r in rows]) for k in (1, 2))
-        bits, first, _ = unpacked(at)
+        doc, mark, at = (np.array([r[k] for r in rows]) for k in (1, 2, 3))
+        _, first, _ = unpacked(at)
         lengths = np.array([len(x) for x in texts])
         hit = repeated_starts(texts, size) if len(rows) > 1 else np.zeros(int(lengths.sum()), bool)
         bounds = np.concatenate([[0], np.cumsum(lengths)])
         start, end = runs(hit, bounds)
         owner = np.searchsorted(bounds, start, side="right") - 1
         none = np.zeros(len(start), np.int64)
-        yield rows_of(0, none, none, doc[owner], (bits[owner] << 48) | ((first[owner] + start - bounds[owner]) << 8) | (end - start - 1))
+        yield rows_of(0, none, none, doc[owner], mark[owner], ((first[owner] + start - bounds[owner]) << 8) | (end - start - 1))
         if cut:
             data = np.concatenate(texts)
             own = np.concatenate([np.arange(b, e - size + 1) for b, e in zip(bounds[:-1], bounds[1:])])
             w1, w2 = (Rolling(data, b).ranges(own, own + size).view(np.int64) for b in (BASE, OTHER_BASE))
             owner = np.searchsorted(bounds, own, side="right") - 1
-            yield rows_of(1, w1, w2, doc[owner], (bits[owner] << 48) | ((first[owner] + own - bounds[owner]) << 8))
+            yield rows_of(1, w1, w2, doc[owner], mark[owner], packed(first[owner] + own - bounds[owner], 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []  # whole anchors, waiting for company
@@ -279,9 +279,9 @@ def shard_repeats(delegates: DataFrame, size: int, shard: int = SHARD) -> DataFr
         cut, last = False, None
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[:3] == last:  # a repeated row of the table
+                if row[:4] == last:  # a repeated row of the table
                     continue
-                last = row[:3]
+                last = row[:4]
                 if group and group[0][0] != row[0]:
                     if cut:
                         yield from solve(group, True)
@@ -297,7 +297,7 @@ def shard_repeats(delegates: DataFrame, size: int, shard: int = SHARD) -> DataFr
                     yield from solve(group, True)
                     group, grown = [], 0
                 group.append(row)
-                grown += len(row[3])
+                grown += len(row[4])
         if cut:
             yield from solve(group, True)
         else:
@@ -305,17 +305,17 @@ def shard_repeats(delegates: DataFrame, size: int, shard: int = SHARD) -> DataFr
         if rows:
             yield from solve(rows, False)
 
-    return delegates.repartition("a").sortWithinPartitions("a", "doc", "at").mapInArrow(run, "kind int, w1 long, w2 long, doc long, at long")
+    return delegates.repartition("a").sortWithinPartitions("a", "doc", "mark", "at").mapInArrow(run, "kind int, w1 long, w2 long, doc long, mark long, at long")
 
 
 def repeats(own: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
-    """(doc, at) of every run of window starts that goes; ``own``: (doc, text)."""
+    """(doc, mark, at) of every run of window starts that goes; ``own``: (doc, text)."""
     found = frames.stored(anchors.seeds(own, byte_units, gram, size, keep_first=False))
     texts = own.select("doc", F.xxhash64("text").alias("mark"), "text")
-    wanted = found.where("a IS NOT NULL").groupBy("doc").agg(F.collect_list(F.struct("a", "at")).alias("open"))
-    judged = frames.stored(shard_repeats(stretches(texts.join(wanted, "doc"), size), size))
-    parted = judged.where("kind = 1").selectExpr("doc", "at", "count(*) OVER (PARTITION BY w1, w2) AS n").where("n > 1").select("doc", "at")
-    return found.where("a IS NULL").select("doc", "at").unionByName(judged.where("kind = 0").select("doc", "at")).unionByName(parted)
+    wanted = found.where("a IS NOT NULL").groupBy("doc", "mark").agg(F.collect_list(F.struct("a", "at")).alias("open"))
+    judged = frames.stored(shard_repeats(stretches(texts.join(wanted, ["doc", "mark"]), size), size))
+    parted = judged.where("kind = 1").selectExpr("doc", "mark", "at", "count(*) OVER (PARTITION BY w1, w2) AS n").where("n > 1").select("doc", "mark", "at")
+    return found.where("a IS NULL").select("doc", "mark", "at").unionByName(judged.where("kind = 0").select("doc", "mark", "at")).unionByName(parted)
 
 
 def dedup(docs: DataFrame, size: int = SIZE, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text",
@@ -325,19 +325,20 @@ def dedup(docs: DataFrame, size: int = SIZE, gram: int = GRAM, doc_id: str = "do
     outputs: any of ``kept`` (bytes), ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``, ``spans`` (removed byte ranges).
     """
     own = frames.records(docs, doc_id, text)
-    gone = gathered(frames.stored(repeats(own, size, gram)), "__gone").withColumnRenamed("doc", "__doc")
+    gone = gathered(frames.stored(repeats(own, size, gram)), "__gone").toDF("__doc", "__mark", "__gone")
     types = {"kept": "binary", "n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string",
              "spans": "array<struct<start:long,end:long>>"}
     arrow = {"kept": pa.binary(), "kept_sha256": pa.string(), "spans": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))}
     kept = [c for c in docs.columns if c != text and c not in outputs]
     left = docs.select(*(docs[c] for c in kept), F.coalesce(docs[text].cast("string"), F.lit("")).alias("__text"),
-                       F.coalesce(docs[doc_id].cast("long"), F.lit(frames.NO_ID)).alias("__doc"))
-    joined = left.join(gone, "__doc", "left").select(*kept, F.xxhash64("__text").alias("__mark"), "__text", "__gone")
+                       F.coalesce(docs[doc_id].cast("long"), F.lit(frames.NO_ID)).alias("__doc")) \
+        .withColumn("__mark", F.xxhash64("__text"))
+    joined = left.join(gone, ["__doc", "__mark"], "left").select(*kept, "__text", "__gone")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = {c: [] for c in types}
-            marks, lists = batch.column("__mark").to_numpy(), batch.column("__gone")
+            lists = batch.column("__gone")
             at, data = frames.buffers(batch.column("__text"))
             for row in range(batch.num_rows):
                 own_bytes = data[at[row]:at[row + 1]]
@@ -345,9 +346,8 @@ def dedup(docs: DataFrame, size: int = SIZE, gram: int = GRAM, doc_id: str = "do
                 start = end = np.zeros(0, np.int64)
                 left_over = own_bytes
                 if lists[row].is_valid:
-                    bits, first, more = unpacked(lists[row].values.to_numpy())
-                    mine = bits == (marks[row] & 0x7FFF)
-                    removed = covered(n, first[mine], more[mine], size)
+                    _, first, more = unpacked(lists[row].values.to_numpy())
+                    removed = covered(n, first, more, size)
                     start, end = runs(removed, np.array([0, n]))
                     left_over = own_bytes[~removed]
                 made["n_bytes"].append(n)

@@ -73,6 +73,40 @@ def test_suffix_dedup_cuts_large_anchors(spark):
     assert parts[300] == parts[1 << 20] and parts[300]
 
 
+def test_thousands_of_texts_without_a_number(spark):
+    """Texts that share a doc_id, here null, keep their own places, however many they are."""
+    rng = np.random.default_rng(9)
+    words = [bytes(rng.integers(97, 123, rng.integers(2, 8)).astype(np.uint8)).decode() for _ in range(3000)]
+    some = lambda n: " ".join(words[i] for i in rng.integers(0, len(words), n))
+    passages = [some(12) for _ in range(60)]
+    texts = [f"{some(int(rng.integers(0, 9)))} {passages[i % 60]} {some(3)}" if i % 2 else some(int(rng.integers(1, 30))) for i in range(3000)]
+    table = spark.createDataFrame([(None, t, i) for i, t in enumerate(texts)], "doc_id long, text string, i int").repartition(7)
+    size = 40
+    count = Counter(t[i:i + size] for t in set(texts) for i in range(len(t) - size + 1))
+    want = {}
+    for i, t in enumerate(texts):
+        gone = mask_of(len(t), [k for k in range(len(t) - size + 1) if count[t[k:k + size]] > 1], size)
+        want[i] = "".join(c for c, g in zip(t, gone) if not g)
+    assert {r.i: r.kept.decode() for r in suffixes.dedup(table, size, 20).collect()} == want
+    # which copy stays is open: each window stays once and no other word goes
+    got = {r.i: r for r in substrings.dedup(table, 8, 3, outputs=("n_words", "n_removed", "runs")).collect()}
+    firsts, windows = Counter(), Counter()
+    for i, t in enumerate(texts):
+        w = t.split()
+        removed = np.zeros(len(w), bool)
+        for run in got[i].runs:
+            removed[run.start:run.end] = True
+        assert got[i].n_words == len(w) and got[i].n_removed == removed.sum()
+        own = [tuple(w[k:k + 8]) for k in range(len(w) - 7)]
+        windows.update(own)
+        firsts.update(x for k, x in enumerate(own) if not removed[k:k + 8].all())
+    for i, t in enumerate(texts):
+        w = t.split()
+        may = mask_of(len(w), [k for k in range(len(w) - 7) if windows[tuple(w[k:k + 8])] > 1], 8)
+        assert all(may[k] for run in got[i].runs for k in range(run.start, run.end))
+    assert all(firsts[x] == 1 for x in windows)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.integers(1, 3), max_size=60))
 def test_suffix_array(values):
