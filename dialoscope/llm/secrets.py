@@ -3,8 +3,9 @@
 The first three kinds are patterns.  The fourth slides a window over candidate
 strings (long runs of key characters): Shannon entropy per character class, kept
 by incremental counts as the window moves, is held against the threshold of the
-class; windows over it merge to spans, and an allow-list suppresses strings that
-are known to be harmless.
+class; windows over it merge to spans.  A candidate is cut behind each ``=``, so that
+a name says nothing about its value.  An allow-list suppresses spans that hold a
+harmless word, and spans of which paths and names of many words cover half or more.
 
 No shuffle.  Whole texts are scanned; a null text is empty, an empty text has no
 spans.  Repeated rows give equal rows; further columns pass through; an empty
@@ -41,14 +42,19 @@ KEY_BYTES = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=
 #: Characters of a window, and the bits a character that a window of a class needs.
 WINDOW = 20
 THRESHOLDS = {"hex": 3.0, "mixed": 3.6}
-#: Candidate strings with a match of one of these are not reported.
+#: Spans with a match of one of these, in the span or in the whole cut string, are not reported.
 ALLOWED = (
     r"(?i)example|sample|dummy|placeholder|changeme|redacted",
     r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
     r"(?i)abcdefghij|0123456789",
-    r"//|/[a-z]+/[a-z]+/",
+)
+#: Spans are not reported if matches of these cover half of them or more.
+ALLOWED_PARTS = (
+    r"//|(?:/[a-z]+)+/[a-z]+/",
     r"(?:[A-Za-z]+[_-]){3,}",
 )
+#: A candidate's strings: a name ends with its ``=``, a value may end with padding.
+STRINGS = re.compile("[^=]+=*")
 
 
 def byte_mask(members: bytes) -> np.ndarray:
@@ -96,6 +102,25 @@ def entropy_spans(text: str, window: int = WINDOW, thresholds: dict[str, float]
     return spans
 
 
+def pattern_of(allowed: tuple[str, ...]) -> re.Pattern | None:
+    return re.compile("|".join(f"(?:{a})" if not a.startswith("(?i)") else f"(?i:{a[4:]})" for a in allowed)) if allowed else None
+
+
+def secret_spans(candidate: str, window: int, thresholds: dict[str, float], allowed: re.Pattern | None,
+                 parts: re.Pattern | None) -> list[tuple[int, int]]:
+    """Entropy spans of a candidate that the allow-list does not suppress."""
+    out = []
+    for string in STRINGS.finditer(candidate):
+        own, at = string[0], string.start()
+        for a, b in entropy_spans(own, window, thresholds):
+            if allowed and (allowed.search(own[a:b]) or allowed.fullmatch(own)):
+                continue
+            if parts and 2 * sum(max(0, min(m.end(), b) - max(m.start(), a)) for m in parts.finditer(own)) >= b - a:
+                continue
+            out.append((at + a, at + b))
+    return out
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, rank of the kind, end) of the pattern kinds."""
     out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= ASSIGN_LEAST]
@@ -104,7 +129,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def scan_texts(column: pa.Array, window: int, thresholds: dict[str, float], allowed: re.Pattern | None) -> list[list[tuple[int, int, int]]]:
+def scan_texts(column: pa.Array, window: int, thresholds: dict[str, float], allowed: re.Pattern | None,
+               parts: re.Pattern | None = None) -> list[list[tuple[int, int, int]]]:
     """Spans of each text of a column; texts without any candidate are never decoded."""
     keys, hexes = byte_mask(KEY_BYTES), byte_mask(HEX_BYTES)
     digits = byte_mask(b"0123456789")
@@ -131,8 +157,8 @@ def scan_texts(column: pa.Array, window: int, thresholds: dict[str, float], allo
         owner = np.searchsorted(at, start, side="right") - 1
         for r, a, b in zip(owner.tolist(), start.tolist(), stop.tolist()):
             candidate = raw[a:b].decode()
-            found = entropy_spans(candidate, window, thresholds)
-            if found and not (allowed and allowed.search(candidate)):
+            found = secret_spans(candidate, window, thresholds, allowed, parts)
+            if found:
                 before = len(raw[at[r]:a].decode())  # code points before the candidate
                 rows[r] = rows[r] + [(before + x, 3, before + y) for x, y in found]
         out += [sorted(r) for r in rows]
@@ -144,7 +170,7 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def scan(docs: DataFrame, text: str = "text", window: int = WINDOW, thresholds: dict[str, float] = THRESHOLDS,
-         allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
+         allowed: tuple[str, ...] = ALLOWED, parts: tuple[str, ...] = ALLOWED_PARTS) -> DataFrame:
     """``docs`` without ``text``, with n_assign, n_access, n_hex, n_entropy, base_sha256, spans and spans_list.
 
     ``spans_list`` holds (kind, start, end); ``spans`` is its text form ``kind:start:end``.
@@ -153,12 +179,12 @@ def scan(docs: DataFrame, text: str = "text", window: int = WINDOW, thresholds:
     made = ["n_assign", "n_access", "n_hex", "n_entropy", "base_sha256", "spans", "spans_list"]
     kept = [c for c in docs.columns if c != text and c not in made]
     source = docs.select(*(docs[c] for c in kept), F.coalesce(docs[text].cast("string"), F.lit("")).alias("__text"))
-    pattern = re.compile("|".join(f"(?:{a})" if not a.startswith("(?i)") else f"(?i:{a[4:]})" for a in allowed)) if allowed else None
+    pattern, part = pattern_of(allowed), pattern_of(parts)
     span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = scan_texts(batch.column("__text"), window, thresholds, pattern)
+            found = scan_texts(batch.column("__text"), window, thresholds, pattern, part)
             columns = [batch.column(c) for c in kept]
             for kind in range(4):
                 columns.append(pa.array([sum(s[1] == kind for s in row) for row in found], pa.int64()))

@@ -200,6 +200,17 @@ def test_secrets_table(spark, nothing):
     assert secrets.scan(nothing).count() == 0
 
 
+def test_names_and_paths_do_not_hide_secrets():
+    key = "wJalrXUtn7EMI/K7MDENG/bPxRfiCY9zzQ"
+    texts = [f"AWS_SECRET_ACCESS_KEY={key}", f"NAME_OF_THE_THING={key}", "v aB3kd02LmQ8z7//Xw5Vb1Tn6Rc4Yh==", f"/foo/bar/{key}", f"EXAMPLE_KEY={key}",
+             "token=example0123456789abcdef", "/usr/share/lib/python/site/a1", "123e4567-e89b-42d3-a456-426614174000"]
+    found = secrets.scan_texts(pa.array(texts), secrets.WINDOW, secrets.THRESHOLDS, secrets.pattern_of(secrets.ALLOWED),
+                               secrets.pattern_of(secrets.ALLOWED_PARTS))
+    entropy = [[t[a:b] for a, k, b in spans if k == 3] for t, spans in zip(texts, found)]
+    assert entropy[0] == entropy[1] == entropy[4] and len(entropy[0]) == 1 and entropy[0][0] in key
+    assert "//" in entropy[2][0] and entropy[3][0].endswith(entropy[0][0]) and not any(entropy[5:])
+
+
 # --- decontamination ------------------------------------------------------
 
 def plain_words(text):
