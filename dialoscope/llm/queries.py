@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoscope.llm import ann, bpe, chat, decontaminate, jaccard, lines, secrets, substrings, suffixes, toxicity
+from dialoscope.llm import ann, bpe, chat, decontaminate, fim, jaccard, lines, packing, repair, secrets, substrings, suffixes, toxicity
 from dialoscope.llm.frames import shown_id, table  # noqa: F401
 
 QUERIES: dict = {}
@@ -177,3 +177,102 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return suffixes.dedup(docs, outputs=("n_bytes", "n_removed", "n_spans", "kept_sha256"))
+
+
+@query("op11_fim", """
+WITH drawn AS (
+    SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), cut AS (
+    SELECT *, ('0x' || h[1:8])::UBIGINT % (n + 1)::UBIGINT AS x, ('0x' || h[9:16])::UBIGINT % (n + 1)::UBIGINT AS y,
+           CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR ('0x' || h[17:24])::UBIGINT % 100 >= 90 THEN 'plain'
+                WHEN ('0x' || h[25:32])::UBIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+    FROM drawn
+), parts AS (
+    SELECT *, least(x, y)::BIGINT AS a, greatest(x, y)::BIGINT AS b FROM cut
+), formed AS (
+    SELECT *, CASE form WHEN 'plain' THEN t
+        WHEN 'psm' THEN '<P>' || substring(t, 1, a) || '<S>' || substring(t, b + 1, n - b) || '<M>' || substring(t, a + 1, b - a)
+        ELSE '<S>' || substring(t, b + 1, n - b) || '<P>' || substring(t, 1, a) || '<M>' || substring(t, a + 1, b - a) END AS output
+    FROM parts
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(output) AS output_sha256, sha256(t) AS restored_sha256
+FROM formed""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = fim.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return samples.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("fim", 256).alias("output_sha256"),
+                          F.sha2(fim.restored(), 256).alias("restored_sha256"))
+
+
+@query("op12_repair", r"""
+WITH RECURSIVE crc_table AS (
+    SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, k:
+        CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), rows AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations
+), marked AS (
+    SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(key, ''), lambda c: ascii(c)::BIGINT)), lambda c, b:
+        xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS kind
+    FROM rows, crc_table
+), damaged AS (
+    SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+           CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+    FROM marked WHERE kind <> 0
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM damaged
+), judged AS (
+    SELECT *, CASE WHEN role[1] IN ('s', 'u', 'a') THEN role[1] ELSE '?' END AS r, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) AS prev,
+           CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b'
+                WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+                WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 't' ELSE '' END AS fault
+    FROM placed
+), steps(s, c, t) AS (  -- state, role, state behind it: 0 nothing, 1 system, 2 user, 3 assistant
+    VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)
+), ways(s, t, pre, made) AS (  -- turns inserted in front of a row
+    SELECT s, s, '', '' FROM (VALUES (0), (1), (2), (3)) v(s)
+    UNION ALL
+    SELECT w.s, x.t, w.pre || 'I', w.made || chr(10) || CASE x.c WHEN 'u' THEN 'user:' ELSE 'assistant:' END
+    FROM ways w JOIN steps x ON x.s = w.t AND x.c <> 's' WHERE length(w.pre) < 3
+), moves AS (  -- from state s to t over a row with role r; keeps: its own role stays
+    SELECT w.s, w.t, '' AS r, 3 * length(pre) + 4 AS c, pre || 'D' AS e, made, '' AS new FROM ways w
+    UNION ALL
+    SELECT w.s, x.t, x.c, 3 * length(pre), pre || 'K', made, NULL FROM ways w JOIN steps x ON x.s = w.t
+    UNION ALL
+    SELECT w.s, x.t, '*', 3 * length(pre) + 3, pre || 'R', made, CASE x.c WHEN 'u' THEN 'user:' ELSE 'assistant:' END
+    FROM ways w JOIN steps x ON x.s = w.t AND x.c <> 's'
+), walk(conv_id, i, state, best) AS (
+    SELECT conv_id, 0::BIGINT, 0, {'cost': 0::BIGINT, 'audit': '', 'made': ''} FROM (SELECT DISTINCT conv_id FROM judged)
+    UNION ALL
+    SELECT conv_id, i, state, best FROM (
+        SELECT w.conv_id, j.i, m.t AS state, min({'cost': w.best.cost + m.c + CASE WHEN j.fault = 't' AND m.r <> '' THEN 3 ELSE 0 END,
+            'audit': w.best.audit || m.e,
+            'made': w.best.made || m.made || CASE m.r WHEN '' THEN '' WHEN '*' THEN chr(10) || m.new || j.text ELSE chr(10) || j.role || ':' || j.text END}) AS best
+        FROM walk w JOIN judged j ON j.conv_id IS NOT DISTINCT FROM w.conv_id AND j.i = w.i + 1
+             JOIN moves m ON m.s = w.state AND (m.r = '' OR (j.fault NOT IN ('b', 'd') AND (m.r = '*' OR m.r = j.r)))
+        GROUP BY w.conv_id, j.i, m.t)
+), ended AS (
+    SELECT w.conv_id, min({'cost': w.best.cost + 3 * length(x.pre), 'audit': w.best.audit || x.pre, 'made': w.best.made || x.made}) AS best
+    FROM walk w JOIN ways x ON x.s = w.state AND x.t IN (0, 3) JOIN (SELECT conv_id, max(i) AS n FROM judged GROUP BY conv_id) l
+         ON l.conv_id IS NOT DISTINCT FROM w.conv_id AND w.i = l.n
+    GROUP BY w.conv_id
+), counted AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, (count(*) FILTER (fault = 'b'))::BIGINT AS blank,
+           (count(*) FILTER (fault = 'd'))::BIGINT AS duplicate, (count(*) FILTER (fault = 't'))::BIGINT AS truncated,
+           (count(*) FILTER (i > 1 AND prev || role[1] NOT IN ('su', 'ua', 'au')))::BIGINT AS illegal
+    FROM judged GROUP BY conv_id
+)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.cost, 0)::BIGINT AS cost,
+       coalesce(best.audit, '') AS audit, sha256(coalesce(substring(best.made, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+     LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repair.own_rows(table(spark, sf_dir, "conversations"))
+    return repair.report(repair.damaged(rows), rows)
+
+
+@query("op13_packing")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), VOCABULARY)
+    return packed.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
