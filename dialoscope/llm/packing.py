@@ -12,8 +12,8 @@
    by their room per held length, not by trying all pairs.  It ends early when
    the number of bins meets the lower bound of total length.
 4. Full bins are final.  Underfull bins of all shards are dealt anew and searched
-   together, until a round empties no bin; with every round they become fewer,
-   so that at last one shard holds them all, or no more can be won.
+   together; with every round they become fewer, until one shard holds them all,
+   or until ``PATIENCE`` rounds empty no bin.
 
 Only numbers travel (document, piece, length), never tokens.  A shard is bounded
 in pieces, whatever lengths are hot; equal lengths or copies need no treatment of
@@ -47,6 +47,8 @@ from dialoscope.llm.bpe import PATTERN, byte_letters
 CAPACITY, END = 2048, 0
 #: Pieces of one shard: what one task packs at a time.
 SHARD = 8192
+#: Rounds in a row that empty no bin before the search ends: shards are dealt anew each time.
+PATIENCE = 2
 #: Columns of a piece.
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 
@@ -278,12 +280,13 @@ def place(parts: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> Dat
     done = [parts.where(whole).withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})]
     left = parts.where(~whole).withColumns({"__bin": F.lit(-1).cast("long"), "__row": F.monotonically_increasing_id()})
     left = left.withColumn("__deal", F.xxhash64("__row"))
-    count, bins, turn = left.count(), None, 1
+    count, bins, turn, idle = left.count(), None, 1, 0
     while count:
         packed = frames.stored(pack_round(left, names, turn, -(-count // shard), capacity))
         got = packed.agg(F.count_distinct("__bin"), F.count_if(~F.col("__full")),
                          F.count_distinct(F.when(~F.col("__full"), F.col("__bin")))).first()
-        if count <= shard or (bins is not None and got[0] >= bins) or not got[1]:
+        idle = idle + 1 if bins is not None and got[0] >= bins else 0
+        if count <= shard or idle >= PATIENCE or not got[1]:
             done.append(final(packed, names))
             break
         done.append(final(packed.where("__full"), names))
