@@ -7,8 +7,11 @@ class; windows over it merge to spans.  A candidate is cut behind each ``=``, so
 a name says nothing about its value.  An allow-list suppresses spans that hold a
 harmless word, and spans of which paths and names of many words cover half or more.
 
-No shuffle.  Whole texts are scanned; a null text is empty, an empty text has no
-spans.  Repeated rows give equal rows; further columns pass through; an empty
+A window of letters alone or of digits alone belongs to no class, so a secret of
+that kind is found by its name only.
+
+No shuffle.  Whole texts of any length are scanned, candidates in time that grows
+with their length; a null text is empty, an empty text has no spans.  Repeated rows give equal rows; further columns pass through; an empty
 table gives an empty result.  Offsets are code points, ends exclusive.
 """
 
@@ -38,6 +41,8 @@ HEX_LEAST = 32
 NAMES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
 HEX_BYTES = b"0123456789abcdef"
+DIGITS = frozenset("0123456789")
+LOW_HEX, HIGH_HEX = DIGITS | frozenset("abcdef"), DIGITS | frozenset("ABCDEF")
 KEY_BYTES = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Characters of a window, and the bits a character that a window of a class needs.
 WINDOW = 20
@@ -63,38 +68,37 @@ def byte_mask(members: bytes) -> np.ndarray:
     return mask
 
 
-def character_class(window: str) -> str | None:
-    """hex, mixed (digits and letters), or None: words and numbers are no candidates."""
-    digits = sum(c.isdigit() for c in window)
-    if not digits or digits == len(window):
-        return None
-    if not window.strip("0123456789abcdef") or not window.strip("0123456789ABCDEF"):
-        return "hex"
-    return "mixed"
-
-
 def entropy_spans(text: str, window: int = WINDOW, thresholds: dict[str, float] = THRESHOLDS) -> list[tuple[int, int]]:
-    """Merged windows of ``text`` whose entropy reaches the threshold of their class."""
+    """Merged windows of ``text`` whose entropy reaches the threshold of their class.
+
+    The class is hex (digits and letters of one case up to f) or mixed; windows of
+    letters alone or digits alone have none: words and numbers are no candidates.
+    """
     n = len(text)
     if n < window:
         return []
     share = [0.0] + [c / window * math.log2(window / c) for c in range(1, window + 1)]
     counts: dict[str, int] = {}
-    entropy = 0.0
+    entropy, digits, beyond_low, beyond_high = 0.0, 0, 0, 0  # the last two: characters that are no lower, no upper hex
     spans: list[tuple[int, int]] = []
     for end, new in enumerate(text, 1):
-        c = counts.get(new, 0)
-        counts[new] = c + 1
-        entropy += share[c + 1] - share[c]
         if end > window:
             old = text[end - window - 1]
             c = counts[old]
             counts[old] = c - 1
             entropy += share[c - 1] - share[c]
-        if end >= window and entropy >= min(thresholds.values()) - 1e-9:
+            digits -= old in DIGITS
+            beyond_low -= old not in LOW_HEX
+            beyond_high -= old not in HIGH_HEX
+        c = counts.get(new, 0)
+        counts[new] = c + 1
+        entropy += share[c + 1] - share[c]
+        digits += new in DIGITS
+        beyond_low += new not in LOW_HEX
+        beyond_high += new not in HIGH_HEX
+        if end >= window and 0 < digits < window:
             start = end - window
-            kind = character_class(text[start:end])
-            if kind and entropy >= thresholds[kind] - 1e-9:
+            if entropy >= thresholds["mixed" if beyond_low and beyond_high else "hex"] - 1e-9:
                 if spans and start <= spans[-1][1]:
                     spans[-1] = (spans[-1][0], end)
                 else:

@@ -173,6 +173,70 @@ def test_base_spans(texts):
         assert [s for s in spans if s[1] < 3] == secrets.base_spans(text)
 
 
+def plain_base(text):
+    """kind:start:end of the contract's patterns, by another engine and spelled out anew."""
+    import regex
+    found = [(m.start(), 0, m.end()) for m in regex.finditer(
+        r"""(?ai)(?:password|passwd|secret|token|apikey|api_key)["']?[ ]*[:=][ ]*["']?(?P<v>[-A-Za-z0-9+/_.=]+)""", text) if len(m["v"]) > 7]
+    for kind, first, rest, least in ((1, "AKIA", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 16), (2, "", "0123456789abcdef", 32)):
+        at = 0
+        while at < len(text):
+            end = at + len(first)
+            if text[at:end] == first:
+                while end < len(text) and text[end] in rest:
+                    end += 1
+            if text[at:at + len(first)] == first and end > at + len(first):
+                if end - at >= least:
+                    found.append((at, kind, end))
+                at = end
+            else:
+                at += 1
+    return ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(found))
+
+
+BASE = st.lists(st.sampled_from(["password", "PassWd", "secret", "token", "api_key", "APIKEY", "=", ":", " ", '"', "'", "AKIA", "Z9" * 7, "0f" * 16, "abc12345",
+                                 "\n", "é", "x", "_.-/+", "K", "ſ"]), max_size=14).map("".join)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(BASE, max_size=4))
+def test_base_digest_of_another_engine(texts):
+    found = secrets.scan_texts(pa.array(texts, pa.string()), secrets.WINDOW, secrets.THRESHOLDS, None)
+    for text, spans in zip(texts, found):
+        assert secrets.joined([s for s in spans if s[1] < 3]) == plain_base(text)
+
+
+def plain_entropy(text, window, thresholds):
+    """Positions covered by windows over their threshold, each window counted anew."""
+    out = set()
+    for start in range(len(text) - window + 1):
+        own = text[start:start + window]
+        digits = sum(c in "0123456789" for c in own)
+        if 0 < digits < window:
+            kind = "hex" if set(own) <= set("0123456789abcdef") or set(own) <= set("0123456789ABCDEF") else "mixed"
+            p = np.array([own.count(c) for c in set(own)]) / window
+            if -(p * np.log2(p)).sum() >= thresholds[kind] - 1e-9:
+                out |= set(range(start, start + window))
+    return out
+
+
+RUNS = st.lists(st.tuples(st.sampled_from(list(secrets.KEY_BYTES.decode())), st.integers(1, 30)), max_size=25).map(lambda r: "".join(c * n for c, n in r))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.one_of(RUNS, st.text(st.sampled_from(list("0123456789abcdefABQz_/")), max_size=70)), st.integers(2, 24))
+def test_entropy_of_runs(text, window):
+    spans = secrets.entropy_spans(text, window, {"hex": 2.0, "mixed": 2.5})
+    assert {i for a, b in spans for i in range(a, b)} == plain_entropy(text, window, {"hex": 2.0, "mixed": 2.5})
+
+
+def test_runs_of_each_key_character(spark):
+    """Long runs of one character, alone and beside a digit or a letter, end no job."""
+    texts = [c * n + tail for c in secrets.KEY_BYTES.decode() for n in (20, 21, 22, 41) for tail in ("", "1", "x")] + ["a1" * 200_000, "0" * 300_000 + "b"]
+    out = secrets.scan(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    assert len(out) == len(texts) and {r.doc_id for r in out if r.n_entropy} == set()
+
+
 def test_entropy_is_that_of_the_window():
     text = "a9F3kd02LmQ8z7Xw5Vb1Tn6Rc4Yh" * 2
     spans = secrets.entropy_spans(text)
