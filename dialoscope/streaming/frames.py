@@ -1,19 +1,24 @@
 """Event streams as they arrive: chunks to frames, frames to records.
 
-The stateful steps only remember text between micro-batches; reading the JSON
-and putting the record together are the same Column expressions as in batch.
+The stateful steps work row by row on what a micro-batch brings for a thread and
+keep little: the splitter an unfinished tail and the chunks that wait for an
+earlier one, the fold one condensed block a micro-batch (texts, calls and runs of
+equal event names), never single frames.  A block is written once and read once,
+when its thread ends.  Reading the JSON and putting the record together are
+Column expressions, as in batch.
+
 State lives in RocksDB, keyed by thread, and ends: tails and closed marks by a
-time to live, open threads by their timers or when the source ends.  The rows
-one thread adds within a micro-batch are sorted in memory, so bound the batch at
-the source (``maxFilesPerTrigger`` or the like).
+time to live or a timer, open threads by their timers or when the source ends.
+The rows one thread adds within a micro-batch are sorted in memory, so bound the
+batch at the source (``maxFilesPerTrigger``, ``maxBytesPerTrigger`` or the like).
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
@@ -23,6 +28,8 @@ from dialoscope.operators.capture import READ_TIMEOUT_SECONDS, TOTAL_TIMEOUT_SEC
 
 #: How long an unfinished tail and the mark of a closed thread are remembered.
 REMEMBER_SECONDS = 86_400
+#: How far a frame's time may lie behind the latest one of an earlier micro-batch; Spark drops what is as far behind or farther.
+LATENESS = "10 seconds"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -31,37 +38,70 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 class _BlockSplitter(StatefulProcessor):
-    """Keeps the unfinished tail of each thread and emits the finished blocks."""
+    """Keeps the unfinished tail of each thread and emits the finished blocks.
 
-    def __init__(self, remember_ms: int | None) -> None:
-        self._remember_ms = remember_ms
+    With ``order`` a chunk waits until all chunks before it have come.
+    """
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._tail = handle.getValueState("tail", "text string, n bigint", self._remember_ms)
+    def __init__(self, order: str | None, remember_ms: int | None) -> None:
+        self._order, self._remember_ms = order, remember_ms
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        text, n = self._tail.get() or ("", 0)
-        arrived = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        *blocks, text = (text + "".join(arrived["chunk"])).split("\n\n")
-        self._tail.update((text, n + len(blocks)))
-        if blocks:
-            yield pd.DataFrame({"thread_id": key[0], "seq": range(n, n + len(blocks)), "block": blocks})
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._tail = handle.getValueState("tail", "text string, blocks bigint, next bigint, waiting int", self._remember_ms)
+        self._early = handle.getMapState("early", "seq bigint", "chunk string", self._remember_ms)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        text, n, following, waiting = self._tail.get() or ("", 0, 0, 0)
+        parts = [text]
+
+        def take(seq: int, chunk: str) -> None:
+            nonlocal following
+            parts.append(chunk)
+            following = seq + (1 if self._order == "count" else len(chunk))
+
+        for r in sorted(rows, key=lambda r: r.seq):
+            if self._order is None:
+                parts.append(r.chunk)
+            elif r.seq == following:
+                take(r.seq, r.chunk)
+            elif r.seq > following:  # what is smaller has come before
+                if not self._early.containsKey((r.seq,)):
+                    waiting += 1
+                    self._early.updateValue((r.seq,), (r.chunk,))
+                continue
+            while waiting and self._early.containsKey((following,)):
+                seq, (chunk,) = following, self._early.getValue((following,))
+                self._early.removeKey((seq,))
+                waiting -= 1
+                take(seq, chunk)
+        *blocks, text = "".join(parts).split("\n\n")
+        self._tail.update((text, n + len(blocks), following, waiting))
+        for i, block in enumerate(blocks):
+            yield Row(thread_id=key[0], seq=n + i, block=block)
 
     def close(self) -> None:
         pass
 
 
-def stream_frames(chunks: DataFrame, remember_seconds: float | None = REMEMBER_SECONDS) -> DataFrame:
+def stream_frames(chunks: DataFrame, remember_seconds: float | None = REMEMBER_SECONDS, order: str | None = None) -> DataFrame:
     """Chunks (thread_id, seq, chunk) to frames (thread_id, seq, event, data), across chunk borders.
 
+    order: ``count`` if chunks of a thread are numbered 0, 1, 2, ..., ``length`` if
+    seq is the offset of the chunk's first character: then a chunk that overtakes
+    another, in its micro-batch or by several, waits for it, and one that comes
+    again is left out.  None joins the chunks of a micro-batch by seq, and
+    micro-batches as they come.
+
     Text not yet closed by a blank line waits in the state, for ``remember_seconds``
     after the thread's last chunk.  A time to live needs a stream that keeps running;
     None drains a backlog (``availableNow``).
     """
+    if order not in (None, "count", "length"):
+        raise ValueError(f"unknown order {order!r}")
     use_rocksdb(chunks.sparkSession)
     key = chunks.schema["thread_id"].dataType.simpleString()
-    blocks = chunks.groupBy("thread_id").transformWithStateInPandas(
-        _BlockSplitter(None if remember_seconds is None else int(remember_seconds * 1000)),
+    blocks = chunks.where("chunk IS NOT NULL AND seq IS NOT NULL").groupBy("thread_id").transformWithState(
+        _BlockSplitter(order, None if remember_seconds is None else int(remember_seconds * 1000)),
         StructType.fromDDL(f"thread_id {key}, seq bigint, block string"), "Append", "None" if remember_seconds is None else "ProcessingTime")
     lines = F.split("block", "\n")
     names = F.filter(lines, lambda x: x.startswith("event: "))
@@ -72,113 +112,205 @@ def stream_frames(chunks: DataFrame, remember_seconds: float | None = REMEMBER_S
     ).where((F.length("event") > 0) & (F.length("data") > 0))
 
 
-_FRAME = "event string, piece string, call string, offer string"
+#: A condensed block of frames: how many, runs of event names, calls, the last offer, the first text and what follows it.
+BLOCK = "n bigint, events array<struct<event:string,n:int>>, calls array<string>, offer string, head string, message boolean, tail string"
+
+
+def condense(frames: list[Row]) -> str:
+    """One block of the frames of a thread, as JSON text."""
+    events: list[list] = []
+    head, message, tail, offer, calls = None, False, [], None, []
+    for f in frames:
+        if events and events[-1][0] == f.event:
+            events[-1][1] += 1
+        else:
+            events.append([f.event, 1])
+        if f.call is not None:
+            calls.append(f.call)
+        if f.offer is not None:
+            offer = f.offer
+        if f.piece is not None:
+            if head is None:
+                head, message = f.piece, f.event == "message"
+            elif f.event != "message":
+                tail.append(f.piece)
+    return json.dumps({"n": len(frames), "events": [{"event": e, "n": n} for e, n in events], "calls": calls, "offer": offer,
+                       "head": head, "message": message, "tail": "".join(tail)}, ensure_ascii=False)
 
 
 class _RecordCollector(StatefulProcessor):
-    """Remembers the frames of open threads; emits them on ``done`` or when a timer runs out.
+    """Remembers the condensed blocks of open threads; emits them on ``done`` or when time runs out.
 
-    A thread gives one record: what closed it leaves a mark, which outlives late
-    frames by ``remember``.
+    clock: ``arrival`` (timers by the time at which frames come), ``frames`` (by the
+    frames' own times: the first frame behind a thread's deadline ends it, and so
+    does the watermark), or None.  A thread gives one record: what closed it leaves
+    a mark, which outlives late frames by ``remember``.
     """
 
-    def __init__(self, idle_ms: int, total_ms: int, remember_ms: int, timed: bool) -> None:
-        self._idle_ms, self._total_ms, self._remember_ms, self._timed = idle_ms, total_ms, remember_ms, timed
+    def __init__(self, idle_ms: int, total_ms: int, remember_ms: int, clock: str | None) -> None:
+        self._idle_ms, self._total_ms, self._remember_ms, self._clock = idle_ms, total_ms, remember_ms, clock
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._frames = handle.getListState("frames", _FRAME)
-        self._timers = handle.getValueState("timers", "idle_at bigint, total_at bigint")
-        self._closed = handle.getValueState("closed", "at bigint", self._remember_ms if self._timed else None)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        if self._closed.exists():
-            return
-        now = timerValues.getCurrentProcessingTimeInMs() if self._timed else 0
-        arrived = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        columns = [arrived[c].astype(object).where(arrived[c].notna(), None) for c in ("event", "piece", "call", "offer")]
-        batch = list(zip(*columns))
-        done = next((i for i, f in enumerate(batch) if f[0] == "done"), None)
-        if done is not None:
-            yield self._close(key, batch[: done + 1], None, now)
+        self._blocks = handle.getMapState("blocks", "block bigint", "body string")
+        # blocks so far (-1: closed), first and last time of the thread, its timer
+        self._thread = handle.getValueState("thread", "blocks bigint, began bigint, latest bigint, timer bigint")
+        self._closed = handle.getValueState("closed", "at bigint", self._remember_ms) if self._clock == "arrival" else None
+
+    def _deadline(self, began: int, latest: int) -> int:
+        return min(latest + self._idle_ms, began + self._total_ms)
+
+    def _error(self, began: int, latest: int) -> str:
+        idle = latest + self._idle_ms <= began + self._total_ms
+        return f"SSE hang: no data for {self._idle_ms / 1000:g}s" if idle else "timed out"
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        known = self._thread.get()
+        if known and known[0] < 0 or not known and self._closed is not None and self._closed.exists():
+            yield Row(thread_id=key[0], blocks=[], error=None, late=sum(1 for _ in rows))
             return
-        self._frames.appendList(batch)
-        if not self._timed:
+        now = timerValues.getCurrentProcessingTimeInMs() if self._clock == "arrival" else 0
+        blocks, began, latest, timer = known or (0, None, None, 0)
+        arrived = sorted(rows, key=lambda r: r.seq)
+        taken, error, ended = len(arrived), None, False
+        for i, f in enumerate(arrived):
+            if self._clock is not None:
+                at = now if self._clock == "arrival" else f.at_ms
+                at = latest if at is None else at
+                if at is not None:
+                    if self._clock == "frames" and began is not None and at > self._deadline(began, latest):
+                        taken, error, ended = i, self._error(began, latest), True
+                        break
+                    began, latest = at if began is None else began, at if latest is None else max(latest, at)
+            if f.event == "done":
+                taken, ended = i + 1, True
+                break
+        last = [condense(arrived[:taken])] if taken else []
+        if ended:
+            yield self._close(key, known, last, error, latest)
+            if taken < len(arrived):
+                yield Row(thread_id=key[0], blocks=[], error=None, late=len(arrived) - taken)
             return
-        idle_at, total_at = self._timers.get() or (0, 0)
-        if idle_at:
-            self._handle.deleteTimer(idle_at)
-        else:
-            total_at = now + self._total_ms
-            self._handle.registerTimer(total_at)
-        self._handle.registerTimer(now + self._idle_ms)
-        self._timers.update((now + self._idle_ms, total_at))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if last:
+            self._blocks.updateValue((blocks,), (last[0],))
+        if began is not None:
+            due = self._deadline(began, latest)
+            if due != timer:
+                if timer:
+                    self._handle.deleteTimer(timer)
+                self._handle.registerTimer(due)
+                timer = due
+        self._thread.update((blocks + 1, began, latest, timer))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        known = self._thread.get()
         at = expiredTimerInfo.getExpiryTimeInMs()
-        known = self._timers.get()
-        if self._closed.exists() or not known or at not in known:
+        if not known or at != known[3]:
+            return
+        if known[0] < 0:  # remembered long enough
+            self._thread.clear()
             return
-        error = f"SSE hang: no data for {self._idle_ms / 1000:g}s" if at == known[0] else "timed out"
-        yield self._close(key, [], error, at)
+        yield self._close(key, None, [], self._error(known[1], known[2]), known[2], known[0])
 
-    def _close(self, key, last: list[tuple], error: str | None, at: int) -> pd.DataFrame:
+    def _close(self, key, known: tuple | None, last: list[str], error: str | None, latest: int | None, blocks: int | None = None) -> Row:
         """The record of a thread; its state shrinks to the mark."""
-        earlier = [tuple(f) for f in self._frames.get()] if self._frames.exists() else []
-        frames = earlier + last
-        for t in self._timers.get() or () if self._timed else ():
-            if t and t != at:
-                self._handle.deleteTimer(t)
-        self._frames.clear()
-        self._timers.clear()
-        self._closed.update((at,))
-        return pd.DataFrame({"thread_id": [key[0]], "frames": [[dict(zip(("event", "piece", "call", "offer"), f)) for f in frames]], "error": [error]})
+        blocks = blocks if blocks is not None else known[0] if known else 0
+        bodies = [body for _, body in sorted((k[0], v[0]) for k, v in self._blocks.iterator())] if blocks else []
+        if blocks:
+            self._blocks.clear()
+        if known and known[3]:
+            self._handle.deleteTimer(known[3])
+        if self._clock == "arrival":
+            self._closed.update((latest or 0,))
+            if blocks:
+                self._thread.clear()
+        else:
+            forget = 0
+            if self._clock == "frames":
+                forget = (latest or 0) + self._idle_ms + self._remember_ms
+                self._handle.registerTimer(forget)
+            self._thread.update((-1, latest, latest, forget))
+        return Row(thread_id=key[0], blocks=bodies + last, error=error, late=0)
 
     def close(self) -> None:
         pass
 
 
-def _records(folded: DataFrame) -> DataFrame:
-    """Records from the frames of closed threads: (thread_id, frames, error)."""
-    said = F.filter("frames", lambda f: f["piece"].isNotNull())
-    text = F.array_join(F.filter(F.transform(said, lambda f, i: F.when(
-        (i > 0) & (f["event"] == "message"), F.lit("")).otherwise(f["piece"])), lambda p: F.length(p) > 0), "")
-    calls = F.filter(F.transform("frames", lambda f: f["call"]), lambda c: c.isNotNull())
-    offers = F.filter(F.transform("frames", lambda f: f["offer"]), lambda o: o.isNotNull())
+def _records(folded: DataFrame, error: Column | str = "error") -> DataFrame:
+    """Records from the condensed blocks of threads: (thread_id, blocks as JSON, error)."""
+    parts = folded.select("thread_id", F.transform("blocks", lambda b: F.from_json(b, BLOCK)).alias("parts"), F.col(error).alias("error") if isinstance(error, str) else error.alias("error"))
+    said = F.filter("parts", lambda p: p["head"].isNotNull())
+    text = F.array_join(F.transform(said, lambda p, i: F.concat(F.when((i > 0) & p["message"], F.lit("")).otherwise(p["head"]), p["tail"])), "")
+    events = F.flatten(F.transform("parts", lambda p: F.flatten(F.transform(p["events"], lambda e: F.array_repeat(e["event"], e["n"])))))
+    offers = F.filter(F.transform("parts", lambda p: p["offer"]), lambda o: o.isNotNull())
     none = F.array().cast("array<string>")
-    return folded.select(
+    return parts.select(
         "thread_id", text.alias("response"),
-        F.transform(calls, lambda c: F.from_json(c, "tool string, input string")).alias("tool_calls"),
-        F.transform("frames", lambda f: f["event"]).alias("status_sequence"),
-        F.coalesce(F.from_json(F.try_element_at(offers, F.lit(-1)), "array<string>"), none).alias("suggestions"),
-        F.size("frames").alias("step_count"), "error")
+        F.transform(F.flatten(F.transform("parts", lambda p: p["calls"])), lambda c: F.from_json(c, "tool string, input string")).alias("tool_calls"),
+        events.alias("status_sequence"), F.coalesce(F.from_json(F.try_element_at(offers, F.lit(-1)), "array<string>"), none).alias("suggestions"),
+        F.aggregate("parts", F.lit(0).cast("bigint"), lambda n, p: n + p["n"]).cast("int").alias("step_count"), "error")
+
+
+def _fold(frames: DataFrame, phases: str, idle_seconds: float, total_seconds: float, clock: str | None, remember_seconds: float,
+          lateness: str) -> DataFrame:
+    """(thread_id, blocks, error, late): closed threads, and how many frames came behind a thread's end."""
+    if clock not in (None, "arrival", "frames"):
+        raise ValueError(f"unknown clock {clock!r}")
+    use_rocksdb(frames.sparkSession)
+    key = frames.schema["thread_id"].dataType.simpleString()
+    rows, times = frames, []
+    if clock == "frames":
+        rows = rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
+        times = [F.col("ts"), F.unix_millis("ts").alias("at_ms")]
+    read = read_frames(rows, phases).select(
+        "thread_id", "seq", "event", "piece", F.to_json("call").alias("call"), F.to_json("offer").alias("offer"), *times)
+    out = StructType.fromDDL(f"thread_id {key}, blocks array<string>, error string, late bigint")
+    mode = {None: "None", "arrival": "ProcessingTime", "frames": "EventTime"}[clock]
+    return read.groupBy("thread_id").transformWithState(
+        _RecordCollector(int(idle_seconds * 1000), int(total_seconds * 1000), int(remember_seconds * 1000), clock), out, "Append", mode)
 
 
 def stream_fold(frames: DataFrame, phases: str = "code", idle_seconds: float = READ_TIMEOUT_SECONDS,
-                total_seconds: float = TOTAL_TIMEOUT_SECONDS, timed: bool = True,
-                remember_seconds: float = REMEMBER_SECONDS) -> DataFrame:
+                total_seconds: float = TOTAL_TIMEOUT_SECONDS, timed: bool = True, remember_seconds: float = REMEMBER_SECONDS,
+                clock: str = "arrival", lateness: str = LATENESS) -> DataFrame:
     """Frames to one record per thread, emitted at its ``done`` frame or when a timeout strikes.
 
     Frames after ``done`` or a timeout are ignored for ``remember_seconds``.  A hung
-    thread gives a record with an error and what it said until then.  Timers need a
-    stream that keeps running; pass ``timed=False`` to drain a backlog
-    (``availableNow``) and read what is open at its end with ``open_records``.
+    thread gives a record with an error and what it said until then.
+
+    clock: ``arrival`` takes the time at which frames come, and needs a stream that
+    keeps running.  ``frames`` takes the frames' own times (column ``ts``): a thread ends
+    where a frame comes later than the idle or the total time allows, or when the
+    watermark (the latest time less ``lateness``) passes that point.  So a replay cuts
+    where the live stream did, however frames are dealt over micro-batches, if none is later than that.
+    ``timed=False`` knows no timeouts.  What is open where a drained source ends
+    (``availableNow``) is read with ``open_records``.
     """
-    use_rocksdb(frames.sparkSession)
-    key = frames.schema["thread_id"].dataType.simpleString()
-    read = read_frames(frames, phases).select(
-        "thread_id", "seq", "event", "piece", F.to_json("call").alias("call"), F.to_json("offer").alias("offer"))
-    out = StructType.fromDDL(f"thread_id {key}, frames array<struct<event:string,piece:string,call:string,offer:string>>, error string")
-    raw = read.groupBy("thread_id").transformWithStateInPandas(
-        _RecordCollector(int(idle_seconds * 1000), int(total_seconds * 1000), int(remember_seconds * 1000), timed), out, "Append",
-        "ProcessingTime" if timed else "None")
-    return _records(raw)
+    folded = _fold(frames, phases, idle_seconds, total_seconds, clock if timed else None, remember_seconds, lateness)
+    return _records(folded.where("late = 0"))
+
+
+def late_frames(frames: DataFrame, idle_seconds: float = READ_TIMEOUT_SECONDS, total_seconds: float = TOTAL_TIMEOUT_SECONDS,
+                remember_seconds: float = REMEMBER_SECONDS, lateness: str = LATENESS) -> DataFrame:
+    """(thread_id, late): frames that a micro-batch brought behind the end of their thread, by the frames' own times."""
+    return _fold(frames, "code", idle_seconds, total_seconds, "frames", remember_seconds, lateness).where("late > 0").select("thread_id", "late")
 
 
-def open_records(spark: SparkSession, checkpoint: str) -> DataFrame:
+def open_records(spark: SparkSession, checkpoint: str, now: Column | None = None, idle_seconds: float = READ_TIMEOUT_SECONDS,
+                 total_seconds: float = TOTAL_TIMEOUT_SECONDS) -> DataFrame:
     """Records of the threads that are open where a drained stream ended: the body ended without ``done``.
 
-    Reads the state that the stream left in its checkpoint.
+    Reads the state that the stream left in its checkpoint.  With ``now`` (the time of
+    the source's end, for a stream by the frames' clock) threads whose time is over by
+    then get their error.
     """
-    state = (spark.read.format("statestore").option("stateVarName", "frames").option("flattenCollectionTypes", "false").load(checkpoint))
-    return _records(state.select(F.col("key.*"), F.col("list_value").alias("frames"), F.lit(None).cast("string").alias("error")))
+    source = spark.read.format("statestore")
+    blocks = source.option("stateVarName", "blocks").load(checkpoint).select(
+        F.col("key.*"), F.struct(F.col("user_map_key.block").alias("block"), F.col("user_map_value.body").alias("body")).alias("b"))
+    whole = blocks.groupBy("thread_id").agg(F.transform(F.array_sort(F.collect_list("b")), lambda b: b["body"]).alias("blocks"))
+    if now is None:
+        return _records(whole, F.lit(None).cast("string"))
+    state = source.option("stateVarName", "thread").load(checkpoint).select(F.col("key.*"), F.col("value.*"))
+    idle_at, total_at = F.col("latest") + int(idle_seconds * 1000), F.col("began") + int(total_seconds * 1000)
+    error = F.when(F.least(idle_at, total_at) < F.unix_millis(now), F.when(idle_at <= total_at, F.lit(f"SSE hang: no data for {idle_seconds:g}s")).otherwise(F.lit("timed out")))
+    return _records(whole.join(state.where("blocks >= 0").select("thread_id", error.alias("error")), "thread_id"))

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from dialoscope.operators.browse import since_filter
+from dialoscope.streaming.frames import use_rocksdb
 
 POLL_SECONDS = 300  # fixed value: default time between polls
 
@@ -27,42 +28,33 @@ def watch_runs(runs: DataFrame, since: str | None = None, delay: str = "7 days",
     return timed.withWatermark("__arrived", delay).dropDuplicatesWithinWatermark([key]).drop("__arrived")
 
 
-def seen_ids(spark: SparkSession, folder: str, before: int, key: str, kind: str) -> DataFrame:
-    """Ids that polls before the given one have passed on."""
-    try:
-        rows = spark.read.schema(f"`{key}` {kind}, poll int").parquet(folder)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        rows = spark.createDataFrame([], f"`{key}` {kind}, poll int")
-    return rows.where(F.col("poll") < before).select(key)
-
-
 def watch(runs: DataFrame, checkpoint: str, on_poll: Callable[[DataFrame, int], None], since: str | None = None,
           seconds: int | None = POLL_SECONDS, key: str = "run_id") -> StreamingQuery:
     """Start polling: ``on_poll(new_runs, poll_number)`` for every batch.
 
-    ``seconds=None`` takes what is there and stops.  The ids passed on are written
-    beside the checkpoint, one folder a poll, and each batch is held against
-    those of earlier polls: every run comes once, however late, and a restarted
-    watch goes on where it stopped.  A poll that fails is repeated as a whole.
+    ``seconds=None`` takes what is there and stops.  The ids passed on are kept in the
+    state store for good, dealt by the key's hash: a poll looks its own ids up there,
+    each behind the store's Bloom filters, and uploads its own changes only, so its work
+    follows the batch and not the history.  Every run comes once, however late, and
+    a restarted watch goes on where it stopped.  A poll that fails is repeated as a whole.
     """
+    use_rocksdb(runs.sparkSession)
+    runs.sparkSession.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     rows = runs if since is None else since_filter(runs, since)
-    kind = runs.schema[key].dataType.simpleString()
-    folder = f"{checkpoint.rstrip('/')}/passed-on"
 
     def poll(batch: DataFrame, number: int) -> None:
-        known = seen_ids(batch.sparkSession, folder, number, key, kind)
-        new = batch.dropDuplicates([key]).join(known, key, "left_anti").persist()
+        new = batch.persist()
         try:
             on_poll(new, number)
-            new.select(key).write.mode("overwrite").parquet(f"{folder}/poll={number}")
         finally:
             new.unpersist()
 
-    writer = rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(poll)
-    writer = writer.trigger(availableNow=True) if seconds is None else writer.trigger(
-        processingTime=f"{seconds} seconds")
+    writer = rows.dropDuplicates([key]).writeStream.option("checkpointLocation", checkpoint).foreachBatch(poll)
+    return _started(writer, seconds)
+
+
+def _started(writer: DataStreamWriter, seconds: int | None) -> StreamingQuery:
+    writer = writer.trigger(availableNow=True) if seconds is None else writer.trigger(processingTime=f"{seconds} seconds")
     return writer.start()
 
 
@@ -78,6 +70,28 @@ def stream_records(records: DataFrame, path: str, checkpoint: str, seconds: int
               .option("checkpointLocation", checkpoint))
     if partitions:
         writer = writer.partitionBy(*partitions)
-    writer = writer.trigger(availableNow=True) if seconds is None else writer.trigger(
-        processingTime=f"{seconds} seconds")
-    return writer.start()
+    return _started(writer, seconds)
+
+
+def stream_batches(records: DataFrame, path: str, checkpoint: str, seconds: int | None = None,
+                   written: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
+    """Write a record stream as Parquet, one folder ``batch=<number>`` a micro-batch; read it with ``read_batches``.
+
+    ``written`` sees what a batch has written before the batch is committed, be it to
+    publish counts or to check them.  A job that ends between write and commit repeats
+    the batch, whose folder is replaced as a whole: rows come neither twice nor never,
+    and what the failed attempt left is gone.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        folder = f"{path.rstrip('/')}/batch={number}"
+        batch.write.mode("overwrite").parquet(folder)
+        if written is not None:
+            written(batch.sparkSession.read.schema(batch.schema).parquet(folder), number)
+
+    return _started(records.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write), seconds)
+
+
+def read_batches(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The rows that ``stream_batches`` has written so far, with the number of their batch."""
+    return spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).parquet(path)

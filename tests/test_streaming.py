@@ -1,7 +1,9 @@
 """Streams over several micro-batches against the batch result."""
 
+import datetime
 import time
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from dialoscope.operators import capture
@@ -118,3 +120,91 @@ def test_watch_loses_nothing_of_a_backlog(spark, tmp_path):
     assert sorted(seen) == sorted(days)
     out = drain(sr.watch_runs(stream), tmp_path, "once")
     assert sorted(r.run_id for r in out.collect()) == sorted(days)
+
+
+def test_chunks_that_overtake(spark, tmp_path):
+    """Chunks swapped within and across micro-batches wait for those before them; repeated ones are left out."""
+    body = "".join(f"event: e{i}\ndata: {{\"n\": {i}}}\n\n" for i in range(12))
+    cut = [body[i:i + 9] for i in range(0, len(body), 9)]
+    order = list(range(len(cut)))
+    order[1], order[9] = order[9], order[1]
+    order[4], order[5] = order[5], order[4]
+    order += [3, 0]
+    for how, seq in (("count", lambda i: i), ("length", lambda i: 9 * i)):
+        rows = [(t, seq(i), cut[i]) for i in order for t in ("a", "b")]
+        stream = land(spark, str(tmp_path / f"in-{how}"), rows, "thread_id string, seq bigint, chunk string", 5)
+        out = drain(st.stream_frames(stream, remember_seconds=None, order=how), tmp_path, f"out-{how}")
+        want = [(t, i, f"e{i}", f'{{"n": {i}}}') for t in ("a", "b") for i in range(12)]
+        assert [tuple(r) for r in out.orderBy("thread_id", "seq").collect()] == want
+
+
+TIMED = "thread_id string, seq bigint, ts timestamp, event string, data string"
+
+
+def timed(rows):
+    start = datetime.datetime(2024, 1, 1)
+    return [(t, i, start + datetime.timedelta(seconds=s), e, d) for t, i, s, e, d in rows]
+
+
+def test_timeouts_by_the_frames_own_times(spark, tmp_path):
+    """Idle and total limits cut where the frames' times say, however frames are dealt over micro-batches."""
+    say = lambda t, i, s: (t, i, s, "token", f'{{"content":"{t}{i}"}}')
+    rows = [say("idle", 0, 0), say("long", 0, 0), ("fine", 0, 0, "done", "{}"), say("idle", 1, 50), say("long", 1, 100), say("long", 2, 200), say("idle", 2, 201),
+            say("long", 3, 290), say("fine", 1, 291), say("long", 4, 301), say("idle", 3, 302), say("open", 0, 400), say("quiet", 0, 390), say("open", 1, 495)]
+    want = {"idle": ("idle0idle1", "SSE hang: no data for 120s"), "long": ("long0long1long2long3", "timed out"), "fine": ("", None),
+            "open": ("open0open1", None), "quiet": ("quiet0", None)}
+    for per_file in (1, 4, 20):
+        stream = land(spark, str(tmp_path / f"in{per_file}"), timed(rows), TIMED, per_file)
+        out = drain(st.stream_fold(stream, clock="frames"), tmp_path, f"out{per_file}")
+        now = F.lit(timed(rows)[-1][2])
+        rest = st.open_records(spark, str(tmp_path / f"out{per_file}-state"), now)
+        got = out.unionByName(rest).collect()
+        assert {r.thread_id: (r.response, r.error) for r in got} == want and len(got) == 5
+        late = drain(st.late_frames(stream), tmp_path, f"late{per_file}").groupBy("thread_id").agg(F.sum("late").alias("n"))
+        assert {r.thread_id: r.n for r in late.collect()} == {"idle": 2, "fine": 1, "long": 1}
+
+
+def test_state_holds_blocks_not_frames(spark, tmp_path):
+    """A thread of thousands of token frames leaves one condensed row a micro-batch."""
+    rows = [("t", i, "token", '{"content":"x"}') for i in range(3000)]
+    stream = land(spark, str(tmp_path / "in"), rows, SCHEMA, 1000)
+    drain(st.stream_fold(stream, timed=False), tmp_path, "out")
+    state = spark.read.format("statestore").option("stateVarName", "blocks").load(str(tmp_path / "out-state")).collect()
+    assert len(state) == 3 and sum(len(r.user_map_value.body) for r in state) < 3000 + 3 * 200
+    (row,) = st.open_records(spark, str(tmp_path / "out-state")).collect()
+    assert (row.response, row.step_count, row.status_sequence) == ("x" * 3000, 3000, ["token"] * 3000)
+
+
+def test_failed_batch_is_repeated_as_a_whole(spark, tmp_path):
+    """A job lost between write and commit, at each batch in turn: rows come once."""
+    rows = [(i, f"r{i}") for i in range(20)]
+    stream = land(spark, str(tmp_path / "in"), rows, "n bigint, t string", 4)
+    left, counts = {1, 3}, {}
+
+    def check(batch, number):
+        counts[number] = batch.count()
+        if number in left:
+            left.discard(number)
+            raise RuntimeError("lost")
+
+    for _ in range(3):
+        query = sr.stream_batches(stream, str(tmp_path / "out"), str(tmp_path / "state"), written=check)
+        try:
+            query.awaitTermination()
+        except StreamingQueryException:
+            pass
+    out = sr.read_batches(spark, str(tmp_path / "out"), stream.schema).collect()
+    assert sorted((r.n, r.t) for r in out) == rows and not left and set(counts.values()) == {4}
+
+
+def test_polls_read_by_the_batch(spark, tmp_path):
+    """Over twenty polls, what a poll looks up in the state follows its own rows, not those of all polls before."""
+    rows = [(i if i % 5 else i // 2, "tool", datetime.datetime(2024, 1, 1)) for i in range(400)]
+    stream = land(spark, str(tmp_path / "in"), rows, "run_id bigint, run_type string, start_time timestamp", 20)
+    seen = []
+    query = sr.watch(stream, str(tmp_path / "state"), lambda b, n: seen.extend(r.run_id for r in b.collect()), seconds=None)
+    query.awaitTermination()
+    assert sorted(seen) == sorted({r[0] for r in rows})
+    polls = [p for p in query.recentProgress if p["numInputRows"]]
+    gets = [p["stateOperators"][0]["customMetrics"]["rocksdbGetCount"] for p in polls]
+    assert len(polls) == 20 and max(gets) <= 3 * 20 and all(p["numInputRows"] <= 20 for p in polls)
