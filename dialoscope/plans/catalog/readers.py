@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from dialoscope.plans.catalog import Catalog
 from dialoscope.plans.catalog.runs import rec
-from dialoscope.plans.fixtures import fixture, oracle, scratch, table
+from dialoscope.plans.fixtures import oracle, scratch, table
 from dialoscope.plans.inputs import records
 from dialoscope.sources import files
 
@@ -61,25 +62,23 @@ def read_scenarios(spark, sf):
     return files.read_scenarios(spark, f"{base}/cases.json").select("bot_name", "query_id", "query", "category")
 
 
-@add("read_registry", oracle(["registry"], """SELECT k AS registry, CAST(row_number() OVER (PARTITION BY k ORDER BY ord) AS INTEGER) AS place,
- name, family, enabled, description || CASE WHEN k = 1 THEN '' ELSE ' again' END AS description
- FROM registry, (SELECT unnest([1, 2]) AS k) WHERE k = 1 OR enabled"""))
+@add("read_registry", oracle([], """SELECT p_partkey // 50 AS registry, row_number() OVER (PARTITION BY p_partkey // 50 ORDER BY p_partkey) AS place,
+ 'tool_' || p_partkey AS name, 'family_' || p_brand AS family, p_partkey % 3 <> 0 AS enabled, p_name || ' of size ' || p_size AS description
+ FROM part WHERE p_partkey % 50 < 45"""))
 def read_registry(spark, sf):
-    """Two registry files whose tables begin and end at different lines."""
-    base, rows = scratch(spark, "read-registry"), fixture(spark, sf, "registry")
-    for k in (1, 2):
-        own = rows if k == 1 else rows.where("enabled").withColumn("description", F.concat("description", F.lit(" again")))
-        tick = F.when(F.col("enabled"), "✅").otherwise("❌")
-        line = F.concat(F.lit("| `"), F.replace("name", F.lit("_"), F.lit("\\_")), F.lit("` | "), F.col("family"), F.lit(" | "), tick, F.lit(" | "),
-                        F.col("description"), F.lit(" |"))
-        body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("l")))), lambda x: x["l"]), "\n")
-        head = "# Tools\n" * k + "\n| Tool | Family | Enabled | Description |\n| --- | --- | --- | --- |\n"
-        own.agg(F.concat(F.lit(head), body, F.lit("\n\nThat was all.\n| `late` | f | ✅ | outside |\n")).alias("value")) \
-            .write.text(f"{base}/registry{k}.md")
-    found = files.read_registry(spark, f"{base}/*.md", by_file=True)
-    which = F.regexp_extract("file", r"registry(\d)\.md", 1).cast("int")
-    place = F.expr("CAST(row_number() OVER (PARTITION BY file ORDER BY ord) AS INT)")
-    return found.select(which.alias("registry"), place.alias("place"), "name", "family", "enabled", "description")
+    """Fifty parts make a registry file; the last five lines stand behind the end of its table."""
+    base = scratch(spark, "read-registry")
+    k, place = F.floor(F.col("p_partkey") / 50), F.col("p_partkey") % 50
+    tick = F.when(F.col("p_partkey") % 3 != 0, "✅").otherwise("❌")
+    line = F.concat(F.lit("| `tool\\_"), "p_partkey", F.lit("` | family\\_"), "p_brand", F.lit(" | "), tick, F.lit(" | "), "p_name", F.lit(" of size "), "p_size", F.lit(" |"))
+    line = F.concat(F.when((place == 45), F.lit("\n\nThat was all.\n")).when(place % 20 == 7, F.lit("\n")).otherwise(F.lit("")), line)
+    rows = table(spark, sf, "part").select(k.alias("k"), place.alias("place"), line.alias("l"))
+    bodies = rows.groupBy("k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "l"))), lambda x: x["l"]), "\n").alias("body"))
+    head = F.concat(F.repeat(F.lit("# Tools\n"), (F.col("k") % 3).cast("int")), F.lit("\n| Tool | Family | Enabled | Description |\n| --- | --- | --- | --- |\n"))
+    bodies.select("k", F.concat(head, "body").alias("value")).write.partitionBy("k").text(base)
+    found = files.read_registry(spark, f"{base}/k=*", by_file=True)
+    place = F.row_number().over(Window.partitionBy("file").orderBy("ord"))
+    return found.select(F.regexp_extract("file", r"/k=(\d+)/", 1).cast("bigint").alias("registry"), place.alias("place"), "name", "family", "enabled", "description")
 
 
 @add("read_wire_log", oracle([], """SELECT 'GET' AS method, regexp_replace(split_part(split_part(url, '#', 1), '?', 1),

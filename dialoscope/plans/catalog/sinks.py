@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import functions as F
 
-from dialoscope.operators import rollups
+from dialoscope.operators import browse, rollups
 from dialoscope.plans.catalog import Catalog
 from dialoscope.plans.catalog.runs import COUNTS, MANIFEST, enr, manifest, rec
-from dialoscope.plans.fixtures import oracle, scratch, table
+from dialoscope.plans.fixtures import fixture, oracle, scratch, table
 from dialoscope.plans.inputs import enriched, records
 from dialoscope.sources import files, sinks
 
@@ -44,6 +46,38 @@ def manifest_upsert(spark, sf):
     return sinks.upsert_manifest(rows, again).select("account", "version", "total_queries")
 
 
+@add("manifest_publish", rec("SELECT account, version, total_queries, success, failed FROM m", m=MANIFEST))
+def manifest_publish(spark, sf):
+    """Every account publishes each of its runs, all at once: whoever comes second merges anew, no run is lost."""
+    path, rows = scratch(spark, "manifest"), manifest(spark, sf).select("account", "version", "total_queries", "success", "failed", "timestamp").persist()
+    runs = [(r.account, r.version) for r in rows.select("account", "version").collect()]
+
+    def report(run):
+        sinks.append_manifest(spark, rows.where((F.col("account") == run[0]) & (F.col("version") == run[1])), path)
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(report, runs))
+    rows.unpersist()
+    return sinks.latest_manifest(spark, path)[1].drop("timestamp")
+
+
+@add("example_set", oracle(["trace_runs"], "SELECT run_id, run_type FROM trace_runs WHERE run_type = 'tool'"))
+def example_set(spark, sf):
+    """An example set is replaced by another, made of a reader's view of the first."""
+    path, runs = scratch(spark, "examples"), fixture(spark, sf, "trace_runs").select("run_id", "run_type")
+    sinks.replace_examples(runs, path)
+    sinks.replace_examples(sinks.read_examples(spark, path).where("run_type = 'tool'"), path)
+    return sinks.read_examples(spark, path)
+
+
+@add("next_version_files", rec("SELECT account, max(run_version) + 1 AS next_version FROM records GROUP BY 1"))
+def next_version_files(spark, sf):
+    """Version numbers from the names of result files; other names are passed over."""
+    names = records(spark, sf).select("account", F.explode(F.array(
+        F.concat(F.lit("query_results_v"), "run_version", F.lit(".jsonl")), F.lit("query_results_vX.jsonl"), F.lit("query_results_v99.json"))).alias("file"))
+    return browse.next_version_of_files(names.distinct(), "query_results", ["account"])
+
+
 @add("payload_records", enr("""SELECT run_version, query_index, '{"query_index":' || query_index || ',"query":' || to_json(query)
  || ',"copilot_response":"","remarks":' || to_json(remarks) || ',"category":' || to_json(category) || ',"expected_tool":'
  || coalesce(CAST(to_json(expected_tool) AS VARCHAR), 'null') || ',"thread_id":"t' || query_index || '","tool_calls":['

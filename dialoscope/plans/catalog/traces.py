@@ -182,6 +182,14 @@ def list_runs(spark, sf):
                             limit=100, offset=100).select("run_id", "run_type")
 
 
+@add("list_project_runs", oracle(["trace_runs"], """SELECT run_id, run_type, session_id AS project FROM trace_runs
+ WHERE session_id = 'sess7' AND start_time >= TIMESTAMP '2024-01-05 00:00:00'"""))
+def list_project_runs(spark, sf):
+    """All runs of one project."""
+    runs = fixture(spark, sf, "trace_runs").withColumnRenamed("session_id", "project")
+    return browse.list_runs(runs, project="sess7", since="2024-01-05").select("run_id", "run_type", "project")
+
+
 @add("unseen_runs", oracle(["trace_runs"], """SELECT run_id FROM trace_runs
  WHERE start_time >= TIMESTAMP '2024-01-10 00:00:00'"""))
 def unseen_runs(spark, sf):

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dialoscope import schemas
@@ -90,47 +90,64 @@ def read_scenarios(spark: SparkSession, path: str) -> DataFrame:
                         F.coalesce("t.category", F.lit("")).alias("category"), "t.expected")
 
 
-def parse_registry(text: DataFrame, column: str = "value", keys: Sequence[str] = ()) -> DataFrame:
-    """Registry tables in markdown texts, one text a row: ord, name, family, enabled, description, behind ``keys``.
+def _piped(line: Column) -> Column:
+    return line.startswith("|")
 
-    The table starts at the line naming Tool and Family and ends at the first
-    later line that is neither blank nor a table row.
-    """
-    piped = lambda x: x.startswith("|")
-    head = lambda x: piped(x) & x.contains("Tool") & x.contains("Family")
-    lines = text.select(*keys, F.transform(F.split(column, r"\r?\n"), lambda x: F.trim(x)).alias("lines"))
-    start = F.array_position(F.transform("lines", head), True)
-    below = lines.where(start > 0).select(*keys, F.slice("lines", (start + 1).cast("int"), F.size("lines")).alias("below"))
-    stop = F.array_position(F.transform("below", lambda x: ~piped(x) & (F.length(x) > 0)), True)
-    table = below.select(*keys, F.posexplode(F.when(stop > 0, F.slice("below", 1, (stop - 1).cast("int"))).otherwise(F.col("below"))).alias("pos", "line"))
+
+def _is_head(line: Column) -> Column:
+    return _piped(line) & line.contains("Tool") & line.contains("Family")
+
+
+def _tools(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Tools of the lines (``keys``, ord, line) between a table's head and its end."""
     line = F.col("line")
-    body = table.where(piped(line) & ~head(line) & ~line.rlike(r"^[|\- ]*$"))
-    cells = F.transform(F.split("line", r"\|"), lambda x: F.trim(x))
-    rows = body.select(*keys, "pos", cells.alias("c")).where(F.size("c") >= 5)
+    body = lines.where(_piped(line) & ~_is_head(line) & ~line.rlike(r"^[|\- ]*$"))
+    rows = body.select(*keys, "ord", F.transform(F.split("line", r"\|"), lambda x: F.trim(x)).alias("c")).where(F.size("c") >= 5)
     plain = lambda x: F.replace(x, F.lit("\\_"), F.lit("_"))
     named = rows.select(
-        *keys, (F.col("pos") + 1).alias("ord"),
-        plain(F.trim(F.regexp_replace(F.get("c", F.lit(1)), "^`+|`+$", ""))).alias("name"),
+        *keys, "ord", plain(F.trim(F.regexp_replace(F.get("c", F.lit(1)), "^`+|`+$", ""))).alias("name"),
         plain(F.get("c", F.lit(2))).alias("family"),
         (F.get("c", F.lit(3)).contains("✅") | F.lower(F.get("c", F.lit(3))).contains("check")).alias("enabled"),
         F.get("c", F.lit(4)).alias("description"))
     return named.where((F.length("name") > 0) & (F.length("description") > 0))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, line) of text files, from 1 in each file, however large it is.
+
+    Spark reads a file in blocks; a row's place in its block and the lines of the
+    blocks before it give its number, so no file passes through one task or row.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), "value")
+    blocks = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("row").alias("first"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row a block
+    starts = blocks.select("file", "block", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) + 1 - F.col("first")).alias("start"))
+    return lines.join(starts, ["file", "block"]).select("file", (F.col("row") + F.col("start")).alias("line_no"), F.trim("value").alias("line"))
+
+
 def read_registry(spark: SparkSession, path: str, by_file: bool = False) -> DataFrame:
-    """Registry from a markdown file; a missing file gives no tools.
+    """Registry tables in markdown files: ord, name, family, enabled, description; a missing file gives no tools.
 
-    With ``by_file`` each of several files is a registry of its own, named in ``file``.
+    A file's table starts at the line naming Tool and Family and ends at the first
+    later line that is neither blank nor a table row; ord counts the lines behind
+    the head.  With ``by_file`` each of several files is a registry of its own,
+    named in ``file``.
     """
     try:
-        text = spark.read.text(path, wholetext=True)
+        lines = numbered_lines(spark, path)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        text = spark.createDataFrame([], "value string").withColumn("file", F.lit(None).cast("string"))
-    else:
-        text = text.withColumn("file", F.col("_metadata.file_path"))
-    return parse_registry(text, keys=("file",) if by_file else ())
+        lines = spark.createDataFrame([], "file string, line_no bigint, line string")
+    line = F.col("line")
+    told = lines.where(F.length(line) > 0)
+    heads = told.where(_is_head(line)).groupBy("file").agg(F.min("line_no").alias("head"))
+    below = told.join(heads, "file").where(F.col("line_no") > F.col("head"))
+    ends = below.where(~_piped(line)).groupBy("file").agg(F.min("line_no").alias("end"))
+    table = below.join(ends, "file", "left").where(F.col("end").isNull() | (F.col("line_no") < F.col("end")))
+    tools = _tools(table.select("file", (F.col("line_no") - F.col("head")).alias("ord"), "line"), ["file"])
+    return tools if by_file else tools.drop("file")
 
 
 def wire_endpoints(spark: SparkSession, path: str) -> DataFrame:

@@ -1,13 +1,19 @@
 """Sinks: appended records, immutable versions, manifest upsert, dashboard payload.
 
 A version is published by writing a folder that must not exist yet, so a lost
-executor or a repeated job never mixes two attempts.
+executor or a repeated job never mixes two attempts.  Generations (manifest,
+example set) are published optimistically: rows go to a folder of their own, then
+one small claim file, created only if there is none of that number, makes them the
+next generation.  Who finds the number taken reads again, merges again and retries.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import os
+import uuid
+from collections.abc import Callable, Mapping, Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,30 +53,90 @@ def upsert_manifest(existing: DataFrame, rows: DataFrame, keys: Sequence[str] =
     return (both.groupBy(*keys).agg(F.max_by(F.struct(*rest), newest).alias("r")).select(*keys, "r.*"))
 
 
-def append_manifest(spark: SparkSession, rows: DataFrame, path: str,
-                    keys: Sequence[str] = ("account", "version")) -> str:
-    """Publish the upserted manifest as the next generation below ``path``.
+#: Times that a writer retries when others publish first.
+ATTEMPTS = 50
 
-    Generations are never rewritten; readers take the highest one.
+
+def _file_system(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _claim(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a small file unless there is one of that name; the store decides who was first."""
+    hadoop, fs = _file_system(spark, path)
+    if fs.getUri().getScheme() == "file":  # Hadoop's local files have no exclusive creation
+        local = hadoop.toUri().getPath()
+        os.makedirs(os.path.dirname(local), exist_ok=True)
+        # whole before it has its name: a reader never sees half a claim
+        draft = f"{os.path.dirname(local)}/.{uuid.uuid4().hex}"
+        with open(draft, "x", encoding="utf-8") as f:
+            f.write(text)
+        try:
+            os.link(draft, local)
+        except FileExistsError:
+            return False
+        finally:
+            os.unlink(draft)
+        return True
+    try:
+        out = fs.create(hadoop, False)
+    except Py4JJavaError as e:
+        if "FileAlreadyExistsException" not in str(e.java_exception):
+            raise
+        return False
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True
+
+
+def publish(spark: SparkSession, path: str, change: Callable[[DataFrame | None], DataFrame]) -> tuple[int, str]:
+    """Publish ``change(rows of the latest generation)`` as the next generation below ``path``: its number and folder.
+
+    Writers may run at once: each change is applied to what the generation before
+    holds.  The rows of an attempt that came second are removed.
     """
-    generation, current = latest_manifest(spark, path)
-    merged = rows if current is None else upsert_manifest(current, rows, keys)
-    target = f"{path.rstrip('/')}/generation={generation + 1}"
-    merged.write.mode("errorifexists").parquet(target)
-    return target
+    base = path.rstrip("/")
+    for _ in range(ATTEMPTS):
+        generation, current = latest_generation(spark, base)
+        folder = f"{base}/rows-{uuid.uuid4().hex}"
+        change(current).write.mode("errorifexists").parquet(folder)
+        if _claim(spark, f"{base}/generations/{generation + 1:012d}", os.path.basename(folder)):
+            return generation + 1, folder
+        hadoop, fs = _file_system(spark, folder)
+        fs.delete(hadoop, True)
+    raise RuntimeError(f"{base}: others published first, {ATTEMPTS} times")
+
+
+def latest_generation(spark: SparkSession, path: str) -> tuple[int, DataFrame | None]:
+    """Highest generation number and its rows; 0 and None before the first."""
+    base = path.rstrip("/")
+    hadoop, fs = _file_system(spark, f"{base}/generations")
+    names = [s.getPath().getName() for s in fs.listStatus(hadoop)] if fs.exists(hadoop) else []
+    numbers = [n for n in names if n.isdigit()]
+    if not numbers:
+        return 0, None
+    folder = spark.read.text(f"{base}/generations/{max(numbers)}").first()[0]
+    return int(max(numbers)), spark.read.parquet(f"{base}/{folder}")
 
 
-def latest_manifest(spark: SparkSession, path: str) -> tuple[int, DataFrame | None]:
-    """Highest generation number and its rows; 0 and None before the first."""
-    number = F.regexp_extract("file", r"^generation=(\d+)$", 1)
-    found = existing_version_folders(spark, path).select(
-        F.max(F.nullif(number, F.lit("")).cast("int"))).first()[0]
-    return (0, None) if found is None else (found, spark.read.parquet(f"{path.rstrip('/')}/generation={found}"))
+def append_manifest(spark: SparkSession, rows: DataFrame, path: str,
+                    keys: Sequence[str] = ("account", "version")) -> str:
+    """Publish the manifest with the new rows in it; returns the folder of its rows."""
+    return publish(spark, path, lambda current: rows if current is None else upsert_manifest(current, rows, keys))[1]
+
+
+latest_manifest = latest_generation
 
 
 def replace_examples(examples: DataFrame, path: str) -> None:
-    """Write the example set in place of the earlier one."""
-    examples.write.mode("overwrite").parquet(path)
+    """Publish the example set in place of the earlier one, which readers see until the new one is whole."""
+    publish(examples.sparkSession, path, lambda _: examples)
+
+
+def read_examples(spark: SparkSession, path: str) -> DataFrame | None:
+    """The example set published last."""
+    return latest_generation(spark, path)[1]
 
 
 # Fields of a dashboard record with the default that stands for a missing value (fixed values).

@@ -87,3 +87,40 @@ def test_manifest_generations(spark, tmp_path):
     generation, rows = sinks.latest_manifest(spark, path)
     assert generation == 3
     assert sorted((r.version, r.n) for r in rows.collect()) == [(1, 7), (2, 6)]
+
+
+def test_registry_over_many_blocks(spark, tmp_path):
+    """A large file is read in blocks by many tasks; line numbers and the table's end are those of the whole file."""
+    body = "".join(f"| `t\\_{i}` | f{i % 3} | ✅ | number {i} |\n" + ("\n" if i % 7 == 0 else "") for i in range(2000))
+    path = tmp_path / "r.md"
+    path.write_text("intro\n\n| Tool | Family | Enabled | Text |\n| --- | --- | --- | --- |\n" + body + "end\n" + body, encoding="utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        assert spark.read.text(str(path)).rdd.getNumPartitions() > 10
+        rows = files.read_registry(spark, str(path)).orderBy("ord").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r.name for r in rows] == [f"t_{i}" for i in range(2000)]
+    assert [r.ord for r in rows[:3]] == [2, 4, 5]
+
+
+def test_publishers_at_once_lose_nothing(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+    path = str(tmp_path / "m")
+    row = lambda v: spark.createDataFrame([("a", v, v, "2024-01-01")], "account string, version int, n int, timestamp string")
+    with ThreadPoolExecutor(6) as pool:
+        list(pool.map(lambda v: sinks.append_manifest(spark, row(v), path), range(12)))
+    generation, rows = sinks.latest_manifest(spark, path)
+    assert generation == 12 and sorted(r.version for r in rows.collect()) == list(range(12))
+    # what lost a race is gone: one folder of rows a generation
+    assert len([p for p in (tmp_path / "m").iterdir() if p.name.startswith("rows-")]) == 12
+
+
+def test_examples_are_replaced_by_a_new_generation(spark, tmp_path):
+    path = str(tmp_path / "e")
+    assert sinks.read_examples(spark, path) is None
+    sinks.replace_examples(spark.range(3), path)
+    first = sinks.read_examples(spark, path)
+    sinks.replace_examples(spark.range(5), path)
+    assert first.count() == 3 and sinks.read_examples(spark, path).count() == 5
