@@ -1,6 +1,7 @@
 """Deduplicating operators against plain versions on a small table with nulls, ties, repeated rows and clashing names."""
 
 import hashlib
+import random
 from collections import Counter
 
 import numpy as np
@@ -220,6 +221,50 @@ def test_jaccard_large_keys(spark, monkeypatch):
     assert plain == set(low.items())
 
 
+def test_jaccard_many_groups_in_a_key(spark):
+    """200 groups share a long passage, hence keys; few pairs pass the bounds, and groups equal a plain search."""
+    rng = random.Random(9)
+    some = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage, rows = some(30), []
+    for g in range(200):
+        own = passage + some(12)
+        rows.append((len(rows), " ".join(own)))
+        for _ in range(rng.randrange(3)):
+            near = list(own)
+            near[rng.randrange(30, 42)] = some(1)[0]
+            rows.append((len(rows), " ".join(near)))
+    rng.shuffle(rows)
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    sets = {d: set(t.split()) for d, t in rows}
+    low = {d: d for d in sets}
+    linked = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])]
+    for _ in range(4):
+        for a, b in linked:
+            low[a] = low[b] = min(low[a], low[b])
+    assert {(r.doc, r.component_id) for r in jaccard.groups(table, 1, 90).collect()} == set(low.items())
+    members = spark.createDataFrame([(d, d, len(sets[d]), t) for d, t in rows], "s long, comp long, size long, text string")
+    assert jaccard.close_pairs(members, 1, 90).where("NOT many").count() < 10 * len(rows)
+
+
+def test_ties_that_are_their_keys_only_pair(spark):
+    """Only keys with more than two members leave a failed tie open."""
+    base = [" ".join(f"{c}{i}" for i in range(40)) for c in "ab"]
+    rows = [(0, base[0] + " x"), (1, base[0] + " y"), (2, base[1] + " x"), (3, base[1] + " y"), (4, base[1] + " z")]
+    table = frames.records(spark.createDataFrame(rows, "doc_id long, text string").repartition(5, "doc_id"))
+    names = {r.s: r.doc for r in jaccard.named_sets(table, 1).collect()}
+    more = {frozenset((names[r.a], names[r.hub])): r.more for r in jaccard.ties_of(table, 1, 90).collect()}
+    assert more[frozenset((0, 1))] is False
+    assert any(v for k, v in more.items() if k <= {2, 3, 4})
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.sets(st.integers(0, 2**64 - 1), max_size=60), st.sets(st.integers(0, 2**64 - 1), max_size=9), st.integers(0, 30))
+def test_parities_bound_the_difference(both, only, differ):
+    a, b = (np.array(sorted(x), np.uint64) for x in (both, both ^ only))
+    x, y = (int.from_bytes(jaccard.parities(v, differ), "big") for v in (a, b))
+    assert (x ^ y).bit_count() <= len(only)
+
+
 def test_keys_lose_no_pair():
     """Any two linked sets share a key."""
     rng = np.random.default_rng(5)
