@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from dialoscope.functions.ordered import global_rank
 
 AGEING_BUCKETS = ("0-30", "31-60", ">60", "other")  # fixed values
+DUE_COLUMNS = ("due_0_30", "due_31_60", "due_over_60", "due_other")
 CREDIT_DAYS = 30
 
 
@@ -141,7 +142,11 @@ def customer_profile(customer: DataFrame, orders: DataFrame, lineitem: DataFrame
     joined = (who.join(routes, "c_nationkey", "left")
               .join(per_customer, F.col("c_custkey") == F.col("o_custkey"), "left")
               .join(invoices, F.col("c_custkey") == F.col("i_custkey"), "left"))
-    paging = ["sNo", "total_count", "startRecord", "endRecord"] if limit is not None else []
+    return _profile(joined, ["sNo", "total_count", "startRecord", "endRecord"] if limit is not None else [])
+
+
+def _profile(joined: DataFrame, more: Sequence[Column | str]) -> DataFrame:
+    """The profile's columns, and ``more``."""
     nothing = {"credit_limit": "double", "latest_payment_amount": "double", "latest_payment_number": "string",
                "team_member": "string", "latest_checkin_date": "date"}
     return joined.select(
@@ -152,7 +157,7 @@ def customer_profile(customer: DataFrame, orders: DataFrame, lineitem: DataFrame
         F.concat_ws("-", "li.k", "li.n").alias("latest_invoice_number"),
         F.col("li.d").cast("date").alias("latest_invoice_date"),
         F.col("li.a").cast("double").alias("latest_invoice_amount"),
-        *[F.lit(None).cast(t).alias(c) for c, t in nothing.items()], *paging)
+        *[F.lit(None).cast(t).alias(c) for c, t in nothing.items()], *more)
 
 
 def product_view(part: DataFrame, lineitem: DataFrame, metrics: Sequence[str], start: str | None = None,
@@ -194,7 +199,7 @@ def payment_ageing(orders: DataFrame, customer: DataFrame | None, as_of: str, ba
     """Outstanding amount per customer and ageing bucket, optionally with a totals row (NULL customer)."""
     aged = _aged(orders, as_of, basis)
     grouped = aged.rollup("o_custkey") if include_summary else aged.groupBy("o_custkey")
-    named = dict(zip(AGEING_BUCKETS, ("due_0_30", "due_31_60", "due_over_60", "due_other")))
+    named = dict(zip(AGEING_BUCKETS, DUE_COLUMNS))
     sums = [_amount(F.sum(F.when(F.col("bucket") == b, F.col("amount")))).alias(c) for b, c in named.items()]
     flag = [F.grouping("o_custkey").alias("is_summary")] if include_summary else []
     out = grouped.agg(*flag, *sums, _amount(F.sum("amount")).alias("outstanding"))
@@ -251,16 +256,41 @@ def sales_rank(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     return global_rank(sales_by_customer(lineitem, orders), "total_sales", "sales_rank")
 
 
-def visit_brief(customer: DataFrame, orders: DataFrame, lineitem: DataFrame, nation: DataFrame, as_of: str,
-                custkey: int | None = None) -> DataFrame:
-    """Profile, ageing and sales rank of one or all customers."""
-    ranked = sales_rank(lineitem, orders)
-    one = customer if custkey is None else customer.where(F.col("c_custkey") == custkey)
-    owned = orders if custkey is None else orders.where(F.col("o_custkey") == custkey)
-    profile = customer_profile(one, owned, lineitem, nation, as_of, selected=custkey is not None)
-    ageing = payment_ageing(owned, None, as_of).withColumnRenamed("o_custkey", "c_custkey").drop("outstanding")
-    brief = profile.join(ageing, "c_custkey", "left").join(ranked, "c_custkey", "left")
-    return brief.withColumn("total_sales", _amount("total_sales"))
+def customer_facts(orders: DataFrame, lineitem: DataFrame, as_of: str) -> DataFrame:
+    """Everything that orders and invoice lines say of a customer, one row each, from one pass over both tables.
+
+    Latest order (lo) and invoice line (li), outstanding and overdue amount, amounts by
+    ageing bucket, invoiced value (total_sales, NULL without invoices).
+    """
+    newest_line = F.max(F.struct(F.col("l_shipdate").alias("d"), F.col("l_orderkey").alias("k"),
+                                 F.col("l_linenumber").alias("n"), line_value().alias("a")))
+    invoices = lineitem.groupBy("l_orderkey").agg(newest_line.alias("li"), F.sum(line_value()).alias("v"))
+    day, total = F.col("o_orderdate").cast("date"), money("o_totalprice")
+    due = F.date_add(day, CREDIT_DAYS)
+    rows = orders.select(
+        "o_orderkey", "o_custkey", F.struct(F.col("o_orderdate").alias("d"), F.col("o_orderkey").alias("k"), total.alias("a")).alias("lo"),
+        F.when(is_pending(), total).alias("open"), (due < F.lit(as_of).cast("date")).alias("late"),
+        ageing_bucket(F.datediff(F.lit(as_of).cast("date"), due)).alias("bucket"))
+    rows = rows.join(invoices, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return rows.groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+        F.max("lo").alias("lo"), F.max("li").alias("li"), F.sum("v").alias("total_sales"), F.sum("open").alias("outstanding"),
+        F.sum(F.when(F.col("late"), F.col("open"))).alias("overdue"), F.count("open").alias("pending"),
+        *[F.sum(F.when(F.col("bucket") == b, F.col("open"))).alias(c) for b, c in zip(AGEING_BUCKETS, DUE_COLUMNS)])
+
+
+def visit_brief(customer: DataFrame, facts: DataFrame, nation: DataFrame, custkey: int | None = None) -> DataFrame:
+    """Profile, ageing and sales rank of one or all customers, from ``customer_facts``.
+
+    The rank looks at all customers' facts several times: hand them over stored.
+    """
+    who = customer if custkey is None else customer.where(F.col("c_custkey") == custkey)
+    ranked = global_rank(facts.where("total_sales IS NOT NULL").select("c_custkey", "total_sales"), "total_sales", "sales_rank").drop("total_sales")
+    own = facts if custkey is None else facts.where(F.col("c_custkey") == custkey)
+    routes = nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("route"))
+    joined = who.select("c_custkey", "c_name", "c_mktsegment", "c_nationkey").join(routes, "c_nationkey", "left") \
+        .join(own, "c_custkey", "left").join(ranked, "c_custkey", "left")
+    owes = F.col("pending") > 0  # no ageing for customers without pending orders
+    return _profile(joined, [*[F.when(owes, _amount(c)).alias(c) for c in DUE_COLUMNS], _amount("total_sales").alias("total_sales"), F.col("sales_rank")])
 
 
 def priority_list(orders: DataFrame, lineitem: DataFrame, customer: DataFrame, as_of: str) -> DataFrame:

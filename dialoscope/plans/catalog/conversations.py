@@ -8,7 +8,7 @@ from dialoscope.functions.text import clip
 from dialoscope.operators import turns as tn
 from dialoscope.operators import verdicts as vd
 from dialoscope.plans.catalog import Catalog
-from dialoscope.plans.fixtures import fixture, oracle, table
+from dialoscope.plans.fixtures import fixture, oracle, stored, table
 from dialoscope.plans.inputs import half_up
 
 CATALOG = Catalog()
@@ -63,6 +63,14 @@ def verdicts(spark, sf):
     return spark.sql(VERDICTS)
 
 
+def one_pass(spark, sf):
+    """Fullest conversations, their turns and verdicts: the messages are read once, each step is stored for those after it."""
+    own = stored(full(spark, sf), "conversations")
+    cut = stored(tn.to_turns(own, block=4), "turns")
+    cut.createOrReplaceTempView("turns")
+    return own, cut, spark.sql(VERDICTS)
+
+
 @add("fullest_conversations", conv("SELECT session_id, run_id, pos FROM full_"))
 def fullest_conversations(spark, sf):
     return full(spark, sf).select("session_id", "run_id", "pos")
@@ -91,7 +99,8 @@ def turn_context(spark, sf):
  substr(t.response, 1, 800) AS response, coalesce(v.quality, '') AS quality, coalesce(v.score, -1.0) AS score,
  v.session_id IS NOT NULL AS judged FROM turns t LEFT JOIN verdicts v USING (session_id, turn_index)"""))
 def turn_results(spark, sf):
-    out = tn.turn_results(turns(spark, sf), verdicts(spark, sf))
+    _, cut, judged = one_pass(spark, sf)
+    out = tn.turn_results(cut, judged)
     return out.select("session_id", "turn_index", "total_turns", "query", "response",
                       F.coalesce("quality", F.lit("")).alias("quality"), F.coalesce("score", F.lit(-1.0)).alias("score"),
                       "judged")
@@ -104,9 +113,7 @@ def turn_results(spark, sf):
  count(*) FILTER (quality = 'success') AS success, count(*) FILTER (quality = 'marginal') AS marginal,
  count(*) FILTER (quality = 'no_data') AS no_data, count(*) FILTER (quality = 'fail') AS fail FROM verdicts"""))
 def multiturn_summary(spark, sf):
-    conversations = full(spark, sf)
-    t = turns(spark, sf)
-    return vd.multiturn_summary(conversations, t, verdicts(spark, sf))
+    return vd.multiturn_summary(*one_pass(spark, sf))
 
 
 # Judge replies for turns, some without a field, with a score out of range or of another kind.

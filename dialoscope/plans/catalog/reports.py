@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from dialoscope.operators import reports as rp
 from dialoscope.plans.catalog import Catalog
-from dialoscope.plans.fixtures import oracle, table
+from dialoscope.plans.fixtures import oracle, stored, table
 
 CATALOG = Catalog()
 add = CATALOG.add
@@ -157,7 +157,9 @@ def global_filter(spark, sf):
  LEFT JOIN (SELECT *, rank() OVER (ORDER BY total_sales DESC) AS r FROM s) s ON p.c_custkey = s.c_custkey""",
  p=_PROFILE, s=SALES.format("")))
 def visit_brief(spark, sf):
-    out = _plain(rp.visit_brief(*t(spark, sf, "customer", "orders", "lineitem", "nation"), AS_OF))
+    customer, nation = t(spark, sf, "customer", "nation")
+    facts = stored(rp.customer_facts(*t(spark, sf, "orders", "lineitem"), AS_OF), "customer-facts")
+    out = _plain(rp.visit_brief(customer, facts, nation))
     return out.na.fill({"due_0_30": 0.0, "due_over_60": 0.0, "sales_rank": -1}).select(
         "c_custkey", "segment", "route", "outstanding_amount", "overdue_amount", "latest_order_id",
         "latest_invoice_number", "due_0_30", "due_over_60", "total_sales", "sales_rank")

@@ -137,6 +137,13 @@ def scratch(spark: SparkSession, purpose: str) -> str:
     return shared_dir(spark, purpose)
 
 
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """What several parts of a query read, written once to the shared folder."""
+    folder = scratch(df.sparkSession, purpose)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -145,13 +152,16 @@ _KEYS = {"documents": "doc_id", "events": "event_id", "conversations": "conv_id"
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str, costly: bool = False) -> DataFrame:
-    """One derived input as a DataFrame; ``costly`` deals the rows out anew (a table here is one row group, hence one task)."""
+    """One derived input as a DataFrame; ``costly`` deals the rows over all cores (a table here is one row group, hence one task).
+
+    With a number of partitions, since without one AQE folds small shuffles to a single task.
+    """
     text = spark_text(name)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     for t in TABLES:
         if re.search(rf"\b{t}\b", text):
             rows = table(spark, sf_dir, t)
-            rows = rows.repartition(_KEYS[t]) if costly and t in _KEYS else rows
+            rows = rows.repartition(spark.sparkContext.defaultParallelism, _KEYS[t]) if costly and t in _KEYS else rows
             rows.createOrReplaceTempView(t)
     return spark.sql(text)
 

@@ -288,3 +288,15 @@ def test_reconcile_reports_missing_runs(spark):
                                 "avg_response_time_seconds double")
     got = {(r.version, r.problem) for r in compare.reconcile(recs, man).collect()}
     assert got == {(1, "query_index not 1..n"), (1, "query missing"), (2, "no records")}
+
+
+def test_a_customers_facts_come_from_one_pass(spark):
+    """Orders and invoice lines are read once for everything a visit brief says."""
+    from dialoscope.operators import reports
+    from dialoscope.plans.fixtures import table
+    sf = "/root/testdata/sf0.001"
+    facts = reports.customer_facts(table(spark, sf, "orders"), table(spark, sf, "lineitem"), "2000-06-30")
+    assert facts._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 2
+    keys = [r[0] for r in facts.where("total_sales IS NOT NULL").orderBy("total_sales").limit(1).select("c_custkey").collect()]
+    (one,) = reports.visit_brief(table(spark, sf, "customer"), facts, table(spark, sf, "nation"), custkey=keys[0]).collect()
+    assert one.sales_rank == facts.where("total_sales IS NOT NULL").count()
