@@ -17,7 +17,7 @@ case.  What a placeholder replaced is its slot.
 4. Per document and item the joined windows are judged by places: a place is a
    document position minus an item position, so that each window meets only its
    own token of one occurrence.  Slots are consistent if each of the item's values
-   always became the same value and different ones stayed different.  A place
+   always became the same value; different ones may have become the same.  A place
    that covers ``least`` of the item's tokens or more with consistent slots is a
    leak: ``exact`` if all slots are equal, else ``changed``.  Tokens in no template
    window can't be found changed: ``least`` of the others will do, if two windows'
@@ -28,7 +28,9 @@ case.  What a placeholder replaced is its slot.
    those near each other that agree, then all places if none contradict.  Of
    several occurrences the one reported is exact if any is, then the fullest.
 
-Null texts are empty; items without tokens take no part.  Rows with
+Null texts are empty; items with fewer than ``SHORTEST`` tokens take no part: one or
+two words are no evidence of anything, and common ones would mark most documents.
+Texts of any length are read whole, in slices; a row is one window.  Rows with
 a null doc_id have the number ``frames.NO_ID``; rows that share a doc_id are
 judged one by one by their text.  Repeated rows give one result row.  Further
 columns are not read.  Empty tables give an empty result.
@@ -49,6 +51,8 @@ from dialoscope.llm.hashing import U, Rolling, mix, runs
 
 #: Tokens of a window, covered share of an item, tokens of a run that is a leak by itself, bits of the bitmap (2**).
 WINDOW, LEAST, PASSAGE, BITMAP = 8, 0.6, 24, 23
+#: Tokens that an item must have.
+SHORTEST = 3
 #: Sets hashes of tokens as they stand apart from those of templates.
 AS_IS = U(0x5851F42D4C957F2D)
 UNITS = (
@@ -178,23 +182,23 @@ def bitmap_of(found: DataFrame) -> bytes:
     return words.tobytes()
 
 
-def one_to_one(pairs: set[tuple[int, int]]) -> bool:
-    return len({a for a, _ in pairs}) == len(pairs) == len({b for _, b in pairs})
+def consistent_slots(pairs: set[tuple[int, int]]) -> bool:
+    """Did each value of the item become one value only? Different ones may have become the same."""
+    return len({a for a, _ in pairs}) == len(pairs)
 
 
 def longest_run(windows: dict[tuple, set]) -> tuple[set, set]:
     """Of the windows of one place the longest run without a gap and with consistent slots, and its pairs."""
     order, best, begin, clashes = sorted(windows), (0, 0, 0), 0, 0
-    pairs, sides = Counter(), Counter()  # of the open run: pairs by windows, values of either side by pairs
+    pairs, values = Counter(), Counter()  # of the open run: pairs by windows, the item's values by pairs
 
     def count(window: tuple, by: int) -> None:
         nonlocal clashes
         for p in windows[window]:
             pairs[p] += by
             if pairs[p] == (by > 0):  # came or went
-                for side in enumerate(p):
-                    clashes += by if sides[side] >= 1 + (by < 0) else 0
-                    sides[side] += by
+                clashes += by if values[p[0]] >= 1 + (by < 0) else 0
+                values[p[0]] += by
 
     for k, (q, length, _) in enumerate(order):
         count(order[k], 1)
@@ -216,7 +220,7 @@ def judged(size: int, plain: int, met: list[dict], n: int, least: float, passage
     for m in met:
         places[m["position"] - m["at"]][m["at"], m["length"], m["raw"]] = set(zip(m["own"], m["own"] if m["raw"] else m["slots"]))
     found = {shift: (set(windows), set().union(*windows.values())) for shift, windows in places.items()}
-    consistent = [(shift + min(at)[0], at, pairs) for shift, (at, pairs) in found.items() if one_to_one(pairs)]
+    consistent = [(shift + min(at)[0], at, pairs) for shift, (at, pairs) in found.items() if consistent_slots(pairs)]
     consistent.sort(key=lambda place: place[0])
     results = []
 
@@ -246,13 +250,13 @@ def judged(size: int, plain: int, met: list[dict], n: int, least: float, passage
             for other, more_at, more in consistent[k + 1:]:
                 if other > begin + 2 * size:
                     break
-                if one_to_one(pairs | more):
+                if consistent_slots(pairs | more):
                     at |= more_at
                     pairs |= more
             hold(at, pairs)
     if len(found) > 1 and not results:
         at, pairs = (set().union(*(x[k] for x in found.values())) for k in (0, 1))
-        if one_to_one(pairs):
+        if consistent_slots(pairs):
             hold(at, pairs)
     if not results:
         return None
@@ -261,11 +265,11 @@ def judged(size: int, plain: int, met: list[dict], n: int, least: float, passage
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, least: float = LEAST, doc_id: str = "doc_id", text: str = "text",
-          item_id: str = "item_id", item_text: str = "text", passage: int = PASSAGE) -> DataFrame:
+          item_id: str = "item_id", item_text: str = "text", passage: int = PASSAGE, shortest: int = SHORTEST) -> DataFrame:
     """(doc, mark, item_id, kind, coverage, n_windows, n_changed) of every document and item that it holds."""
     spark = docs.sparkSession
     own = frames.records(benchmark, item_id, item_text).distinct()
-    items = frames.stored(window_rows(own.select("doc", F.xxhash64("text").alias("mark"), "text"), n))
+    items = frames.stored(window_rows(own.select("doc", F.xxhash64("text").alias("mark"), "text"), n).where(F.col("tokens") >= shortest))
     bits = spark.sparkContext.broadcast(bitmap_of(items))
     short = [r[0] for r in items.where(F.col("length") < n).select("length").distinct().collect()]  # fewer than n
     found = window_rows(frames.records(docs, doc_id, text).select("doc", F.xxhash64("text").alias("mark"), "text"), n, bits, short)

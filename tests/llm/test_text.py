@@ -306,11 +306,11 @@ def test_leaks_with_other_slots(spark, docs, nothing):
     table = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, w string, item_id string")
     items = spark.createDataFrame([(7, item, "z"), (8, None, "z"), (9, "too short", "z"), (None, "", "z")], "item_id long, text string, position string")
     got = {r.doc: r for r in decontaminate.leaks(table, items).collect()}
-    assert {d: r.kind for d, r in got.items() if d != 9} == {1: "exact", 2: "changed", frames.NO_ID: "exact"}
-    assert not set(got) & {3, 4, 5, 6, 7, 8} and got[2].n_changed >= 3
+    assert {d: r.kind for d, r in got.items() if d != 9} == {1: "exact", 2: "changed", 4: "changed", frames.NO_ID: "exact"}
+    assert not set(got) & {3, 5, 6, 7, 8} and got[2].n_changed >= 3
     left = decontaminate.drop_leaks(table, items)
-    assert left.columns == table.columns and {r.doc_id for r in left.collect()} >= {3, 4, 5, 6, 7, 8}
-    assert not {r.doc_id for r in left.collect()} & {1, 2, None}
+    assert left.columns == table.columns and {r.doc_id for r in left.collect()} >= {3, 5, 6, 7, 8}
+    assert not {r.doc_id for r in left.collect()} & {1, 2, 4, None}
     assert decontaminate.leaks(nothing, items).count() == 0 and decontaminate.leaks(docs, items.limit(0)).count() == 0
 
 
@@ -326,7 +326,87 @@ def test_leaks_are_judged_by_occurrence(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     items = spark.createDataFrame([(1, twice), (2, item), (2, item)], "item_id long, text string")
     got = {(r.doc, r.item_id): r.kind for r in decontaminate.leaks(docs, items).collect()}
-    assert got == {(1, 1): "exact", (2, 2): "exact", (3, 2): "exact", (4, 2): "exact", (5, 2): "changed"}
+    assert got == {(1, 1): "exact", (2, 2): "exact", (3, 2): "exact", (4, 2): "exact", (5, 2): "changed", (6, 2): "changed"}
+
+
+def plain_template(text):
+    """Tokens with their slot kinds, spelled out anew."""
+    out, last = [], 0
+    for m in re.finditer(r"[0-9A-Za-z\x80-\U0010ffff]+", text):
+        word, between = m[0], text[last:m.start()]
+        inside = bool(out) and not set(between) & set(".!?\n")
+        if word[0].isdigit() and word[0].isascii():
+            kind = "number"
+        elif out and out[-1][0] == "number" and word.lower() in decontaminate.UNITS:
+            kind = "unit"
+        elif inside and len(word) > 1 and word[0].isupper() and not any(c.isupper() for c in word[1:]):
+            kind = "name"
+        else:
+            kind = word.lower()
+        out.append((kind, word.lower()))
+        last = m.end()
+    return out
+
+
+def plain_verdict(text, item):
+    """exact or changed if some place of the text covers six tenths of the item with template windows and consistent slots."""
+    a, b, best = plain_template(text), plain_template(item), None
+    kinds = ("number", "unit", "name")
+    good = [j for j in range(len(b) - 7) if sum(k not in kinds for k, _ in b[j:j + 8]) >= 4]
+    for shift in range(-len(b), len(a)):
+        covered, pairs = set(), set()
+        for j in good:
+            if 0 <= j + shift <= len(a) - 8 and [k for k, _ in a[j + shift:j + shift + 8]] == [k for k, _ in b[j:j + 8]]:
+                covered |= set(range(j, j + 8))
+                pairs |= {(b[t][1], a[t + shift][1]) for t in range(j, j + 8) if b[t][0] in kinds}
+        if len(covered) >= 0.6 * len(b) and len({x for x, _ in pairs}) == len(pairs):
+            kind = "exact" if all(x == y for x, y in pairs) else "changed"
+            best = kind if best in (None, "changed") else best
+    return best
+
+
+def test_leaks_against_a_plain_matcher(spark):
+    """Items of words, numbers, units and names, planted with slots changed in all ways, against a template matcher of its own."""
+    import random
+    rng = random.Random(21)
+    words = [w for w in "the a train meets on way and then goes back with some people who live near river while it rains very often here".split()]
+    def item():
+        return " ".join(rng.choice(words) if rng.random() < 0.75 else rng.choice([str(rng.randint(1, 99)), f"{rng.randint(1, 99)} km", "Arden", "Bella", "Carol"])
+                        for _ in range(rng.randint(12, 20)))
+    def change(text):
+        table = {}
+        def sub(m):
+            w = m[0]
+            if w not in table or rng.random() < 0.1:  # now and then one value becomes two
+                table[w] = str(rng.randint(1, 60)) if w.isdigit() else rng.choice(["Dora", "Emil", "Frida"])
+            return table[w]
+        return re.sub(r"\d+|Arden|Bella|Carol", sub, text)
+    items = [item() for _ in range(30)]
+    docs = []
+    for d in range(90):
+        own = items[d % 30]
+        own = own if d % 3 == 0 else change(own)
+        docs.append(f"so {item()}. {own}. And {item()}" if d % 2 else own)
+    table = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {(r.doc, r.item_id): r.kind for r in decontaminate.leaks(table, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    for d, text in enumerate(docs):
+        for i, own in enumerate(items):
+            want = plain_verdict(text, own)
+            if want:  # a place by itself is enough; several places together may be, too
+                assert got.get((d, i)) in ((want,) if want == "exact" else ("exact", "changed")), (d, i, want, got.get((d, i)))
+    assert sum(k == "changed" for k in got.values()) > 20
+    unlike = {(d, i) for d, i in got if d % 30 != i}
+    assert len(unlike) < 5
+
+
+def test_leaks_in_repetitive_and_long_texts(spark):
+    """Runs of one word, a 20,000-word text of few words, and items of one or two words."""
+    item = "Anna sells 12 pens each day and 7 more on Sunday so how many pens does she sell in 3 weeks"
+    rows = [(1, "word " * 20_000), (2, "a b " * 5000 + item.replace("12", "15") + " a b" * 5000), (3, "w " * 300 + item), (4, "the end"), (5, "the the the")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, item), (2, "the"), (3, "the end"), (4, "word " * 12)], "item_id long, text string")
+    got = {(r.doc, r.item_id): r.kind for r in decontaminate.leaks(docs, items).collect()}
+    assert got == {(2, 1): "changed", (3, 1): "exact", (1, 4): "exact"}
 
 
 def test_leaks_of_numbers_names_short_items_and_passages(spark):
