@@ -16,9 +16,12 @@ permuted common prefixes follow: positions whose left neighbours differ are
 measured, all others are one less than the position before.  A window whose
 common prefix with its neighbour in the array reaches ``size`` starts elsewhere.
 
-An anchor with more delegates than a shard holds is cut into several shards; the
-windows of those shards are compared by 128-bit hashes, too, which finds what the
-cut has parted.
+An anchor with more delegates than a shard holds is a crowded group.  Its windows
+are parted by the number of bytes in front of the anchor, the lower and the upper
+half of that range, and each half again by the bytes that all its windows share with
+the gram.  Equal windows stay together; equal stretches of a narrower group are
+settled as repeats, one of them stands for all.  The narrower groups go through the
+same shards in another round; after at most eight rounds a group's windows are equal.
 
 Texts are UTF-8 bytes; a null text is empty.  Rows with a null doc_id count as one
 document; rows that share doc_id and text are one document.  What goes is judged
@@ -37,13 +40,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dialoscope.llm import anchors, frames
-from dialoscope.llm.anchors import covered, gathered, packed, unpacked
-from dialoscope.llm.hashing import BASE, Rolling, runs
+from dialoscope.llm.anchors import covered, gathered, unpacked
+from dialoscope.llm.hashing import Rolling, runs
 
 SIZE, GRAM = 200, 100
 #: Bytes of a shard's text.
 SHARD = 1 << 20
-OTHER_BASE = 0xC2B2AE3D27D4EB4F
 
 
 def s_types(t: np.ndarray) -> np.ndarray:
@@ -225,8 +227,20 @@ def byte_units(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return data, at
 
 
+def content(body: bytes) -> int:
+    """A 64-bit number of some bytes."""
+    return int.from_bytes(hashlib.blake2b(body, digest_size=8).digest(), "little", signed=True)
+
+
+#: A delegate: anchor, hash of the stretch, document, text, place, the stretch; where the gram lies in it (-1: not yet
+#: looked for) and how many bytes in front of the gram the windows of its group may have.
+DELEGATE = "a long, g long, doc long, mark long, at long, stretch binary, q int, low int, high int"
+_NAMES = [f.split(" ")[0] for f in DELEGATE.split(", ")]
+_KINDS = [*[pa.int64()] * 5, pa.binary(), *[pa.int32()] * 3]
+
+
 def stretches(texts: DataFrame, size: int) -> DataFrame:
-    """(a, doc, mark, at, stretch) of delegates; ``texts``: (mark, text, doc, open), open being structs of a and at."""
+    """Delegates with their stretches; ``texts``: (mark, text, doc, open), open being structs of a and at."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             marks, ids = batch.column(0).to_numpy(), batch.column(2).to_numpy()
@@ -241,81 +255,118 @@ def stretches(texts: DataFrame, size: int) -> DataFrame:
                 mark_out.append(np.full(len(a), marks[r]))
                 bodies += [data[at[r] + f:at[r] + f + m + size].tobytes() for f, m in zip(first.tolist(), more.tolist())]
             if bodies:
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c)) for c in (a_out, doc_out, mark_out, at_out)), pa.array(bodies, pa.binary())],
-                                                 names=["a", "doc", "mark", "at", "stretch"])
+                none = np.full(len(bodies), -1, np.int32)
+                columns = [np.concatenate(a_out), [content(b) for b in bodies], *(np.concatenate(c) for c in (doc_out, mark_out, at_out)), bodies, none, none, none]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS)], names=_NAMES)
 
-    return texts.select("mark", "text", "doc", "open").mapInArrow(run, "a long, doc long, mark long, at long, stretch binary")
+    return texts.select("mark", "text", "doc", "open").mapInArrow(run, DELEGATE)
 
 
-def shard_repeats(delegates: DataFrame, size: int, shard: int = SHARD) -> DataFrame:
-    """(kind, w1, w2, doc, mark, at): kind 0 what goes, kind 1 windows of anchors that were cut into several shards."""
-    names = ["kind", "w1", "w2", "doc", "mark", "at"]
+def halves(row: tuple, size: int, gram: int) -> Iterator[tuple]:
+    """A delegate of a crowded group as one or two delegates of narrower ones.
 
-    def rows_of(kind: int, w1, w2, doc, mark, at):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), kind, np.int32)), *(pa.array(np.asarray(c, np.int64)) for c in (w1, w2, doc, mark, at))], names=names)
-
-    def solve(rows: list[tuple], cut: bool) -> Iterator[pa.RecordBatch]:
-        texts = [np.frombuffer(s, np.uint8) for *_, s in rows]
-        doc, mark, at = (np.array([r[k] for r in rows]) for k in (1, 2, 3))
+    The windows of a group have low .. high bytes in front of the gram, so equal ones share the gram, low bytes in
+    front of it and size - gram - high bytes behind it: these bytes name the group.
+    """
+    a, _, doc, mark, at, stretch, q, low, high = row
+    first, more = at >> 8, at & 255
+    if q < 0:
+        # the last gram with the anchor's hash among the bytes that all windows share
+        h = Rolling(np.frombuffer(stretch, np.uint8)).windows(gram).view(np.int64)
+        q, low, high = more + int(np.flatnonzero(h[more:size - gram + 1] == a)[-1]), 0, size - gram
+    middle = (low + high + 1) // 2
+    for least, most in ((low, middle - 1), (middle, high)):
+        fewest, fullest = max(least, q - more), min(most, q)  # the windows that this delegate has
+        if fewest <= fullest:
+            start, end = q - fullest, q - fewest
+            body = stretch[start:end + size]
+            name = content(b"%d %d " % (least, most) + stretch[q - least:q + size - most])
+            yield name, content(body), doc, mark, ((first + start) << 8) | (end - start), body, q - start, least, most
+
+
+def shard_repeats(delegates: DataFrame, size: int, gram: int, shard: int = SHARD) -> DataFrame:
+    """(kind, delegate): kind 0 are places that go, kind 1 delegates of narrower groups of anchors too large for a shard."""
+
+    def rows_of(kind: int, rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows)) or [()] * 9
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), kind, np.int32)), *(pa.array(c, k) for c, k in zip(columns, _KINDS))], names=["kind", *_NAMES])
+
+    def gone(doc, mark, at) -> pa.RecordBatch:
+        n = len(doc)
+        columns = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), *(pa.array(np.asarray(c, np.int64)) for c in (doc, mark, at)),
+                   pa.nulls(n, pa.binary()), *[pa.nulls(n, pa.int32())] * 3]
+        return pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), *columns], names=["kind", *_NAMES])
+
+    def solve(rows: list[tuple]) -> pa.RecordBatch:
+        """Places of the windows that repeat among the rows' stretches, by their suffix array."""
+        texts = [np.frombuffer(r[5], np.uint8) for r in rows]
+        doc, mark, at = (np.array([r[k] for r in rows], np.int64) for k in (2, 3, 4))
         _, first, _ = unpacked(at)
         lengths = np.array([len(x) for x in texts])
         hit = repeated_starts(texts, size) if len(rows) > 1 else np.zeros(int(lengths.sum()), bool)
         bounds = np.concatenate([[0], np.cumsum(lengths)])
         start, end = runs(hit, bounds)
         owner = np.searchsorted(bounds, start, side="right") - 1
-        none = np.zeros(len(start), np.int64)
-        yield rows_of(0, none, none, doc[owner], mark[owner], ((first[owner] + start - bounds[owner]) << 8) | (end - start - 1))
-        if cut:
-            data = np.concatenate(texts)
-            own = np.concatenate([np.arange(b, e - size + 1) for b, e in zip(bounds[:-1], bounds[1:])])
-            w1, w2 = (Rolling(data, b).ranges(own, own + size).view(np.int64) for b in (BASE, OTHER_BASE))
-            owner = np.searchsorted(bounds, own, side="right") - 1
-            yield rows_of(1, w1, w2, doc[owner], mark[owner], packed(first[owner] + own - bounds[owner], 0))
+        return gone(doc[owner], mark[owner], ((first[owner] + start - bounds[owner]) << 8) | (end - start - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []  # whole anchors, waiting for company
-        group: list[tuple] = []  # the open anchor
+        rows: list[tuple] = []  # whole groups, waiting for company
+        group: list[tuple] = []  # the open group
         held = grown = 0
-        cut, last = False, None
+        crowded, last, told = False, None, False
         for batch in batches:
+            repeated, narrower = [], []
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[:4] == last:  # a repeated row of the table
+                if last and row[:5] == last[:5]:  # a repeated row of the table
                     continue
-                last = row[:4]
-                if group and group[0][0] != row[0]:
-                    if cut:
-                        yield from solve(group, True)
-                    else:
+                if last and row[:2] == last[:2]:  # the same stretch elsewhere
+                    repeated += [row[2:5]] if told else [last[2:5], row[2:5]]
+                    last, told = row, True
+                    continue
+                if last and row[0] != last[0]:
+                    if not crowded and len(group) > 1:
                         rows += group
                         held += grown
                         if held >= shard:
-                            yield from solve(rows, False)
+                            yield solve(rows)
                             rows, held = [], 0
-                    group, grown, cut = [], 0, False
-                elif grown >= shard:
-                    cut = True
-                    yield from solve(group, True)
-                    group, grown = [], 0
+                    group, grown, crowded = [], 0, False
+                last, told = row, False
+                if crowded:
+                    narrower += halves(row, size, gram)
+                    continue
                 group.append(row)
-                grown += len(row[4])
-        if cut:
-            yield from solve(group, True)
-        else:
+                grown += len(row[5])
+                if grown >= shard:
+                    crowded = True
+                    narrower += [h for r in group for h in halves(r, size, gram)]
+                    group = []
+            if repeated:
+                yield gone(*zip(*repeated))
+            if narrower:
+                yield rows_of(1, narrower)
+        if not crowded and len(group) > 1:
             rows += group
         if rows:
-            yield from solve(rows, False)
+            yield solve(rows)
 
-    return delegates.repartition("a").sortWithinPartitions("a", "doc", "mark", "at").mapInArrow(run, "kind int, w1 long, w2 long, doc long, mark long, at long")
+    tasks = int(delegates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return delegates.repartition(tasks, "a").sortWithinPartitions("a", "g", "doc", "mark", "at").mapInArrow(run, f"kind int, {DELEGATE}")
 
 
-def repeats(own: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
+def repeats(own: DataFrame, size: int = SIZE, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
     """(doc, mark, at) of every run of window starts that goes; ``own``: (doc, text)."""
     found = frames.stored(anchors.seeds(own, byte_units, gram, size, keep_first=False))
     texts = own.select("doc", F.xxhash64("text").alias("mark"), "text")
     wanted = found.where("a IS NOT NULL").groupBy("doc", "mark").agg(F.collect_list(F.struct("a", "at")).alias("open"))
-    judged = frames.stored(shard_repeats(stretches(texts.join(wanted, ["doc", "mark"]), size), size))
-    parted = judged.where("kind = 1").selectExpr("doc", "mark", "at", "count(*) OVER (PARTITION BY w1, w2) AS n").where("n > 1").select("doc", "mark", "at")
-    return found.where("a IS NULL").select("doc", "mark", "at").unionByName(judged.where("kind = 0").select("doc", "mark", "at")).unionByName(parted)
+    out = found.where("a IS NULL").select("doc", "mark", "at")
+    delegates = stretches(texts.join(wanted, ["doc", "mark"]), size)
+    while True:  # a group's range of bytes in front of the gram halves each time, down to equal windows
+        judged = frames.stored(shard_repeats(delegates, size, gram, shard))
+        out = out.unionByName(judged.where("kind = 0").select("doc", "mark", "at"))
+        delegates = judged.where("kind = 1").drop("kind")
+        if delegates.isEmpty():
+            return out
 
 
 def dedup(docs: DataFrame, size: int = SIZE, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text",
