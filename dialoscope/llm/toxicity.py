@@ -7,14 +7,17 @@ per coordinate the sum of adjusted gradients and of squared gradients, hence a
 learning rate of its own, and an L1 term that leaves all but few weights at zero.
 
 Training reads a bounded sample of labelled rows (``SAMPLE``, a parameter), the
-rows with the smallest hash of their number; it runs in one task.  Its result is
+rows with the smallest hash of their number; it runs in one task.  Texts become
+features where they lie, at most ``2**BITS`` numbers each; every pair of number and text counts once;
+``FEATURES``, a parameter, bounds what the training task takes in.  Its result is
 one row: the non-zero weights, at most ``2**BITS`` of them, which are broadcast.
 Scoring is a narrow projection over all documents.
 
 A null or empty text has no features: its score is that of the bias.  Rows whose
 label is null are not learned from; of several labels of one document the
 largest counts.  Without any label all scores are 0.5.  Repeated rows get equal
-scores; further columns pass through; an empty table gives an empty result.
+scores; further columns pass through, but one named like the score's is replaced;
+texts of any length are scored as a whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ from dialoscope.llm.hashing import U, Rolling, lower_table, mix, runs
 
 #: Labelled rows to learn from, at most.
 SAMPLE = 16_384
+#: Features of all rows learned from, at most: 4 bytes each in the training task. Rows beyond are not learned from.
+FEATURES = 64_000_000
 BITS = 20
 #: Bytes of a word's beginning.
 STEM = 4
@@ -97,19 +102,37 @@ def row_features(column: pa.Array, bits: int) -> Iterator[np.ndarray]:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int = BITS, epochs: int = EPOCHS,
-          doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[np.ndarray, np.ndarray, float]:
+          doc_id: str = "doc_id", text: str = "text", label: str = "toxic", features_most: int = FEATURES) -> tuple[np.ndarray, np.ndarray, float]:
     """Indices and values of the non-zero weights, and the bias."""
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).cast("long").alias("doc")) \
         .agg(F.max(F.col(label).cast("int")).alias("label"))
     chosen = known.orderBy(F.xxhash64("doc"), "doc").limit(sample)  # numbers and labels only
     # the sample is bounded by its parameter, so it is broadcast and the texts stay where they are
-    rows = frames.records(docs, doc_id, text).join(F.broadcast(chosen), "doc")
+    rows = frames.records(docs, doc_id, text).join(F.broadcast(chosen), "doc").withColumn("mark", F.xxhash64("text"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = list(row_features(batch.column(3), bits))
+            sizes = np.array([len(f) for f in found])
+            flat = np.concatenate(found) if found else np.zeros(0, np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], frames.lists(flat, sizes, pa.int32())], names=["doc", "mark", "label", "at"])
+
+    # one row for each number and text, however often it occurs; of the numbers' texts again as many as the sample has rows
+    read_rows = rows.select("doc", "mark", "label", "text").mapInArrow(read, "doc long, mark long, label int, at array<int>")
+    one_each = read_rows.groupBy("doc", "mark").agg(F.first("label").alias("label"), F.first("at").alias("at"))
+    own = frames.stored(one_each)
+    first = own.select("doc", "mark").orderBy(F.xxhash64("doc"), "doc", "mark").limit(sample)
+    own = own.join(F.broadcast(first), ["doc", "mark"], "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, seen, marks = Ftrl(bits), [], []
+        model, seen, marks, held = Ftrl(bits), [], [], 0
         for batch in batches:
-            seen += row_features(batch.column(1), bits)
-            marks += batch.column(0).to_pylist()
+            for mark, at in zip(batch.column(0).to_pylist(), batch.column(1)):
+                held += len(at.values)
+                if held > features_most:
+                    break
+                seen.append(at.values.to_numpy())
+                marks.append(mark)
         for epoch in range(epochs if seen else 0):
             for i in np.random.default_rng(epoch).permutation(len(seen)):
                 model.learn(seen[i], marks[i])
@@ -117,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int =
         at = np.flatnonzero(w[:-1]).astype(np.int32)
         yield pa.RecordBatch.from_pydict({"at": [at.tobytes()], "w": [w[at].tobytes()], "bias": [float(w[-1])]})
 
-    one = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc"), "doc", "text").select("label", "text")
+    one = own.repartition(1).sortWithinPartitions(F.xxhash64("doc"), "doc", "mark").select("label", "at")
     found = one.mapInArrow(run, "at binary, w binary, bias double").collect()
     if not found:
         return np.zeros(0, np.int32), np.zeros(0), 0.0
@@ -148,5 +171,5 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], bits: in
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:
-    """Rows that are kept from training: crc32 of the number's text divisible by 5."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
+    """Rows that are kept from training: crc32 of the number's text divisible by 5; rows without a number are not."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))

@@ -160,6 +160,41 @@ def test_features_are_those_of_each_text():
     assert not alone[1] and alone[0] == alone[4]
 
 
+def test_ftrl_is_that_of_the_paper():
+    """Weights after some hundred rows against the published update, coordinate by coordinate in plain numbers."""
+    rng = np.random.default_rng(2)
+    rows = [(np.unique(rng.integers(0, 40, 6)), int(rng.random() < 0.4)) for _ in range(300)]
+    model = toxicity.Ftrl(bits=6, l1=0.3)
+    z, n = dict.fromkeys([*range(40), 64], 0.0), dict.fromkeys([*range(40), 64], 0.0)
+
+    def weight(i):
+        l1 = 0.0 if i == 64 else 0.3
+        if abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - (1 if z[i] > 0 else -1) * l1) / ((toxicity.BETA + n[i] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    for at, label in rows:
+        model.learn(at, label)
+        w = {i: weight(i) for i in [*at.tolist(), 64]}
+        g = 1 / (1 + np.exp(-sum(w.values()))) - label
+        for i in w:
+            z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / toxicity.ALPHA * w[i]
+            n[i] += g * g
+    assert np.allclose(model.weights(np.array(list(z))), [weight(i) for i in z])
+
+
+def test_training_is_bounded(spark):
+    """A number repeated very often, very long texts and many texts of one number: once each, and no more features than asked for."""
+    rows = [(1, "you idiot")] * 500 + [(2, "a fine day")] * 500 + [(3, " ".join(f"w{i}" for i in range(50_000)))] + [(4, f"text {i} of the same number") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (4, 0)], "doc_id long, toxic int")
+    once = toxicity.train(docs.dropDuplicates(), labels)
+    often = toxicity.train(docs, labels)
+    assert once[0].tolist() == often[0].tolist() and once[1].tolist() == often[1].tolist() and once[2] == often[2]
+    small = toxicity.train(docs, labels, features_most=1000)
+    assert small[2] != once[2]  # some rows were left out, the task was not given more
+
+
 # --- secrets --------------------------------------------------------------
 
 SECRET = st.text(st.sampled_from(list("passwordtoken=: \"'_apikeyAKIAZ09abcdef\né")), max_size=80)
