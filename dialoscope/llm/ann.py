@@ -172,17 +172,28 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, factor: float = 1.0,
         .groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, tree binary")
     blocks = queries.join(asked, "dim").withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int")) \
         .groupBy("dim", "block").applyInArrow(pack, "dim int, block int, queries binary")
-    # every block of the stated queries meets every shard: one row and one task's work each
-    meetings = blocks.join(sizes.select("dim", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard")), "dim") \
-        .join(trees, ["dim", "shard"]).repartition("dim", "shard", "block")
+    # every block of the stated queries meets every shard: a tree stays in its task, the blocks stream by.  Where there are fewer
+    # shards than tasks, a tree is read by several of them, each for its part of the blocks
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    readers = sizes.select("dim", "shards", F.ceil(F.lit(tasks) / F.col("shards")).cast("int").alias("readers"))
+    homes = readers.select("dim", "readers", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
+    none = F.lit(None).cast("binary")
+    sent = trees.join(readers, "dim").select("dim", "shard", F.explode(F.sequence(F.lit(0), F.col("readers") - 1)).alias("reader"),
+                                             F.lit(-1).alias("block"), "tree", none.alias("queries"))
+    sent = sent.unionByName(blocks.join(homes, "dim").select("dim", "shard", F.pmod("block", "readers").alias("reader"), "block", none.alias("tree"), "queries"))
+    dealt = sent.repartition(tasks, "dim", "shard", "reader").sortWithinPartitions("dim", "shard", "reader", "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = None
         for batch in batches:
-            for packed, tree in zip(batch.column(0), batch.column(1)):
+            for packed, own in zip(batch.column(0), batch.column(1)):
+                if own.is_valid:  # in front of its blocks
+                    tree = Tree.unpacked(own.as_py())
+                    continue
                 ids, rows = pickle.loads(packed.as_py())
-                row, found, score = Tree.unpacked(tree.as_py()).search(ids, rows, k, factor)
+                row, found, score = tree.search(ids, rows, k, factor)
                 yield pa.RecordBatch.from_pydict({"query_id": ids[row], "vec_id": found, "score": score})
 
-    found = meetings.select("queries", "tree").mapInArrow(run, "query_id long, vec_id long, score double")
+    found = dealt.select("queries", "tree").mapInArrow(run, "query_id long, vec_id long, score double")
     ranked = found.selectExpr("*", "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank").where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
