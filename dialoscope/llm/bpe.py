@@ -6,7 +6,9 @@ holds rank and position of adjacent pairs.  The smallest entry is merged if the
 pair at that position still has that rank; otherwise it is stale and skipped.  No shuffle: encoding is a narrow projection.
 
 Null texts are empty texts; an empty text has no ids.  Repeated rows give
-repeated results; further columns pass through; an empty table gives an empty
+repeated results; further columns pass through, but those named like the output
+(``ids``, ``decoded``) are replaced; a text of any length is encoded as a whole, in
+memory of its own size; an empty table gives an empty
 one.  Bytes that are no UTF-8 after decoding become U+FFFD.
 """
 

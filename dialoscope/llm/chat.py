@@ -22,7 +22,8 @@ unescaping gives the turn back.
 
 A null role or text is empty.  Rows with a null conv_id form one conversation.
 Rows are ordered by turn (nulls first), then role and text; repeated rows are
-repeated turns.  Other columns are not read.  An empty table gives an empty one.
+repeated turns.  Texts of any length are formatted whole; a conversation is one row while it is
+formatted, so it must fit into a task.  Other columns are not read.  An empty table gives an empty one.
 """
 
 from __future__ import annotations

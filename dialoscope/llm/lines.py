@@ -16,7 +16,8 @@ two documents or more keep their lines in the smallest document only.
 
 A null text is one empty line.  Rows with a null doc_id count as one document
 behind all others; rows that share a doc_id count as one document.  Repeated
-rows get equal bitmaps.  Further columns pass through.  An empty table gives an
+rows get equal bitmaps.  Texts of any length are read whole: one row a line, one bitmap
+a document.  Further columns pass through; those named like the outputs are replaced.  An empty table gives an
 empty result.
 """
 
