@@ -277,6 +277,25 @@ def test_parities_bound_the_difference(both, only, differ):
     assert (x ^ y).bit_count() <= len(only)
 
 
+@pytest.mark.parametrize("most", [200_000, 5])
+def test_components(spark, monkeypatch, most):
+    """Chains, stars and rings against a plain search, finished by one task or by rounds."""
+    monkeypatch.setattr(jaccard, "LINKS", most)
+    rng = random.Random(most)
+    pairs = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 120)] + [(200 + i, 200 + (i + 1) % 9) for i in range(9)] + [(7, 7)]
+    pairs += [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)]
+    rng.shuffle(pairs)
+    low = {x: x for p in pairs for x in p if p[0] != p[1]}
+    for _ in range(120):
+        for a, b in pairs:
+            if a != b:
+                low[a] = low[b] = min(low[a], low[b])
+    df = spark.createDataFrame(pairs, "a long, b long").repartition(4)
+    got = jaccard.components(spark, df).collect()
+    assert {r.node: r.root for r in got} == low and len(got) == len(low)
+    assert jaccard.components(spark, df.limit(0)).count() == 0
+
+
 def test_keys_lose_no_pair():
     """Any two linked sets share a key."""
     rng = np.random.default_rng(5)
