@@ -58,46 +58,29 @@ BOT_FALLBACK_PHRASES: list[str] = ["sorry", "couldn't", "something went wrong",
 
 # --- End of fixed values. ---
 
-# Words of which any match of a no-data pattern must hold one.  A plain substring
+# For each no-data pattern, in order: words of which any match must hold one.  A plain substring
 # test on them spares most texts the regular expression; the result is the same.
-_CLUES: dict[str, tuple[str, ...]] = {
-    r"no\s+(products|items|data|sales|rows|results|customers|feedback|inventory|records|transactions|matching)\s+(were\s+found|found|returned|available|recorded|matched|populated|were\s+available)":
-        ("found", "returned", "available", "recorded", "matched", "populated"),
-    r"no\s+matching\s+(threads|records|conversations|products|results|sales|items|rows)":
-        ("matching",),
-    r"(data\s+isn't|isn't\s+available|not\s+available)\s+right\s+now":
-        ("right",),
-    r"couldn't\s+(complete\s+that\s+request|find\s+any|calculate|rank|identify\s+declining|build\s+a\s+top|group\s+inventory)":
-        ("couldn't",),
-    r"there\s+isn'?t\s+(any|a\s+co-purchase|product-level|sales\s+rows)":
-        ("there",),
-    r"(0\s+products|zero\s+products|₹0\.00)\s+for":
-        ("products", "₹0.00"),
-    r"\*\*0\*\*\s+records":
-        ("**0**",),
-    r"category\s+name\s+wasn'?t\s+populated":
-        ("populated",),
-    r"i\s+can'?t\s+(reliably\s+find|verify\s+purchase\s+frequency|identify\s+declining)":
-        ("reliably", "purchase", "declining"),
-    r"no\s+low-stock\s+items\s+were\s+found":
-        ("low-stock",),
-    r"no\s+slow-moving\s+items\s+were\s+found":
-        ("slow-moving",),
-    r"there\s+aren'?t\s+any\s+(products|matching|sales)":
-        ("aren't", "arent"),
-    r"couldn't\s+find\s+any\s+sales\s+rows":
-        ("couldn't",),
-    r"i\s+couldn't\s+find\s+any\s+paracetamol":
-        ("paracetamol",),
-    r"no\s+product\s+sales\s+were\s+found":
-        ("product",),
-    r"that\s+breakdown\s+isn'?t\s+available":
-        ("breakdown",),
-    r"i\s+couldn't\s+complete\s+that\s+request\s+right\s+now":
-        ("couldn't",),
-    r"please\s+try\s+again\s+(in\s+a\s+moment|shortly)":
-        ("please",),
-}
+_NO_DATA_CLUES: list[tuple[str, ...]] = [
+    ("found", "returned", "available", "recorded", "matched", "populated"),
+    ("matching",),
+    ("right",),
+    ("couldn't",),
+    ("there",),
+    ("products", "₹0.00"),
+    ("**0**",),
+    ("populated",),
+    ("reliably", "purchase", "declining"),
+    ("low-stock",),
+    ("slow-moving",),
+    ("aren't", "arent"),
+    ("couldn't",),
+    ("paracetamol",),
+    ("product",),
+    ("breakdown",),
+    ("couldn't",),
+    ("please",),
+]
+_CLUES: dict[str, tuple[str, ...]] = dict(zip(NO_DATA_PATTERNS, _NO_DATA_CLUES, strict=True))
 _CLUES[LISTING_WORDS] = ("sorted by", "ranked", "showing ", "found ")
 
 QUALITIES = ("success", "marginal", "no_data", "fail")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dialoscope.functions import quality as ql
-from dialoscope.operators import browse, compare, rollups, suite, tools
+from dialoscope.operators import browse, compare, phrases, rollups, suite, tools
 from dialoscope.plans.catalog import Catalog
-from dialoscope.plans.fixtures import fixture, oracle
+from dialoscope.plans.fixtures import fixture, oracle, table
 from dialoscope.plans.inputs import (
     BLANK,
     ENRICHED_CTE,
@@ -82,6 +82,36 @@ def custom_patterns(spark, sf):
             .agg(F.count_if(F.array_contains("labels", "jargon")).alias("jargon")))
 
 
+_PAIRS = """SELECT item_id, w[i] || ' ' || w[i + 1] AS phrase FROM (SELECT item_id, w, unnest(range(1, len(w))) AS i
+ FROM (SELECT item_id, string_split(lower(text), ' ') AS w FROM benchmark))"""
+
+
+def _phrase_sets(match: str) -> str:
+    return oracle([], f"""SELECT doc_id, coalesce(n, 0) AS n_labels, coalesce(ids, '') AS labels FROM documents LEFT JOIN
+ (SELECT doc_id, count(*) AS n, string_agg(label, ',' ORDER BY label) AS ids FROM
+ (SELECT DISTINCT d.doc_id, CAST(p.item_id AS VARCHAR) AS label FROM documents d JOIN pairs p ON {match}) GROUP BY 1) USING (doc_id)""",
+                  pairs=_PAIRS)
+
+
+def _labelled(spark, sf, **more):
+    words = table(spark, sf, "benchmark").select(F.col("item_id").alias("label"), F.split(F.lower("text"), " ").alias("w"))
+    pairs = words.select("label", F.explode(F.expr("transform(slice(w, 1, size(w) - 1), (x, i) -> x || ' ' || w[i + 1])")).alias("phrase"))
+    found = phrases.label_phrases(table(spark, sf, "documents"), pairs, ["doc_id"], "text", **more)
+    return found.select("doc_id", F.size("labels").cast("bigint").alias("n_labels"), F.array_join("labels", ",").alias("labels"))
+
+
+@add("phrase_sets", _phrase_sets("contains(lower(d.text), p.phrase)"))
+def phrase_sets(spark, sf):
+    """All word pairs of the benchmark as a phrase table, one label an item, sought in every document."""
+    return _labelled(spark, sf)
+
+
+@add("phrase_sets_sliced", _phrase_sets("contains(lower(d.text), p.phrase)"))
+def phrase_sets_sliced(spark, sf):
+    """The same with a table that is too large for one automaton."""
+    return _labelled(spark, sf, slice_chars=1 << 14)
+
+
 @add("step_backfill", rec("SELECT run_version, query_index, CASE WHEN step_count = 0 AND len(tools) > 0 "
                           "THEN len(tools) ELSE step_count END AS step_count FROM records"))
 def step_backfill(spark, sf):
