@@ -154,7 +154,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, factor: float = 1.0,
     frames.bounded_batches(spark)
     vectors = frames.stored(clean(vectors, vec_id, embedding).withColumn("dim", F.size("vec")))
     queries = clean(queries, vec_id, embedding).withColumn("dim", F.size("vec"))
-    # one row for each length of vectors
+    # One row for each length of vectors: L lengths take at least L * L / 2 components, so these tables stay tiny and are broadcast.
+    # A shuffled join on the length would bring all vectors of a length into one task, and grouping by shard would leave them there
     sizes = vectors.groupBy("dim").agg(F.count("*").alias("n"), F.sqrt(F.max(F.expr("aggregate(vec, 0D, (s, x) -> s + x * x)"))).alias("top"))
     sizes = sizes.withColumn("shards", F.ceil(F.col("n") / shard).cast("int"))
     asked = queries.groupBy("dim").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
@@ -168,19 +169,20 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, factor: float = 1.0,
         data = pickle.dumps((batch["id"].to_numpy()[order], matrix(batch["vec"].combine_chunks())[order]), 5)
         return pa.table({"dim": batch["dim"][:1], "block": batch["block"][:1], "queries": pa.array([data], pa.binary())})
 
-    trees = vectors.join(sizes, "dim").withColumn("shard", F.pmod(F.xxhash64("id"), F.col("shards")).cast("int")) \
+    trees = vectors.join(F.broadcast(sizes), "dim").withColumn("shard", F.pmod(F.xxhash64("id"), F.col("shards")).cast("int")) \
         .groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, tree binary")
-    blocks = queries.join(asked, "dim").withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int")) \
+    blocks = queries.join(F.broadcast(asked), "dim").withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int")) \
         .groupBy("dim", "block").applyInArrow(pack, "dim int, block int, queries binary")
     # every block of the stated queries meets every shard: a tree stays in its task, the blocks stream by.  Where there are fewer
     # shards than tasks, a tree is read by several of them, each for its part of the blocks
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     readers = sizes.select("dim", "shards", F.ceil(F.lit(tasks) / F.col("shards")).cast("int").alias("readers"))
-    homes = readers.select("dim", "readers", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
     none = F.lit(None).cast("binary")
-    sent = trees.join(readers, "dim").select("dim", "shard", F.explode(F.sequence(F.lit(0), F.col("readers") - 1)).alias("reader"),
+    sent = trees.join(F.broadcast(readers), "dim").select("dim", "shard", F.explode(F.sequence(F.lit(0), F.col("readers") - 1)).alias("reader"),
                                              F.lit(-1).alias("block"), "tree", none.alias("queries"))
-    sent = sent.unionByName(blocks.join(homes, "dim").select("dim", "shard", F.pmod("block", "readers").alias("reader"), "block", none.alias("tree"), "queries"))
+    sent = sent.unionByName(blocks.join(F.broadcast(readers), "dim").select(
+        "dim", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.pmod("block", "readers").alias("reader"), "block",
+        none.alias("tree"), "queries"))
     dealt = sent.repartition(tasks, "dim", "shard", "reader").sortWithinPartitions("dim", "shard", "reader", "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
