@@ -7,8 +7,8 @@ equal event names), never single frames.  A block is written once and read once,
 when its thread ends.  Reading the JSON and putting the record together are
 Column expressions, as in batch.
 
-State lives in RocksDB, keyed by thread, and ends: tails and closed marks by a
-time to live or a timer, open threads by their timers or when the source ends.
+State lives in RocksDB, by shards of threads (``shards.py``), and ends: tails, closed
+marks and open threads by the timer of their shard, or when the source ends.
 The rows one thread adds within a micro-batch are sorted in memory, so bound the
 batch at the source (``maxFilesPerTrigger``, ``maxBytesPerTrigger`` or the like).
 """
@@ -25,6 +25,7 @@ from pyspark.sql.types import StructType
 
 from dialoscope.functions.text import utrim
 from dialoscope.operators.capture import READ_TIMEOUT_SECONDS, TOTAL_TIMEOUT_SECONDS, read_frames
+from dialoscope.streaming.shards import Shard, dump, sharded
 
 #: How long an unfinished tail and the mark of a closed thread are remembered.
 REMEMBER_SECONDS = 86_400
@@ -34,7 +35,9 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def use_rocksdb(spark: SparkSession) -> None:
+    """State in RocksDB; a micro-batch uploads its changes, not the files of the store."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
 
 
 class _BlockSplitter(StatefulProcessor):
@@ -43,46 +46,84 @@ class _BlockSplitter(StatefulProcessor):
     With ``order`` a chunk waits until all chunks before it have come.
     """
 
-    def __init__(self, order: str | None, remember_ms: int | None) -> None:
-        self._order, self._remember_ms = order, remember_ms
+    def __init__(self, key: str, order: str | None, remember_ms: int | None) -> None:
+        self._key, self._order, self._remember_ms = key, order, remember_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._tail = handle.getValueState("tail", "text string, blocks bigint, next bigint, waiting int", self._remember_ms)
-        self._early = handle.getMapState("early", "seq bigint", "chunk string", self._remember_ms)
+        # facts of a thread: blocks so far, the next chunk, when it is forgotten (0: never); parts: tail and waiting chunks
+        self._shard = Shard(handle, self._key)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        text, n, following, waiting = self._tail.get() or ("", 0, 0, 0)
-        parts = [text]
-
-        def take(seq: int, chunk: str) -> None:
-            nonlocal following
+        now = timerValues.getCurrentProcessingTimeInMs() if self._remember_ms is not None else 0
+        self._shard.load()
+        for thread, arrived in by_thread(rows):
+            yield from self._split(thread, arrived, now)
+        if self._remember_ms is not None:
+            self._shard.wake(now + self._remember_ms)
+        self._shard.save()
+
+    def _split(self, thread: str | None, arrived: list[Row], now: int) -> Iterator[Row]:
+        shard = self._shard
+        if thread in shard.known and 0 < shard.known[thread][0][2] <= now:
+            shard.take(thread)
+            shard.put(thread, None)
+        n, following, _ = shard.known[thread][0] if thread in shard.known else (0, 0, 0)
+        forget = 0 if self._remember_ms is None else now + self._remember_ms
+        early: dict[int, str] = {}
+        if self._order is not None:
+            for r in arrived:  # what is smaller has come before
+                if r.seq >= following and (r.chunk or self._order == "count"):
+                    early.setdefault(r.seq, r.chunk)
+            if following not in early:
+                part = dump({"text": "", "early": list(early.items())}) if early else None
+                shard.put(thread, [n, following, forget], part)
+                return
+        parts, waiting = [], {}
+        for kept in shard.take(thread):
+            parts.append(kept["text"])
+            for seq, chunk in kept["early"]:
+                waiting.setdefault(seq, chunk)
+        if self._order is None:
+            parts += [r.chunk for r in arrived]
+        early |= waiting
+        while following in early:
+            chunk = early.pop(following)
             parts.append(chunk)
-            following = seq + (1 if self._order == "count" else len(chunk))
-
-        for r in sorted(rows, key=lambda r: r.seq):
-            if self._order is None:
-                parts.append(r.chunk)
-            elif r.seq == following:
-                take(r.seq, r.chunk)
-            elif r.seq > following:  # what is smaller has come before
-                if not self._early.containsKey((r.seq,)):
-                    waiting += 1
-                    self._early.updateValue((r.seq,), (r.chunk,))
-                continue
-            while waiting and self._early.containsKey((following,)):
-                seq, (chunk,) = following, self._early.getValue((following,))
-                self._early.removeKey((seq,))
-                waiting -= 1
-                take(seq, chunk)
+            following += 1 if self._order == "count" else len(chunk)
         *blocks, text = "".join(parts).split("\n\n")
-        self._tail.update((text, n + len(blocks), following, waiting))
+        early = {seq: chunk for seq, chunk in early.items() if seq > following}
+        part = dump({"text": text, "early": list(early.items())}) if text or early else None
+        shard.put(thread, [n + len(blocks), following, forget], part, alone=True)
         for i, block in enumerate(blocks):
-            yield Row(thread_id=key[0], seq=n + i, block=block)
+            yield Row(thread=thread, seq=n + i, block=block)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        shard, at = self._shard, expiredTimerInfo.getExpiryTimeInMs()
+        shard.load()
+        if at != shard.timer:
+            return
+        now, shard.timer = max(at, timerValues.getCurrentProcessingTimeInMs()), 0
+        for thread, (facts, _) in list(shard.known.items()):
+            if facts[2] <= now:
+                shard.take(thread)
+                shard.put(thread, None)
+        shard.wake(min((facts[2] for facts, _ in shard.known.values()), default=None))
+        shard.save()
+        yield from ()
 
     def close(self) -> None:
         pass
 
 
+def by_thread(rows: Iterator[Row]) -> Iterator[tuple[str | None, list[Row]]]:
+    """What a micro-batch brings for each thread of a shard, in order."""
+    threads: dict[str | None, list[Row]] = {}
+    for r in rows:
+        threads.setdefault(r.thread, []).append(r)
+    for thread, own in threads.items():
+        yield thread, sorted(own, key=lambda r: r.seq)
+
+
 def stream_frames(chunks: DataFrame, remember_seconds: float | None = REMEMBER_SECONDS, order: str | None = None) -> DataFrame:
     """Chunks (thread_id, seq, chunk) to frames (thread_id, seq, event, data), across chunk borders.
 
@@ -100,23 +141,25 @@ def stream_frames(chunks: DataFrame, remember_seconds: float | None = REMEMBER_S
         raise ValueError(f"unknown order {order!r}")
     use_rocksdb(chunks.sparkSession)
     key = chunks.schema["thread_id"].dataType.simpleString()
-    blocks = chunks.where("chunk IS NOT NULL AND seq IS NOT NULL").groupBy("thread_id").transformWithState(
-        _BlockSplitter(order, None if remember_seconds is None else int(remember_seconds * 1000)),
-        StructType.fromDDL(f"thread_id {key}, seq bigint, block string"), "Append", "None" if remember_seconds is None else "ProcessingTime")
+    blocks = sharded(chunks.where("chunk IS NOT NULL AND seq IS NOT NULL")).groupBy("shard").transformWithState(
+        _BlockSplitter(key, order, None if remember_seconds is None else int(remember_seconds * 1000)),
+        StructType.fromDDL("thread string, seq bigint, block string"), "Append", "None" if remember_seconds is None else "ProcessingTime")
     lines = F.split("block", "\n")
     names = F.filter(lines, lambda x: x.startswith("event: "))
     datas = F.filter(lines, lambda x: x.startswith("data: "))
     return blocks.select(
-        "thread_id", "seq", utrim(F.substring(F.try_element_at(names, F.lit(-1)), 8, 1 << 30)).alias("event"),
+        F.col("thread").cast(key).alias("thread_id"), "seq", utrim(F.substring(F.try_element_at(names, F.lit(-1)), 8, 1 << 30)).alias("event"),
         F.array_join(F.transform(datas, lambda x: F.substring(x, 7, 1 << 30)), "").alias("data")
     ).where((F.length("event") > 0) & (F.length("data") > 0))
 
 
 #: A condensed block of frames: how many, runs of event names, calls, the last offer, the first text and what follows it.
 BLOCK = "n bigint, events array<struct<event:string,n:int>>, calls array<string>, offer string, head string, message boolean, tail string"
+#: A block as the state of an open thread keeps it: with the thread's first and last time.
+KEPT = f"array<struct<thread:string,part:struct<{BLOCK}, began bigint, latest bigint>>>"
 
 
-def condense(frames: list[Row]) -> str:
+def condense(frames: list[Row], **times: int | None) -> str:
     """One block of the frames of a thread, as JSON text."""
     events: list[list] = []
     head, message, tail, offer, calls = None, False, [], None, []
@@ -135,7 +178,7 @@ def condense(frames: list[Row]) -> str:
             elif f.event != "message":
                 tail.append(f.piece)
     return json.dumps({"n": len(frames), "events": [{"event": e, "n": n} for e, n in events], "calls": calls, "offer": offer,
-                       "head": head, "message": message, "tail": "".join(tail)}, ensure_ascii=False)
+                       "head": head, "message": message, "tail": "".join(tail)} | times, ensure_ascii=False)
 
 
 class _RecordCollector(StatefulProcessor):
@@ -147,15 +190,12 @@ class _RecordCollector(StatefulProcessor):
     a mark, which outlives late frames by ``remember``.
     """
 
-    def __init__(self, idle_ms: int, total_ms: int, remember_ms: int, clock: str | None) -> None:
-        self._idle_ms, self._total_ms, self._remember_ms, self._clock = idle_ms, total_ms, remember_ms, clock
+    def __init__(self, key: str, idle_ms: int, total_ms: int, remember_ms: int, clock: str | None) -> None:
+        self._key, self._idle_ms, self._total_ms, self._remember_ms, self._clock = key, idle_ms, total_ms, remember_ms, clock
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._handle = handle
-        self._blocks = handle.getMapState("blocks", "block bigint", "body string")
-        # blocks so far (-1: closed), first and last time of the thread, its timer
-        self._thread = handle.getValueState("thread", "blocks bigint, began bigint, latest bigint, timer bigint")
-        self._closed = handle.getValueState("closed", "at bigint", self._remember_ms) if self._clock == "arrival" else None
+        # facts of an open thread: its first and last time; of a closed one: when its mark goes (0: never)
+        self._shard = Shard(handle, self._key)
 
     def _deadline(self, began: int, latest: int) -> int:
         return min(latest + self._idle_ms, began + self._total_ms)
@@ -164,14 +204,30 @@ class _RecordCollector(StatefulProcessor):
         idle = latest + self._idle_ms <= began + self._total_ms
         return f"SSE hang: no data for {self._idle_ms / 1000:g}s" if idle else "timed out"
 
+    def _due(self, facts: list) -> int | None:
+        """When the thread times out, or its mark goes."""
+        if len(facts) == 1:
+            return facts[0] or None
+        return None if facts[0] is None else self._deadline(*facts)
+
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        known = self._thread.get()
-        if known and known[0] < 0 or not known and self._closed is not None and self._closed.exists():
-            yield Row(thread_id=key[0], blocks=[], error=None, late=sum(1 for _ in rows))
-            return
         now = timerValues.getCurrentProcessingTimeInMs() if self._clock == "arrival" else 0
-        blocks, began, latest, timer = known or (0, None, None, 0)
-        arrived = sorted(rows, key=lambda r: r.seq)
+        shard, dues = self._shard, []
+        shard.load()
+        for thread, arrived in by_thread(rows):
+            yield from self._collect(thread, arrived, now)
+            dues.append(self._due(shard.known[thread][0]))
+        shard.wake(min((d for d in dues if d is not None), default=None))
+        shard.save()
+
+    def _collect(self, thread: str | None, arrived: list[Row], now: int) -> Iterator[Row]:
+        facts = self._shard.known[thread][0] if thread in self._shard.known else [None, None]
+        if len(facts) == 1:
+            if self._clock != "arrival" or facts[0] > now:
+                yield Row(thread=thread, blocks=[], error=None, late=len(arrived))
+                return
+            facts = [None, None]
+        began, latest = facts
         taken, error, ended = len(arrived), None, False
         for i, f in enumerate(arrived):
             if self._clock is not None:
@@ -185,60 +241,47 @@ class _RecordCollector(StatefulProcessor):
             if f.event == "done":
                 taken, ended = i + 1, True
                 break
-        last = [condense(arrived[:taken])] if taken else []
         if ended:
-            yield self._close(key, known, last, error, latest)
+            yield self._close(thread, arrived[:taken], error, latest, now)
             if taken < len(arrived):
-                yield Row(thread_id=key[0], blocks=[], error=None, late=len(arrived) - taken)
+                yield Row(thread=thread, blocks=[], error=None, late=len(arrived) - taken)
             return
-        if last:
-            self._blocks.updateValue((blocks,), (last[0],))
-        if began is not None:
-            due = self._deadline(began, latest)
-            if due != timer:
-                if timer:
-                    self._handle.deleteTimer(timer)
-                self._handle.registerTimer(due)
-                timer = due
-        self._thread.update((blocks + 1, began, latest, timer))
+        times = {} if self._clock is None else {"began": began, "latest": latest}
+        self._shard.put(thread, [began, latest], condense(arrived, **times))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        known = self._thread.get()
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        if not known or at != known[3]:
-            return
-        if known[0] < 0:  # remembered long enough
-            self._thread.clear()
+        shard, at = self._shard, expiredTimerInfo.getExpiryTimeInMs()
+        shard.load()
+        if at != shard.timer:
             return
-        yield self._close(key, None, [], self._error(known[1], known[2]), known[2], known[0])
-
-    def _close(self, key, known: tuple | None, last: list[str], error: str | None, latest: int | None, blocks: int | None = None) -> Row:
+        clock = timerValues.getCurrentProcessingTimeInMs() if self._clock == "arrival" else timerValues.getCurrentWatermarkInMs()
+        now, shard.timer = max(at, clock), 0
+        for thread, (facts, _) in list(shard.known.items()):
+            due = self._due(facts)
+            if due is None or due > now:
+                continue
+            if len(facts) == 1:  # remembered long enough
+                shard.put(thread, None)
+            else:
+                yield self._close(thread, [], self._error(*facts), facts[1], now)
+        dues = (self._due(facts) for facts, _ in shard.known.values())
+        shard.wake(min((max(d, now + 1) for d in dues if d is not None), default=None))
+        shard.save()
+
+    def _close(self, thread: str | None, last: list[Row], error: str | None, latest: int | None, now: int) -> Row:
         """The record of a thread; its state shrinks to the mark."""
-        blocks = blocks if blocks is not None else known[0] if known else 0
-        bodies = [body for _, body in sorted((k[0], v[0]) for k, v in self._blocks.iterator())] if blocks else []
-        if blocks:
-            self._blocks.clear()
-        if known and known[3]:
-            self._handle.deleteTimer(known[3])
-        if self._clock == "arrival":
-            self._closed.update((latest or 0,))
-            if blocks:
-                self._thread.clear()
-        else:
-            forget = 0
-            if self._clock == "frames":
-                forget = (latest or 0) + self._idle_ms + self._remember_ms
-                self._handle.registerTimer(forget)
-            self._thread.update((-1, latest, latest, forget))
-        return Row(thread_id=key[0], blocks=bodies + last, error=error, late=0)
+        blocks = [dump(part) for part in self._shard.take(thread)] + ([condense(last)] if last else [])
+        forget = {None: 0, "arrival": now + self._remember_ms, "frames": (latest or 0) + self._idle_ms + self._remember_ms}[self._clock]
+        self._shard.put(thread, [forget], alone=True)
+        return Row(thread=thread, blocks=blocks, error=error, late=0)
 
     def close(self) -> None:
         pass
 
 
 def _records(folded: DataFrame, error: Column | str = "error") -> DataFrame:
-    """Records from the condensed blocks of threads: (thread_id, blocks as JSON, error)."""
-    parts = folded.select("thread_id", F.transform("blocks", lambda b: F.from_json(b, BLOCK)).alias("parts"), F.col(error).alias("error") if isinstance(error, str) else error.alias("error"))
+    """Records from the condensed blocks of threads: (thread_id, parts, error)."""
+    parts = folded.select("thread_id", "parts", F.col(error).alias("error") if isinstance(error, str) else error.alias("error"))
     said = F.filter("parts", lambda p: p["head"].isNotNull())
     text = F.array_join(F.transform(said, lambda p, i: F.concat(F.when((i > 0) & p["message"], F.lit("")).otherwise(p["head"]), p["tail"])), "")
     events = F.flatten(F.transform("parts", lambda p: F.flatten(F.transform(p["events"], lambda e: F.array_repeat(e["event"], e["n"])))))
@@ -253,7 +296,7 @@ def _records(folded: DataFrame, error: Column | str = "error") -> DataFrame:
 
 def _fold(frames: DataFrame, phases: str, idle_seconds: float, total_seconds: float, clock: str | None, remember_seconds: float,
           lateness: str) -> DataFrame:
-    """(thread_id, blocks, error, late): closed threads, and how many frames came behind a thread's end."""
+    """(thread_id, parts, error, late): closed threads, and how many frames came behind a thread's end."""
     if clock not in (None, "arrival", "frames"):
         raise ValueError(f"unknown clock {clock!r}")
     use_rocksdb(frames.sparkSession)
@@ -262,12 +305,13 @@ def _fold(frames: DataFrame, phases: str, idle_seconds: float, total_seconds: fl
     if clock == "frames":
         rows = rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
         times = [F.col("ts"), F.unix_millis("ts").alias("at_ms")]
-    read = read_frames(rows, phases).select(
-        "thread_id", "seq", "event", "piece", F.to_json("call").alias("call"), F.to_json("offer").alias("offer"), *times)
-    out = StructType.fromDDL(f"thread_id {key}, blocks array<string>, error string, late bigint")
+    read = sharded(read_frames(rows, phases)).select(
+        "shard", "thread", "seq", "event", "piece", F.to_json("call").alias("call"), F.to_json("offer").alias("offer"), *times)
+    out = StructType.fromDDL("thread string, blocks array<string>, error string, late bigint")
     mode = {None: "None", "arrival": "ProcessingTime", "frames": "EventTime"}[clock]
-    return read.groupBy("thread_id").transformWithState(
-        _RecordCollector(int(idle_seconds * 1000), int(total_seconds * 1000), int(remember_seconds * 1000), clock), out, "Append", mode)
+    return read.groupBy("shard").transformWithState(
+        _RecordCollector(key, int(idle_seconds * 1000), int(total_seconds * 1000), int(remember_seconds * 1000), clock), out, "Append", mode
+    ).select(F.col("thread").cast(key).alias("thread_id"), F.transform("blocks", lambda b: F.from_json(b, BLOCK)).alias("parts"), "error", "late")
 
 
 def stream_fold(frames: DataFrame, phases: str = "code", idle_seconds: float = READ_TIMEOUT_SECONDS,
@@ -304,13 +348,14 @@ def open_records(spark: SparkSession, checkpoint: str, now: Column | None = None
     the source's end, for a stream by the frames' clock) threads whose time is over by
     then get their error.
     """
-    source = spark.read.format("statestore")
-    blocks = source.option("stateVarName", "blocks").load(checkpoint).select(
-        F.col("key.*"), F.struct(F.col("user_map_key.block").alias("block"), F.col("user_map_value.body").alias("body")).alias("b"))
-    whole = blocks.groupBy("thread_id").agg(F.transform(F.array_sort(F.collect_list("b")), lambda b: b["body"]).alias("blocks"))
+    rows = spark.read.format("statestore").option("stateVarName", "blocks").load(checkpoint)
+    key = rows.schema["user_map_value"].dataType["thread_id"].dataType
+    kept = rows.select("user_map_key.block", F.explode(F.from_json("user_map_value.body", KEPT)).alias("k")).select(
+        F.col("k.thread").cast(key).alias("thread_id"), F.struct("block", "k.part").alias("b"))
+    whole = kept.groupBy("thread_id").agg(F.transform(F.array_sort(F.collect_list("b")), lambda b: b["part"]).alias("parts"))
     if now is None:
         return _records(whole, F.lit(None).cast("string"))
-    state = source.option("stateVarName", "thread").load(checkpoint).select(F.col("key.*"), F.col("value.*"))
-    idle_at, total_at = F.col("latest") + int(idle_seconds * 1000), F.col("began") + int(total_seconds * 1000)
+    idle_at = F.element_at("parts", -1)["latest"] + int(idle_seconds * 1000)
+    total_at = F.element_at("parts", 1)["began"] + int(total_seconds * 1000)
     error = F.when(F.least(idle_at, total_at) < F.unix_millis(now), F.when(idle_at <= total_at, F.lit(f"SSE hang: no data for {idle_seconds:g}s")).otherwise(F.lit("timed out")))
-    return _records(whole.join(state.where("blocks >= 0").select("thread_id", error.alias("error")), "thread_id"))
+    return _records(whole, error)

@@ -39,7 +39,6 @@ def watch(runs: DataFrame, checkpoint: str, on_poll: Callable[[DataFrame, int],
     a restarted watch goes on where it stopped.  A poll that fails is repeated as a whole.
     """
     use_rocksdb(runs.sparkSession)
-    runs.sparkSession.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     rows = runs if since is None else since_filter(runs, since)
 
     def poll(batch: DataFrame, number: int) -> None:

@@ -208,3 +208,38 @@ def test_polls_read_by_the_batch(spark, tmp_path):
     polls = [p for p in query.recentProgress if p["numInputRows"]]
     gets = [p["stateOperators"][0]["customMetrics"]["rocksdbGetCount"] for p in polls]
     assert len(polls) == 20 and max(gets) <= 3 * 20 and all(p["numInputRows"] <= 20 for p in polls)
+
+
+def test_short_threads_cost_few_state_calls(spark, tmp_path):
+    """Threads are read and written by shards, so a micro-batch of many short threads makes fewer look-ups than it has threads."""
+    n = 60_000
+    rows = spark.range(n).selectExpr("id * 7 AS thread_id", "id AS seq", "if(id % 3 = 0, 'done', 'token') AS event", "concat('{\"content\":\"', id, '\"}') AS data")
+    rows.repartition(4).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    query = sr.stream_records(st.stream_fold(stream, timed=False), str(tmp_path / "out"), str(tmp_path / "state"))
+    query.awaitTermination()
+    rest = st.open_records(spark, str(tmp_path / "state"))
+    assert rest.schema["thread_id"].dataType.simpleString() == "bigint"
+    assert spark.read.parquet(str(tmp_path / "out")).count() + rest.count() == n
+    assert rest.selectExpr("sum(thread_id)").first()[0] == sum(7 * i for i in range(n) if i % 3)
+    (op,) = query.recentProgress[0]["stateOperators"]
+    assert op["customMetrics"]["rocksdbGetCount"] < n and op["customMetrics"]["rocksdbPutCount"] < n
+
+
+def test_waiting_chunks_and_open_threads_share_rows(spark, tmp_path, monkeypatch):
+    """Threads of one shard over many micro-batches: waiting chunks, late closing, small rows and a log that is rewritten."""
+    from dialoscope.streaming import shards
+    monkeypatch.setattr(shards, "SHARDS", 1)
+    threads = [f"t{i}" for i in range(6)]
+    rows = [(t, 0, "token", '{"content":"a"}') for t in threads] + [(t, i, "token", f'{{"content":"{t}{i}"}}') for i in range(1, 12) for t in threads[i % 3::2]]
+    rows += [(threads[k], 20 + k, "done", "{}") for k in (0, 3)] + [(t, 40, "token", '{"content":"z"}') for t in threads]
+    stream = land(spark, str(tmp_path / "in"), rows, SCHEMA, 4)
+    out = drain(st.stream_fold(stream, timed=False), tmp_path, "out")
+    batch = capture.fold_frames(spark.createDataFrame(rows, SCHEMA), stop_at_done=True)
+    assert plain(out.unionByName(st.open_records(spark, str(tmp_path / "out-state")))) == plain(batch)
+    body = "".join(f"event: e{i}\ndata: {{\"n\": {i}}}\n\n" for i in range(9))
+    cut = [body[i:i + 7] for i in range(0, len(body), 7)]
+    chunks = [(t, i, cut[i]) for i in [*range(len(cut) - 1, 0, -1), 3, 0] for t in threads[:3]]
+    stream = land(spark, str(tmp_path / "chunks"), chunks, "thread_id string, seq bigint, chunk string", 7)
+    got = drain(st.stream_frames(stream, remember_seconds=None, order="count"), tmp_path, "frames")
+    assert sorted(map(tuple, got.collect())) == [(t, i, f"e{i}", f'{{"n": {i}}}') for t in threads[:3] for i in range(9)]
