@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dialoscope.functions.ordered import DEFAULT_BLOCK, running
+from dialoscope.functions.ordered import DEFAULT_BLOCK, block_of, running
 from dialoscope.functions.text import truthy_text, utrim
 
 DEFAULT_CATEGORY = "General"
@@ -51,12 +51,11 @@ def normalize_suite_b(rows: DataFrame, keys: Sequence[str] = (), block: int = DE
     return _normalize(rows, F.lit(False), keys, block)
 
 
-def normalize_suite(rows: DataFrame, file_key: str = "file", sheet: str = "sheet",
-                    block: int = DEFAULT_BLOCK) -> DataFrame:
-    """Pick the layout per workbook from its sheet names.
+def pick_sheets(rows: DataFrame, file_key: str = "file", sheet: str = "sheet", block: int = DEFAULT_BLOCK) -> DataFrame:
+    """The rows of the sheet that each workbook is read from, with ``__layout_a``.
 
-    A sheet called "Chat Queries" means layout A, else "Sheet1" layout B, else
-    the first sheet (lowest ``sheet_no``) read as layout A.
+    The choice is one row per workbook; it is joined by blocks of rows, so that a
+    workbook of any size is spread over tasks.
     """
     facts = rows.groupBy(F.col(file_key).alias("__file")).agg(
         F.bool_or(F.col(sheet) == SHEET_A).alias("has_a"), F.bool_or(F.col(sheet) == SHEET_B).alias("has_b"),
@@ -65,8 +64,20 @@ def normalize_suite(rows: DataFrame, file_key: str = "file", sheet: str = "sheet
                           F.when(F.col("has_a"), SHEET_A).when(F.col("has_b"), SHEET_B)
                           .otherwise(F.col("first")).alias("__sheet"),
                           (F.col("has_a") | ~F.col("has_b")).alias("__layout_a"))
-    picked = rows.join(chosen, (rows[file_key] == F.col("__file")) & (rows[sheet] == F.col("__sheet")))
-    return _normalize(picked, F.col("__layout_a"), [file_key], block)
+    parts = rows.select(F.col(file_key).alias("__f"), F.col(sheet).alias("__s"), block_of("row_idx", block).alias("__part")).distinct()
+    parts = parts.join(chosen, (F.col("__f") == F.col("__file")) & (F.col("__s") == F.col("__sheet"))).drop("__file", "__sheet")
+    return (rows.join(parts, (rows[file_key] == F.col("__f")) & (rows[sheet] == F.col("__s")) & (block_of(rows["row_idx"], block) == F.col("__part")))
+            .drop("__f", "__s", "__part"))
+
+
+def normalize_suite(rows: DataFrame, file_key: str = "file", sheet: str = "sheet",
+                    block: int = DEFAULT_BLOCK) -> DataFrame:
+    """Pick the layout per workbook from its sheet names.
+
+    A sheet called "Chat Queries" means layout A, else "Sheet1" layout B, else
+    the first sheet (lowest ``sheet_no``) read as layout A.
+    """
+    return _normalize(pick_sheets(rows, file_key, sheet, block), F.col("__layout_a"), [file_key], block)
 
 
 def suite_profile(suite: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -181,6 +181,21 @@ def test_suite_partition_invariant(spark):
     assert suite.remaining(s, done).count() == 1 and suite.remaining(s, done, retry_errors=True).count() == 2
 
 
+def test_picked_sheets_are_spread(spark):
+    """One workbook of many rows is dealt to many tasks when its sheet is picked."""
+    rows = spark.range(20_000).selectExpr("'one' AS file", "if(id % 2 = 0, 'Chat Queries', 'Notes') AS sheet", "CAST(id % 2 AS int) AS sheet_no", "id AS row_idx")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    try:
+        for k, v in zip(old, ("false", "-1", "8")):
+            spark.conf.set(k, v)
+        picked = suite.pick_sheets(rows, block=100).groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.min("sheet").alias("s")).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sum(r.n for r in picked) == 10_000 and {r.s for r in picked} == {"Chat Queries"}
+    assert max(r.n for r in picked) < 4_000
+
+
 def test_versions_and_since(spark):
     m = spark.createDataFrame([("a", 1), ("a", 3)], "account string, version int")
     r = spark.createDataFrame([("a", 1, 7), ("a", 3, 8)], "account string, run_version int, query_index int")
