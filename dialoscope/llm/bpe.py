@@ -32,6 +32,8 @@ PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\
            r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 #: Pieces kept with their ids in a task; longer pieces and those beyond the number are encoded anew.
 KEPT_PIECES, KEPT_LENGTH = 500_000, 64
+#: Bytes of one Arrow batch: texts are handled one by one, so larger ones only take memory.
+BATCH = 2 << 20
 
 
 def byte_letters() -> dict[int, str]:
@@ -41,18 +43,24 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b if b in plain else next(spare)) for b in range(256)}
 
 
+def token_strings(file: dict) -> list[bytes]:
+    """The bytes of each id of a vocabulary file."""
+    back = {v: k for k, v in byte_letters().items()}
+    special = {t["content"]: t["id"] for t in file["added_tokens"]}
+    strings = {i: bytes(back[c] for c in s) for s, i in file["model"]["vocab"].items() if s not in special}
+    strings |= {i: s.encode() for s, i in special.items()}
+    return [strings.get(i, b"") for i in range(max(strings) + 1)]
+
+
 class Vocabulary:
     """Ids, merge ranks and special tokens of a vocabulary file."""
 
     def __init__(self, text: str):
         file = json.loads(text)
         letters = byte_letters()
-        back = {v: k for k, v in letters.items()}
         ids = file["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
-        strings = {i: bytes(back[c] for c in s) for s, i in ids.items() if s not in self.special}
-        strings |= {i: s.encode() for s, i in self.special.items()}
-        self.strings = [strings.get(i, b"") for i in range(max(strings) + 1)]
+        self.strings = token_strings(file)
         self.bytes = [ids[letters[b]] for b in range(256)]
         pairs = (m.split(" ") if isinstance(m, str) else m for m in file["model"]["merges"])
         self.wide = len(self.strings)
@@ -131,7 +139,7 @@ def _file(docs: DataFrame, vocabulary: str):
 
 
 def _clean(docs: DataFrame, column: str) -> DataFrame:
-    frames.bounded_batches(docs.sparkSession)
+    frames.bounded_batches(docs.sparkSession, BATCH)
     return docs.withColumn(column, F.coalesce(F.col(f"`{column}`").cast("string"), F.lit("")))
 
 
@@ -153,12 +161,12 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids
 
 def decode(tokens: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``tokens`` with the text that the ids stand for; special tokens are kept as their strings."""
-    frames.bounded_batches(tokens.sparkSession)
+    frames.bounded_batches(tokens.sparkSession, BATCH)
     file = _file(tokens, vocabulary)
     tokens = tokens.drop(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        strings = Vocabulary(file.value).strings
+        strings = token_strings(json.loads(file.value))  # no merges: they are only for encoding
         flat = np.frombuffer(b"".join(strings), np.uint8)
         size = np.array([len(s) for s in strings], np.int64)
         start = np.cumsum(size) - size
