@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -209,6 +211,24 @@ def test_jaccard_groups(docs, n, percent):
     assert len({g for g, s in zip(group, sets) if s}) == got.select("group").where("group IS NOT NULL").distinct().count()
 
 
+def test_shuffle_files_go_with_their_table(spark):
+    """A stored table leaves nothing of its shuffles on the disk, and the session's setting as it was."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: set(re.findall(r"shuffle_[0-9_]+\.data", disk.getAllFiles().mkString("|")))
+    before, setting = files(), spark.conf.get(frames.CLEANUP)
+    shuffled = spark.range(1000).selectExpr("id", "id % 7 AS k").repartition(5, "id").groupBy("k").count()
+    shuffled.collect()
+    assert len(files() - before) > 0
+    own = files()
+    out = frames.stored(shuffled)
+    assert sorted(r["count"] for r in out.collect()) == [142, 143, 143, 143, 143, 143, 143]
+    end = time.time() + 10
+    while files() - own and time.time() < end:  # they are removed in the background
+        time.sleep(0.2)
+    assert not files() - own
+    assert spark.conf.get(frames.CLEANUP) == setting
+
+
 def test_jaccard_large_keys(spark, monkeypatch):
     """With very small limits nearly all pairs go through tiles; the groups stay the same."""
     words = [f"w{i}" for i in range(60)]
@@ -233,6 +253,27 @@ def test_jaccard_large_keys(spark, monkeypatch):
     assert plain == set(low.items())
 
 
+def test_jaccard_tiles_come_in_waves(spark, monkeypatch):
+    """Tiles together hold a text many times, so they are sent a part at a time; the links join the same groups."""
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join([*words[:i], f"x{i}", *words[i + 1:]]) if i % 4 else " ".join(f"y{i}_{k}" for k in range(60)) for i in range(60)]
+    members = spark.createDataFrame([(1, i, i, 60, len(t)) for i, t in enumerate(texts)], "family long, comp long, s long, size long, bytes long")
+    sets = spark.createDataFrame(list(enumerate(texts)), "s long, text string")
+    waves, stored = [], frames.stored
+    monkeypatch.setattr(frames, "stored", lambda df: (df.columns == ["a", "b"] and waves.append(1), stored(df))[1])
+    for least in (1 << 28, 1):
+        waves.clear()
+        monkeypatch.setattr(jaccard, "WAVE", least)
+        links = jaccard.tile_links(members, sets, 1, 90, block=5).collect()
+        low = list(range(60))
+        for _ in range(60):
+            for r in links:
+                low[r.a] = low[r.b] = min(low[r.a], low[r.b])
+        assert low == [1 if i % 4 else i for i in range(60)]
+        # each text goes to some 12 tiles
+        assert len(waves) == 1 if least > 1 else len(waves) > 5
+
+
 def test_jaccard_many_groups_in_a_key(spark):
     """200 groups share a long passage, hence keys; few pairs pass the bounds, and groups equal a plain search."""
     rng = random.Random(9)
